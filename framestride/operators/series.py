@@ -9,7 +9,8 @@ integer column. One recording may hold a large share of all rows, so a plain
   resulting *carry* is joined back to the chunk.
 
 With an integer order that is unique per series a chunk holds at most ``chunk_rows`` rows.
-Fixed-width windows over dense positions use :func:`with_halo`, which copies the few border rows
+When the key column carries a measured bound (see :mod:`framestride.operators.bounds`) that fits one
+chunk, the plain window is used: one shuffle, no carry. Fixed-width windows over dense positions use :func:`with_halo`, which copies the few border rows
 into the neighbouring chunk and needs no join at all.
 """
 
@@ -21,7 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framestride.session import chunk_rows, hot_rows
+from framestride.operators.bounds import fits
+from framestride.session import chunk_rows, hot_rows, stage
 
 CHUNK = "_chunk"
 _LO = Window.unboundedPreceding
@@ -76,29 +78,32 @@ class Scan:
     summary: Callable  # (order struct) -> aggregate Column
     carry: Callable  # (summary column, window over chunks) -> Column
     merge: Callable  # (local column, carry column) -> Column
+    plain: Callable | None = None  # (window over the whole series) -> Column, where `local` is not that
 
 
 def lag(name: str, value: Column | str) -> Scan:
     """Value of the previous row."""
-    value = F.struct(_c(value).alias("v"))
+    plain, value = _c(value), F.struct(_c(value).alias("v"))
     return Scan(
         name,
         lambda w: F.lag(value).over(w),
         lambda o: F.max_by(value, o),
         lambda s, w: F.lag(s).over(w),
         lambda a, b: F.coalesce(a, b)["v"],
+        lambda w: F.lag(plain).over(w),
     )
 
 
 def lead(name: str, value: Column | str) -> Scan:
     """Value of the next row."""
-    value = F.struct(_c(value).alias("v"))
+    plain, value = _c(value), F.struct(_c(value).alias("v"))
     return Scan(
         name,
         lambda w: F.lead(value).over(w),
         lambda o: F.min_by(value, o),
         lambda s, w: F.lead(s).over(w),
         lambda a, b: F.coalesce(a, b)["v"],
+        lambda w: F.lead(plain).over(w),
     )
 
 
@@ -164,13 +169,14 @@ def position(name: str = "pos") -> Scan:
 
 def of_first(name: str, value: Column | str) -> Scan:
     """Value of the first row of the series, on every row."""
-    value = F.struct(_c(value).alias("v"))
+    plain, value = _c(value), F.struct(_c(value).alias("v"))
     return Scan(
         name,
         lambda w: F.lit(None).cast("int"),
         lambda o: F.min_by(value, o),
         lambda s, w: F.first(s).over(w.rowsBetween(_LO, _HI)),
         lambda a, b: b["v"],
+        lambda w: F.first(plain).over(w.rowsBetween(_LO, _HI)),
     )
 
 
@@ -182,6 +188,7 @@ def total(name: str, aggregate: Column, combine: Callable = F.sum) -> Scan:
         lambda o: aggregate,
         lambda s, w: combine(s).over(w.rowsBetween(_LO, _HI)),
         lambda a, b: b,
+        lambda w: aggregate.over(w.rowsBetween(_LO, _HI)),
     )
 
 
@@ -192,10 +199,19 @@ def scan(
     scans: Sequence[Scan],
     chunked: bool = False,
 ) -> DataFrame:
-    """Add the scan columns. ``chunked`` says that the frame already has a chunk column."""
+    """Add the scan columns. ``chunked`` says that the frame already has a chunk column.
+
+    A split scan reads its input twice (rows and summaries), so the input is staged first unless
+    the caller cut the chunks itself.
+    """
     keys, order = list(keys), [order] if isinstance(order, str) else list(order)
+    names = {s.name for s in scans}
+    if fits(df, keys, chunk_rows(df)):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        kept = [F.col(c) for c in df.columns if c not in names]
+        return df.select(*kept, *[(s.plain or s.local)(w).alias(s.name) for s in scans])
     if not chunked:
-        df = chunk_by_index(df, order[0])
+        df = chunk_by_index(stage(df), order[0])
     at = F.struct(*[F.col(o) for o in order]) if len(order) > 1 else F.col(order[0])
     group = [*keys, CHUNK]
     inner = Window.partitionBy(*group).orderBy(*order)
@@ -209,7 +225,7 @@ def scan(
     rows = df.select("*", *[s.local(inner).alias(f"_a{i}") for i, s in enumerate(scans)])
     on = [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(group)]
     joined = rows.join(carry, on, "left")
-    kept = [c for c in df.columns if c not in {s.name for s in scans} and (chunked or c != CHUNK)]
+    kept = [c for c in df.columns if c not in names and (chunked or c != CHUNK)]
     return joined.select(
         *[F.col(c) for c in kept],
         *[s.merge(F.col(f"_a{i}"), F.col(f"_b{i}")).alias(s.name) for i, s in enumerate(scans)],
@@ -251,6 +267,9 @@ def windowed(
     columns: Callable[[object], dict[str, Column]],
 ) -> DataFrame:
     """Add fixed-width window columns over dense positions. ``columns`` maps a window to columns."""
+    if fits(df, keys, chunk_rows(df)):
+        w = Window.partitionBy(*keys).orderBy(pos)
+        return df.select("*", *[c.alias(n) for n, c in columns(w).items()])
     halo, w = with_halo(df, keys, pos, before, after)
     # Columns are computed one layer at a time so that no later select sees the copied rows.
     return drop_halo(halo.select("*", *[c.alias(n) for n, c in columns(w).items()]))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framestride.session import hot_rows
+from framestride.operators.bounds import fits
+from framestride.session import hot_rows, stage
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
@@ -38,6 +39,9 @@ def lookup_join(
     repeated once per salt, so no task receives more than about ``max_rows`` rows of one key.
     """
     keys = list(keys)
+    if fits(rows, keys, max_rows or hot_rows(rows)):
+        return rows.join(lookup, keys, how)
+    rows = stage(rows)
     hot = hot_keys(rows, keys, max_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_salts")
     match = [F.col(k) == F.col(f"_h_{k}") for k in keys]
     drop = [f"_h_{k}" for k in keys] + ["_salts"]
@@ -75,17 +79,22 @@ def exact_quantiles(
     max_rows = max_rows or hot_rows(df)
     keys = list(keys)
     valid = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    if fits(valid, keys, max_rows):
+        return _percentiles(valid, keys, quantiles, names)
+    valid = stage(valid)
     hot = hot_keys(valid, keys, max_rows).drop("_salts")
-    usual = (
-        valid.join(F.broadcast(hot), keys, "left_anti")
-        .groupBy(*keys)
-        .agg(F.percentile("_v", F.array(*[F.lit(float(q)) for q in quantiles])).alias("_q"))
-        .select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    )
+    if not hot.take(1):
+        return _percentiles(valid, keys, quantiles, names)
+    usual = _percentiles(valid.join(F.broadcast(hot), keys, "left_anti"), keys, quantiles, names)
     large = _ranked_quantiles(valid.join(F.broadcast(hot), keys, "left_semi"), keys, quantiles, names, max_rows)
     return usual.unionByName(large)
 
 
+def _percentiles(valid: DataFrame, keys: list[str], quantiles: Sequence[float], names: Sequence[str]) -> DataFrame:
+    q = F.percentile("_v", F.array(*[F.lit(float(q)) for q in quantiles])).alias("_q")
+    return valid.groupBy(*keys).agg(q).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
+
 def _ranked_quantiles(
     df: DataFrame, keys: list[str], quantiles: Sequence[float], names: Sequence[str], max_rows: int
 ) -> DataFrame:

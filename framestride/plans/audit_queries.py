@@ -317,7 +317,7 @@ def mask_fill_issues(spark, sf_dir):
             case when b < 35 or b > 220 then 'brightness' end, case when k < 18 then 'contrast' end,
             case when l < 45 then 'blur_laplacian' end, case when e < 3.5e0 then 'entropy' end,
             case when u > 0.2e0 then 'underexposed_frac' end, case when o > 0.2e0 then 'overexposed_frac' end],
-            z -> z is not null)) as m from c)""",
+            lambda z: z is not null)) as m from c)""",
 )
 def image_threshold_issues(spark, sf_dir):
     i = F.col("event_id")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from framestride.functions import geometry as G
 from framestride.operators import series as S
+from framestride.operators.bounds import fits, measure
+from framestride.session import chunk_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +26,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("episode"), "event_id", micros().alias("ts_us"), "event_type", "value"
     )
-    e = S.chunk_hot(e, ["episode"], "ts_us")
+    e = measure(e, "episode")
+    if not fits(e, ["episode"], chunk_rows(e)):
+        e = S.chunk_hot(e, ["episode"], "ts_us", chunk_rows(e))
     out = S.scan(
         e,
         ["episode"],
