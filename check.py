@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import signal
 import sys
 import time
 
@@ -41,6 +42,8 @@ def main() -> int:
     failed = []
     for name in names:
         start = time.time()
+        signal.signal(signal.SIGALRM, lambda *_: (_ for _ in ()).throw(TimeoutError("60 s")))
+        signal.alarm(60)
         try:
             got = QUERIES[name](spark, folder).toPandas()
             took = time.time() - start
@@ -62,7 +65,10 @@ def main() -> int:
             print(f"ok    {name}: {len(a)} rows, {took:.1f}s {types or ''}", flush=True)
         except Exception as e:  # report and go on
             failed.append(name)
+            spark.sparkContext.cancelAllJobs()
             print(f"FAIL  {name}: {type(e).__name__} {str(e)[:1500]}", flush=True)
+        finally:
+            signal.alarm(0)
     print(f"{len(names) - len(failed)}/{len(names)} passed; failed: {failed}")
     return 1 if failed else 0
 

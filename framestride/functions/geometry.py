@@ -34,6 +34,17 @@ def pack(values: Sequence[Column]) -> Column:
     return F.when(ok, F.array(*values))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body``; keeps long chains of formulas small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def bind(values: Sequence[Column], body) -> Column:
+    """:func:`let` for a list of scalar columns."""
+    n = len(values)
+    return let(F.array(*values), lambda a: body([F.get(a, F.lit(i)) for i in range(n)]))
+
+
 def vec(value) -> Elements:
     return elements(value, 3)
 
@@ -242,54 +253,72 @@ def pose7_to_pose(p) -> Elements:
     return from_parts(quaternion_to_rotation(p[3:7]), p[0:3])
 
 
-def log_map(rot) -> Elements:
-    """Rotation vector of a rotation."""
-    r = elements(rot, 9)
-    cosine = clamp((r[0] + r[4] + r[8] - 1) / 2, -1, 1)
-    axis = [r[7] - r[5], r[2] - r[6], r[3] - r[1]]
-    sine = norm(axis) / 2
-    angle = F.atan2(sine, cosine)
-    # Close to half a turn the antisymmetric part vanishes: take the axis from the diagonal.
-    size = [F.sqrt(F.greatest(lit(0), (r[i] - cosine) / (1 - cosine))) for i in (0, 4, 8)]
-    flip = [
-        lit(1),
-        F.when(r[1] + r[3] < 0, lit(-1)).otherwise(lit(1)),
-        F.when(r[2] + r[6] < 0, lit(-1)).otherwise(lit(1)),
-    ]
-    no_x = size[0] < lit(1e-9)
-    flip[2] = F.when(no_x & (r[5] + r[7] < 0), lit(-1)).when(no_x, lit(1)).otherwise(flip[2])
-    flip[1] = F.when(no_x, lit(1)).otherwise(flip[1])
-    half = [s * f * angle for s, f in zip(size, flip)]
-    return [
-        F.when(sine > lit(1e-7), a / (2 * sine) * angle).when(cosine > 0, a / 2).otherwise(h)
-        for a, h in zip(axis, half)
-    ]
+def log_map(rot) -> Column:
+    """Rotation vector of a rotation, as an array."""
+    rot = rot if isinstance(rot, Column) else F.col(rot) if isinstance(rot, str) else F.array(*rot)
+
+    def vector(q):
+        r, cosine, sine = elements(q["r"], 9), q["c"], q["s"]
+        axis = [r[7] - r[5], r[2] - r[6], r[3] - r[1]]
+        angle = F.atan2(sine, cosine)
+        # Close to half a turn the antisymmetric part vanishes: take the axis from the diagonal.
+        size = [F.sqrt(F.greatest(lit(0), (r[i] - cosine) / (1 - cosine))) for i in (0, 4, 8)]
+        no_x = size[0] < lit(1e-9)
+        flip = [
+            lit(1),
+            F.when(~no_x & (r[1] + r[3] < 0), lit(-1)).otherwise(lit(1)),
+            F.when(F.when(no_x, r[5] + r[7]).otherwise(r[2] + r[6]) < 0, lit(-1)).otherwise(lit(1)),
+        ]
+        return F.array(
+            *[
+                F.when(sine > lit(1e-7), a / (2 * sine) * angle).when(cosine > 0, a / 2).otherwise(s * f * angle)
+                for a, s, f in zip(axis, size, flip)
+            ]
+        )
 
+    def parts(m):
+        r = elements(m, 9)
+        sine = norm([r[7] - r[5], r[2] - r[6], r[3] - r[1]]) / 2
+        cosine = clamp((r[0] + r[4] + r[8] - 1) / 2, -1, 1)
+        return let(F.struct(m.alias("r"), cosine.alias("c"), sine.alias("s")), vector)
 
-def exp_map(v) -> Elements:
-    """Rotation of a rotation vector."""
-    v = vec(v)
-    angle = norm(v)
-    small = angle < lit(1e-12)
-    a = F.when(small, lit(1)).otherwise(F.sin(angle) / angle)
-    b = F.when(small, lit(0.5)).otherwise((1 - F.cos(angle)) / (angle * angle))
-    x, y, z = v
-    return [
-        1 - b * (y * y + z * z), b * x * y - a * z, b * x * z + a * y,
-        b * x * y + a * z, 1 - b * (x * x + z * z), b * y * z - a * x,
-        b * x * z - a * y, b * y * z + a * x, 1 - b * (x * x + y * y),
-    ]
+    return let(rot, parts)
+
+
+def exp_map(vector: Column) -> Column:
+    """Rotation of a rotation vector, as an array."""
+
+    def build(q):
+        x, y, z, a, b = (q[n] for n in "xyzab")
+        return F.array(
+            1 - b * (y * y + z * z), b * x * y - a * z, b * x * z + a * y,
+            b * x * y + a * z, 1 - b * (x * x + z * z), b * y * z - a * x,
+            b * x * z - a * y, b * y * z + a * x, 1 - b * (x * x + y * y),
+        )
+
+    def factors(q):
+        angle = q["n"]
+        small = angle < lit(1e-12)
+        a = F.when(small, lit(1)).otherwise(F.sin(angle) / angle)
+        b = F.when(small, lit(0.5)).otherwise((1 - F.cos(angle)) / (angle * angle))
+        x, y, z = (F.get(q["v"], F.lit(i)) for i in range(3))
+        return let(F.struct(x.alias("x"), y.alias("y"), z.alias("z"), a.alias("a"), b.alias("b")), build)
+
+    return let(vector, lambda v: let(F.struct(v.alias("v"), norm(vec(v)).alias("n")), factors))
 
 
-def slerp(r0, r1, t: Column) -> Elements:
-    """Rotation at fraction ``t`` of the way from one rotation to another."""
-    return matmul3(r0, exp_map([c * t for c in log_map(matmul3(transpose3(r0), r1))]))
+def slerp(r0, r1, t: Column) -> Column:
+    """Rotation at fraction ``t`` of the way from one rotation to another, as an array."""
+    r0, r1 = elements(r0, 9), elements(r1, 9)
+    turn = log_map(matmul3(transpose3(r0), r1))
+    part = exp_map(F.transform(turn, lambda c: c * t))
+    return let(part, lambda m: F.array(*matmul3(r0, m)))
 
 
-def interpolate_pose(a, b, t: Column) -> Elements:
-    """Linear position and spherical rotation between two poses."""
+def interpolate_pose(a, b, t: Column) -> Column:
+    """Linear position and spherical rotation between two poses, as an array."""
     pos = [p + (q - p) * t for p, q in zip(translation(a), translation(b))]
-    return from_parts(slerp(rotation(a), rotation(b), t), pos)
+    return let(slerp(rotation(a), rotation(b), t), lambda m: F.array(*from_parts(elements(m, 9), pos)))
 
 
 def roll_pitch_yaw(rot) -> Elements:

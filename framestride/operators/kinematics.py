@@ -112,15 +112,16 @@ def angular_velocity(
 ) -> DataFrame:
     """Rotation vector of the relative rotation per second; zero after a gap."""
     out = S.scan(df, keys, order, [S.lag("_b", pose)])
-    relative = G.matmul3(G.transpose3(G.rotation("_b")), G.rotation(pose))
-    vector = G.log_map(relative)
+    out = out.withColumn("_r", F.array(*G.matmul3(G.transpose3(G.rotation("_b")), G.rotation(pose))))
+    out = out.withColumn("_w", G.log_map("_r"))
+    vector = [F.get("_w", F.lit(i)) for i in range(3)]
     zero = F.lit(0.0)
     return out.withColumns(
         {
             f"w_{a}": F.when(F.col(pose).isNotNull(), F.coalesce(c / F.lit(dt), zero))
             for a, c in zip("xyz", vector)
         }
-    ).drop("_b")
+    ).drop("_b", "_r", "_w")
 
 
 def acceleration(

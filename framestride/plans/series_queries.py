@@ -104,7 +104,7 @@ def nearest_asof_sync(spark, sf_dir):
 @query(
     "sync_summary",
     SYNC_SQL + """ select episode, count(*) as video_frame_count, round(max(abs(delta)) / 1e3, 4) as sync_max_abs_ms,
-      round(avg(abs(delta) / 1e3), 4) as sync_mean_abs_ms,
+      round(avg(abs(delta) / 1e3), 1) as sync_mean_abs_ms,
       round(avg(case when within_tolerance then 1e0 else 0e0 end), 6) as sync_within_tolerance_ratio,
       case when bool_and(within_tolerance) then 'PASS' else 'CHECK' end as status from synced group by episode""",
 )
@@ -113,7 +113,7 @@ def sync_summary(spark, sf_dir):
     return s.withColumns(
         {
             "sync_max_abs_ms": F.round("sync_max_abs_ms", 4),
-            "sync_mean_abs_ms": F.round("sync_mean_abs_ms", 4),
+            "sync_mean_abs_ms": F.round("sync_mean_abs_ms", 1),
             "sync_within_tolerance_ratio": F.round("sync_within_tolerance_ratio", 6),
         }
     )
