@@ -125,7 +125,7 @@ def hysteresis(
     chunked = S.chunk_by_index(stage(df), pos)
     group = [*keys, S.CHUNK]
 
-    def reduce(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def reduce(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         exits = machine.transfer(pdf.sort_values(pos)[ratio].to_numpy(float))
         return pd.DataFrame([[*key, exits]], columns=[*group, "exits"])
 
@@ -199,7 +199,7 @@ def _directed_ema(df, columns, alpha, keys, pos, backward, prefix):
     types = {f.name: f.dataType.simpleString() for f in chunked.schema.fields}
     head = ", ".join(f"{g} {types[g]}" for g in group)
 
-    def reduce(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def reduce(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, x, ok = ordered(pdf)
         passes = bool(ok.all())  # otherwise the exit does not depend on the entry
         factor = (1 - alpha) ** len(x) if passes else 0.0
@@ -265,12 +265,13 @@ def nearest_rotation(matrix):
 
 
 def _nearest_rotation_series(matrix: pd.Series) -> pd.Series:
-    ok = matrix.notna()
-    out = pd.Series([None] * len(matrix), index=matrix.index, dtype=object)
-    if ok.any():
-        m = np.stack([np.asarray(v, float) for v in matrix[ok]]).reshape(-1, 3, 3)
-        out[ok] = list(_nearest_rotations(m).reshape(-1, 9))
-    return out
+    known = [v is not None for v in matrix]
+    out: list = [None] * len(matrix)
+    if any(known):
+        m = np.stack([np.asarray(v, float) for v, k in zip(matrix, known) if k]).reshape(-1, 3, 3)
+        found = iter(_nearest_rotations(m).reshape(-1, 9))
+        out = [next(found) if k else None for k in known]
+    return pd.Series(out, index=matrix.index, dtype=object)
 
 
 def smooth_rotations(

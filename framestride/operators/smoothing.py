@@ -110,12 +110,12 @@ def grasp_from_distance(
 
     Series with fewer than three distances keep no state.
     """
-    out = S.scan(df.withColumn("_d", F.col(distance)), keys, "pos", [S.total("_n", F.count(distance))])
+    out = S.scan(df.withColumn("_d", F.col(distance)), keys, "pos", [S.total("_known", F.count(distance))])
     out = box_mean(fill_gaps(out, ["_d"], None, keys, hold_ends=True), "_d", size, keys)
     out = out.withColumn("grasp_state", (F.col("_d") < threshold).cast("int"))
     out = suppress_flicker(out, "grasp_state", max_flicker, keys)
-    shown = F.when(F.col(distance).isNotNull() & (F.col("_n") >= 3), F.col("grasp_state"))
-    return out.withColumn("grasp_state", shown).drop("_d", "_n", "filled")
+    shown = F.when(F.col(distance).isNotNull() & (F.col("_known") >= 3), F.col("grasp_state"))
+    return out.withColumn("grasp_state", shown).drop("_d", "_known", "filled")
 
 
 def _savgol_weights(size: int, order: int) -> np.ndarray:

@@ -86,7 +86,7 @@ def short_gap_fill(spark, sf_dir):
 
 @query(
     "pose_gap_interpolation",
-    F0 + """, p as (select *, frame_idx as pos, case when event_id % 5 <> 0 then value * 1.5e0 end as a from frames),
+    F0 + """, p as (select *, frame_idx as pos, case when event_id % 5 <> 0 then (event_id % 100) * 1.5e0 end as a from frames),
      nb as (select *, last_value(case when a is not null then pos end ignore nulls) over pw as bp,
        last_value(a ignore nulls) over pw as ba, first_value(case when a is not null then pos end ignore nulls) over nw as np,
        first_value(a ignore nulls) over nw as na from p
@@ -97,7 +97,7 @@ def short_gap_fill(spark, sf_dir):
 )
 def pose_gap_interpolation(spark, sf_dir):
     f = frames(spark, sf_dir)
-    a = F.when(F.col("event_id") % 5 != 0, F.radians(F.col("value") * 1.5))
+    a = F.when(F.col("event_id") % 5 != 0, F.radians((F.col("event_id") % 100) * 1.5))
     pose = G.from_parts(G.rotation_z(a), [F.col("x"), F.col("y"), F.col("z")])
     f = f.withColumn("pos", F.col("frame_idx")).withColumn("T", F.when(a.isNotNull(), F.array(*pose)))
     out = M.fill_gaps(f, [], 3, ["episode"], poses=["T"])
@@ -395,8 +395,8 @@ def pose_inverse_composition(spark, sf_dir):
 
 @query(
     "six_d_rotation",
-    F0 + """ select episode, frame_idx, round(cos(radians(value * 7)), 6) as e0, round(-sin(radians(value * 7)), 6) as e1,
-      round(sin(radians(value * 7)), 6) as e2, 1e0 as r22 from frames""",
+    F0 + """ select episode, frame_idx, round(cos(radians(value * 7)) * 3 / (3 + 1e-8), 6) as e0,
+      round(-sin(radians(value * 7)) * 3 / (3 + 1e-8), 6) as e1, round(sin(radians(value * 7)) * 3 / (3 + 1e-8), 6) as e2, 1e0 as r22 from frames""",
 )
 def six_d_rotation(spark, sf_dir):
     six = G.encode_6d(G.rotation_z(F.radians(F.col("value") * 7)))
@@ -425,10 +425,10 @@ def euler_angles(spark, sf_dir):
 
 @query(
     "rotation_log_and_slerp",
-    F0 + """ select episode, frame_idx, round(radians(value * 0.5e0), 6) as w_z, round(value * 0.5e0 * 0.25e0, 5) as quarter_deg from frames""",
+    F0 + """ select episode, frame_idx, round(radians((event_id % 340) * 0.5e0), 6) as w_z, round((event_id % 340) * 0.5e0 * 0.25e0, 5) as quarter_deg from frames""",
 )
 def rotation_log_and_slerp(spark, sf_dir):
-    a = F.radians(F.col("value") * 0.5)
+    a = F.radians((F.col("event_id") % 340) * 0.5)
     eye = [F.lit(float(v)) for v in (1, 0, 0, 0, 1, 0, 0, 0, 1)]
     f = frames(spark, sf_dir).withColumn("R", F.array(*G.rotation_z(a))).withColumn("E", F.array(*eye))
     f = f.withColumn("w", G.log_map("R")).withColumn("S", G.slerp("E", "R", F.lit(0.25)))
@@ -441,11 +441,11 @@ def rotation_log_and_slerp(spark, sf_dir):
 @query(
     "pinhole_projection_modes",
     F0 + """, c as (select *, x - 0.5e0 as px, y - 0.5e0 as py, z - 0.2e0 as pz from frames),
-      u as (select *, 700 * px / pz + 320 as fu, (700 * px + 320 * pz) / (pz + 1e-6) as iu, (700 * py + 240 * pz) / (pz + 1e-6) as iv,
+      u as (select *, (700 * px + 320 * pz) / pz as fu, (700 * px + 320 * pz) / (pz + 1e-6) as iu, (700 * py + 240 * pz) / (pz + 1e-6) as iv,
               700 * px / greatest(pz, 1e-6) + 320 as cu from c)
-      select episode, frame_idx, pz > 1e-6 as front_ok, round(case when pz > 1e-6 then fu else 0 end, 4) as front_u,
+      select episode, frame_idx, pz > 1e-6 as front_ok, round(case when pz > 1e-6 then fu else 0 end, 6) as front_u,
         pz > 1e-3 and iu >= 0 and iu < 640 and iv >= 0 and iv < 480 as image_ok,
-        round(case when pz < 1e-4 then 0.5e0 else greatest(0e0, least(1e0, fu / 640)) end, 7) as unit_u, round(cu, 2) as clamped_u from u""",
+        round(case when pz < 1e-4 then 0.5e0 else greatest(0e0, least(1e0, fu / 640)) end, 9) as unit_u, round(cu, 5) as clamped_u from u""",
 )
 def pinhole_projection_modes(spark, sf_dir):
     k = [F.lit(float(v)) for v in (700, 0, 320, 0, 700, 240, 0, 0, 1)]
@@ -453,9 +453,9 @@ def pinhole_projection_modes(spark, sf_dir):
     w, h = F.lit(640), F.lit(480)
     f = frames(spark, sf_dir).withColumns({m: G.project(p, k, m, w, h) for m in G.PROJECTION_MODES})
     return f.select(
-        "episode", "frame_idx", F.col("front.valid").alias("front_ok"), F.round("front.u", 4).alias("front_u"),
-        F.col("in_image.valid").alias("image_ok"), F.round("unit.u", 7).alias("unit_u"),
-        F.round("clamped.u", 2).alias("clamped_u"),
+        "episode", "frame_idx", F.col("front.valid").alias("front_ok"), F.round("front.u", 6).alias("front_u"),
+        F.col("in_image.valid").alias("image_ok"), F.round("unit.u", 9).alias("unit_u"),
+        F.round("clamped.u", 5).alias("clamped_u"),
     )
 
 
