@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framestride.functions import geometry as G
 from framestride.functions.geometry import lit
@@ -16,23 +19,70 @@ MAX_TOKENS = 8
 IDENTITY = (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1)
 
 
+_POSE = T.ArrayType(T.DoubleType())
+
+
+def _rows(series: pd.Series, width: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The non-null rows of an array column as a matrix, and where they are."""
+    known = np.array([v is not None for v in series], dtype=bool)
+    flat = np.concatenate(series[known].to_numpy()) if known.any() else np.empty(0)
+    return flat.reshape(-1, width), known
+
+
+def _emit(values: np.ndarray, known: np.ndarray) -> pd.Series:
+    out = np.empty(len(known), dtype=object)
+    out[known] = list(values)
+    return pd.Series(out)
+
+
+def _inverse_batch(m: np.ndarray) -> np.ndarray:
+    return np.linalg.inv(m)
+
+
+def _pose9_batch(m: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
+    """Normalised position and the orthonormalised first two columns, row by row."""
+    pos = (m[:, :3, 3] - mean) / (std + 1e-8)
+    a, b = m[:, :3, 0], m[:, :3, 1]
+    x = a / (np.linalg.norm(a, axis=1, keepdims=True) + 1e-8)
+    b = b - (x * b).sum(axis=1, keepdims=True) * x
+    y = b / (np.linalg.norm(b, axis=1, keepdims=True) + 1e-8)
+    return np.concatenate([pos, np.stack([x, y], axis=2).reshape(-1, 6)], axis=1)
+
+
+def _pandas(fn, kind=_POSE):
+    return F.pandas_udf(fn, kind)
+
+
 def pose9(pose: Column, mean: Sequence[float], std: Sequence[float]) -> Column:
-    """Normalised position and orthonormalised six-number rotation of a pose."""
+    """Normalised position and orthonormalised six-number rotation of a pose; null stays null."""
+    mean_, std_ = np.asarray(mean, float), np.asarray(std, float)
 
-    def encode(m):
-        pos = G.normalise_position(G.translation(m), [lit(v) for v in mean], [lit(v) for v in std])
-        return F.array(*pos, *G.normalise_6d(G.encode_6d(G.rotation(m))))
+    def encode(pose: pd.Series) -> pd.Series:
+        m, known = _rows(pose)
+        return _emit(_pose9_batch(m.reshape(-1, 4, 4), mean_, std_), known)
 
-    return G.let(pose, encode)
+    return _pandas(encode)(pose)
 
 
 def relative(inverse: Column, pose: Column) -> Column:
-    """Product of an already inverted pose with a pose, as an array."""
-    return F.array(*G.compose(inverse, pose))
+    """Product of an already inverted pose with a pose; null when one is null."""
+
+    def product(inverse: pd.Series, pose: pd.Series) -> pd.Series:
+        both = inverse.notna() & pose.notna()
+        a, b = _rows(inverse.where(both, None))[0], _rows(pose.where(both, None))[0]
+        return _emit((a.reshape(-1, 4, 4) @ b.reshape(-1, 4, 4)).reshape(-1, 16), both.to_numpy())
+
+    return _pandas(product)(inverse, pose)
 
 
 def inverse(pose: Column) -> Column:
-    return F.array(*G.inverse_affine(pose))
+    """Inverse pose; null stays null."""
+
+    def invert(pose: pd.Series) -> pd.Series:
+        m, known = _rows(pose)
+        return _emit(_inverse_batch(m.reshape(-1, 4, 4)).reshape(-1, 16), known)
+
+    return _pandas(invert)(pose)
 
 
 def reference_inverse(frame_mode: str, cam0: str = "cam0", anchor: str = "anchor") -> Column:
@@ -53,42 +103,66 @@ def tokens(
     a zero row that is masked out.
     """
     width = 1 + 9 + 9 * len(sides) + 1
-    zero9 = F.array(*[lit(0)] * 9)
-    hand = {s: F.get(F.transform(F.array(F.lit(s)), lambda k: hands[k]), F.lit(0)) for s in sides}
-
-    def relations(entity_inverse: Column) -> Column:
-        parts = [
-            F.when(hand[s]["T"].isNotNull(), pose9(relative(entity_inverse, hand[s]["T"]), mean, std)).otherwise(zero9)
-            for s in sides
-        ]
-        return F.concat(*parts)
-
-    def token(kind: Column, pose: Column, flag: Column, related: bool) -> Column:
-        rel = G.let(inverse(pose), relations) if related else F.array(*[lit(0)] * (9 * len(sides)))
-        return F.concat(F.array(kind), pose9(relative(reference, pose), mean, std), rel, F.array(flag))
-
-    zero = F.array(*[lit(0)] * width)
-    rows = []
-    for s in sides:
-        grasp = F.when(hand[s]["grasp"] > 0.5, lit(1)).otherwise(lit(0))
-        kind = lit(HAND_LEFT if s == "left" else HAND_RIGHT)
-        rows.append(F.when(hand[s]["T"].isNotNull(), token(kind, hand[s]["T"], grasp, use_objects)).otherwise(zero))
-    all_rows = F.array(*rows)
-    if use_objects:
-        # Anchor first, then by name.
-        entries = F.array_sort(
-            F.transform(
-                F.map_entries(objects),
-                lambda e: F.struct((e["key"] != anchor_key).alias("o"), e["key"].alias("k"), e["value"]["T"].alias("T")),
-            )
-        )
-        more = F.transform(
-            entries, lambda e: token(F.when(e["o"], lit(OTHER)).otherwise(lit(ANCHOR)), e["T"], lit(-1), True)
+    mean_, std_ = np.asarray(mean, float), np.asarray(std, float)
+    kinds = [HAND_LEFT if side == "left" else HAND_RIGHT for side in sides]
+
+    def build(reference: pd.Series, entities: pd.Series, counts: pd.Series, anchored: pd.Series, *hands_: pd.Series) -> pd.Series:
+        n = len(reference)
+        out = np.zeros((n, size, width))
+        inv = _rows(reference)[0].reshape(-1, 4, 4)
+        hand = []
+        for i in range(len(sides)):
+            m, known = _rows(hands_[2 * i])
+            pose = np.tile(np.eye(4), (n, 1, 1))
+            pose[known] = m.reshape(-1, 4, 4)
+            hand.append((pose, known))
+
+        def fill(rows: np.ndarray, slots: np.ndarray, poses: np.ndarray, kind, flag, related: bool) -> None:
+            keep = slots < size
+            rows, slots, poses = rows[keep], slots[keep], poses[keep]
+            out[rows, slots, 0] = kind[keep]
+            out[rows, slots, 1:10] = _pose9_batch(inv[rows] @ poses, mean_, std_)
+            if related:
+                back = _inverse_batch(poses)
+                for i, (pose, known) in enumerate(hand):
+                    part = _pose9_batch(back @ pose[rows], mean_, std_)
+                    out[rows, slots, 10 + 9 * i : 19 + 9 * i] = np.where(known[rows, None], part, 0.0)
+            out[rows, slots, -1] = flag[keep]
+
+        for i, (pose, known) in enumerate(hand):
+            rows = np.flatnonzero(known)
+            grasp = (hands_[2 * i + 1].to_numpy(float)[rows] > 0.5).astype(float)
+            fill(rows, np.full(len(rows), i), pose[rows], np.full(len(rows), kinds[i]), grasp, use_objects)
+        if use_objects:
+            per_row = counts.to_numpy(int)
+            rows = np.repeat(np.arange(n), per_row)
+            if len(rows):
+                poses = np.concatenate(entities[per_row > 0].to_numpy()).reshape(-1, 4, 4)
+                rank = np.arange(len(rows)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+                kind = np.where((rank == 0) & anchored.to_numpy(bool)[rows], ANCHOR, OTHER)
+                fill(rows, rank + len(sides), poses, kind, np.full(len(rows), -1.0), True)
+        return pd.Series(list(out.reshape(n, -1)))
+
+    # Objects with the anchor first, then by name; their poses as one flat array.
+    entries = F.array_sort(
+        F.transform(
+            F.map_entries(objects),
+            lambda e: F.struct((e["key"] != anchor_key).alias("o"), e["key"].alias("k"), e["value"]["T"].alias("T")),
         )
-        all_rows = F.concat(all_rows, F.coalesce(more, F.slice(F.array(zero), 1, 0)))
-    padded = F.slice(F.concat(all_rows, F.array_repeat(zero, size)), 1, size)
+    )
+    poses = F.coalesce(F.flatten(F.transform(entries, lambda e: e["T"])), F.expr("cast(array() as array<double>)"))
+    anchored = F.coalesce(F.map_contains_key(objects, anchor_key), F.lit(False))
+    args = [reference, poses, (F.size(poses) / 16).cast("int"), anchored]
+    for side in sides:
+        h = F.try_element_at(hands, F.lit(side))
+        args += [h["T"], F.coalesce(h["grasp"], lit(0))]
+    flat = _pandas(build)(*args)
     return G.let(
-        padded, lambda t: F.struct(t.alias("tokens"), F.transform(t, lambda x: x[0] != lit(PAD)).alias("mask"))
+        flat,
+        lambda t: G.let(
+            F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.slice(t, i * width + 1, F.lit(width))),
+            lambda t: F.struct(t.alias("tokens"), F.transform(t, lambda x: x[0] != lit(PAD)).alias("mask")),
+        ),
     )
 
 
@@ -172,22 +246,22 @@ def targets(
     lock = F.first(F.when(F.col("_on"), F.struct("_hand", "_obj")), ignorenulls=True).over(first)
     rows = rows.withColumn("_lock", lock)
     if latch:
-        offset = G.let(inverse(F.col("_lock._hand")), lambda i: relative(i, F.col("_lock._obj")))
+        offset = relative(inverse(F.col("_lock._hand")), F.col("_lock._obj"))
         carried = F.when(F.col("_on"), relative(F.col("_hand"), offset)).otherwise(F.col("_obj"))
         rows = rows.withColumn("_obj", F.when(F.col("_obj").isNotNull(), carried))
-    in_ref = lambda c: F.when(F.col(c).isNotNull(), relative(F.col("_ref"), F.col(c)))
+    in_ref = lambda c: relative(F.col("_ref"), F.col(c))
     rows = rows.withColumns({"_h": in_ref("_hand"), "_o": in_ref("_obj")})
     if action == "delta":
         every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         for c in ("_h", "_o"):
             rows = rows.withColumn("_first", F.first(c, ignorenulls=True).over(every))
-            rows = rows.withColumn(c, F.when(F.col(c).isNotNull(), relative(inverse(F.col("_first")), F.col(c))))
+            rows = rows.withColumn(c, relative(inverse(F.col("_first")), F.col(c)))
     elif action != "absolute":
         raise ValueError(f"unknown action mode: {action}")
     k9 = G.elements("_K", 9)
     seen = G.apply_pose("_w2c", G.translation("_hand"))
     uv = G.project(seen, k9, "unit", F.col("w"), F.col("h_px"))
-    hand9 = lambda c: F.when(F.col(c).isNotNull(), pose9(F.col(c), mean, std))
+    hand9 = lambda c: pose9(F.col(c), mean, std)
     rows = rows.withColumns(
         {
             "hand": hand9("_h"),
@@ -254,7 +328,7 @@ def interpolated_tokens(
         F.struct("hands", "objects", "anchor_key", F.col(cam).alias("cam")).alias("_n"),
     )
     rows = training.join(later, ["episode", "frame_idx"]).withColumn("_alpha", alpha)
-    ref = G.let(G.interpolate_pose(cam, "_n.cam", F.col("_alpha")), inverse)
+    ref = inverse(G.interpolate_pose(cam, "_n.cam", F.col("_alpha")))
     rows = rows.withColumn("_r", ref)
     now = tokens(F.col("_r"), F.col("hands"), F.col("objects"), F.col("anchor_key"), mean, std, sides)
     nxt = tokens(F.col("_r"), F.col("_n.hands"), F.col("_n.objects"), F.col("_n.anchor_key"), mean, std, sides)
@@ -316,5 +390,5 @@ def decode_prediction(
     pos = G.unnormalise_position(position, [lit(v) for v in mean], [lit(v) for v in std])
     pose = G.let(F.array(*G.decode_6d(six)), lambda m: F.array(*G.from_parts(G.elements(m, 9), pos)))
     if reference_in_camera is not None:
-        pose = G.let(pose, lambda m: relative(reference_in_camera, m))
+        pose = relative(reference_in_camera, pose)
     return G.let(pose, lambda m: F.array(*G.compose(m, G.inverse_rigid(bridge))))

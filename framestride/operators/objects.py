@@ -531,9 +531,9 @@ def contour_samples(contour: DataFrame, n: int, keys: Sequence[str] = ("episode"
     rows = rows.withColumn("_to", F.coalesce("_next", "_origin"))
     length = F.sqrt((F.col("_to.x") - F.col("x")) ** 2 + (F.col("_to.y") - F.col("y")) ** 2)
     rows = rows.withColumn("_len", length)
-    rows = S.scan(
-        rows, keys, "_q", [S.running_sum("_end", "_len"), S.total("_total", F.sum("_len"))]
-    ).withColumn("_begin", F.col("_end") - F.col("_len"))
+    rows = S.scan(rows, keys, "_q", [S.running_sum("_end", "_len"), S.total("_total", F.sum("_len"))])
+    # The end of one piece is the begin of the next, so every target falls into exactly one.
+    rows = S.scan(rows, keys, "_q", [S.lag("_begin", "_end")]).withColumn("_begin", F.coalesce("_begin", lit(0)))
     # Targets t = j * total / n with begin < t <= end; the first piece also takes t = 0.
     unit = F.col("_total") / F.lit(n)
     first = F.when(F.col("_q") == 0, F.lit(0)).otherwise(F.floor(F.col("_begin") / unit).cast("long") + 1)

@@ -103,12 +103,12 @@ def object_centres(spark, sf_dir):
 
 @query(
     "object_scatter",
-    PART_SQL + """ select obj, round(covar_pop(x, x) * count(*), 5) as sxx, round(covar_pop(x, y) * count(*), 5) as sxy,
-      round(covar_pop(z, z) * count(*), 5) as szz from p group by obj""",
+    PART_SQL + """ select obj, round(covar_pop(x, x) * count(*), 7) as sxx, round(covar_pop(x, y) * count(*), 7) as sxy,
+      round(covar_pop(z, z) * count(*), 7) as szz from p group by obj""",
 )
 def object_scatter(spark, sf_dir):
     o = O.scatter(keypoints(spark, sf_dir))
-    return o.select("obj", r("sxx", 5), (F.round("sxy", 5) + F.lit(0.0)).alias("sxy"), r("szz", 5))
+    return o.select("obj", r("sxx", 7), (F.round("sxy", 7) + F.lit(0.0)).alias("sxy"), r("szz", 7))
 
 
 @query("object_principal_frames")
@@ -375,8 +375,9 @@ def session_dimension_join(spark, sf_dir):
 
 # --- images ---------------------------------------------------------------------------------------------
 
-LUMA_SQL = """with l as (select vec_id, list_transform(embedding, lambda v: cast(floor(greatest(0, least(255, 128 + v * 256))) as integer)) as p
-  from embeddings), u as (select vec_id, unnest(p) as v, generate_subscripts(p, 1) - 1 as i from l)"""
+LUMA_SQL = """with l as (select vec_id, list_transform(embedding,
+    lambda v: cast(floor(greatest(0, least(255, 128 + cast(v as double) * 256))) as integer)) as p from embeddings),
+  i as (select vec_id, p, unnest(range(64)) as i from l), u as (select *, p[i + 1] as v from i)"""
 
 
 def luma(spark, sf_dir):
@@ -387,21 +388,20 @@ def luma(spark, sf_dir):
 
 @query(
     "image_statistics",
-    LUMA_SQL.replace("v * 256", "cast(v as double) * 256") + """,
-     g as (select a.vec_id, a.v, b.v + c.v + d.v + e.v - 4 * a.v as lap from u a
-       join u b on b.vec_id = a.vec_id and b.i = a.i - a.i % 8 + case when a.i % 8 = 0 then 1 else a.i % 8 - 1 end
-       join u c on c.vec_id = a.vec_id and c.i = a.i - a.i % 8 + case when a.i % 8 = 7 then 6 else a.i % 8 + 1 end
-       join u d on d.vec_id = a.vec_id and d.i = a.i % 8 + 8 * case when a.i // 8 = 0 then 1 else a.i // 8 - 1 end
-       join u e on e.vec_id = a.vec_id and e.i = a.i % 8 + 8 * case when a.i // 8 = 7 then 6 else a.i // 8 + 1 end),
+    LUMA_SQL + """,
+     g as (select vec_id, v, p[i - i % 8 + case when i % 8 = 0 then 1 else i % 8 - 1 end + 1]
+       + p[i - i % 8 + case when i % 8 = 7 then 6 else i % 8 + 1 end + 1]
+       + p[i % 8 + 8 * case when i // 8 = 0 then 1 else i // 8 - 1 end + 1]
+       + p[i % 8 + 8 * case when i // 8 = 7 then 6 else i // 8 + 1 end + 1] - 4 * v as lap from u),
      n as (select vec_id, v, count(*) / 64e0 as s from u group by vec_id, v),
      t as (select vec_id, -sum(s * log2(s)) as entropy from n group by vec_id)
-     select g.vec_id, round(avg(v), 6) as brightness, round(stddev_pop(v), 6) as contrast, round(var_pop(lap), 4) as blur_laplacian,
+     select g.vec_id, round(avg(v), 6) as brightness, round(stddev_pop(v), 6) as contrast, round(var_pop(lap), 6) as blur_laplacian,
        round(any_value(entropy), 6) as entropy, round(avg(case when v <= 8 then 1e0 else 0e0 end), 6) as underexposed_frac
      from g join t using (vec_id) group by g.vec_id""",
 )
 def image_statistics(spark, sf_dir):
     s = luma(spark, sf_dir).withColumn("s", P.statistics(F.col("luma"), F.col("w"), F.col("h")))
-    return s.select("vec_id", *[F.round(f"s.{c}", n).alias(c) for c, n in (("brightness", 6), ("contrast", 6), ("blur_laplacian", 4), ("entropy", 6), ("underexposed_frac", 6))])
+    return s.select("vec_id", *[F.round(f"s.{c}", n).alias(c) for c, n in (("brightness", 6), ("contrast", 6), ("blur_laplacian", 6), ("entropy", 6), ("underexposed_frac", 6))])
 
 
 @query("difference_hash")
@@ -420,7 +420,7 @@ def appearance_vectors(spark, sf_dir):
 
 @query(
     "mask_coverage",
-    LUMA_SQL.replace("v * 256", "cast(v as double) * 256") + """ select vec_id, round(avg(case when v > 127 then 1e0 else 0e0 end), 8) as coverage,
+    LUMA_SQL + """ select vec_id, round(avg(case when v > 127 then 1e0 else 0e0 end), 8) as coverage,
       round(avg(case when v > 127 then 1e0 else 0e0 end) / 2, 8) as mean_coverage from u group by vec_id""",
 )
 def mask_coverage(spark, sf_dir):
@@ -452,10 +452,11 @@ def even_sample(spark, sf_dir):
             from q window w as (partition by episode order by q)),
       l as (select *, sqrt((tx - x) ** 2 + (ty - y) ** 2) as len from d),
       e as (select *, sum(len) over (partition by episode order by q) as ed, sum(len) over (partition by episode) as total from l),
-      s as (select e.*, j, j * (total / 10) as t from e, range(10) r(j)
-            where (j * (total / 10) > ed - len and j * (total / 10) <= ed) or (j = 0 and q = 0))
-      select episode, j as sample, cast(round_even(x + case when len > 0 then (t - (ed - len)) / len else 0 end * (tx - x), 0) as integer) as x,
-        cast(round_even(y + case when len > 0 then (t - (ed - len)) / len else 0 end * (ty - y), 0) as integer) as y from s""",
+      b as (select *, coalesce(lag(ed) over (partition by episode order by q), 0) as bg from e),
+      s as (select b.*, j, j * (total / 10) as t from b, range(10) r(j)
+            where (j > floor(bg / (total / 10)) and j <= floor(ed / (total / 10))) or (j = 0 and q = 0))
+      select episode, j as sample, cast(round_even(x + case when len > 0 then (t - bg) / len else 0 end * (tx - x), 0) as integer) as x,
+        cast(round_even(y + case when len > 0 then (t - bg) / len else 0 end * (ty - y), 0) as integer) as y from s""",
 )
 def contour_samples(spark, sf_dir):
     f = frames(spark, sf_dir)
