@@ -27,7 +27,7 @@ def step_errors(predictions: DataFrame, std=(1.0, 1.0, 1.0)) -> DataFrame:
     p, q = G.vec("pos_pred"), G.vec("pos_true")
     out = predictions.withColumn("pos_err", G.norm([(a - b) * lit(s) for a, b, s in zip(p, q, std)]))
     if {"o6d_pred", "o6d_true"} <= set(predictions.columns):
-        out = out.withColumns({"_a": F.array(*G.decode_6d("o6d_pred")), "_b": F.array(*G.decode_6d("o6d_true"))})
+        out = out.withColumns({"_a": F.array(*G.decode_6d("o6d_pred", 0.0)), "_b": F.array(*G.decode_6d("o6d_true", 0.0))})
         out = out.withColumn("rot_err", G.rotation_angle("_a", "_b", 0.999999)).drop("_a", "_b")
     return out
 

@@ -31,7 +31,8 @@ def _rows(series: pd.Series, width: int = 16) -> tuple[np.ndarray, np.ndarray]:
 
 def _emit(values: np.ndarray, known: np.ndarray) -> pd.Series:
     out = np.empty(len(known), dtype=object)
-    out[known] = list(values)
+    for i, v in zip(np.flatnonzero(known), values):
+        out[i] = v
     return pd.Series(out)
 
 

@@ -299,7 +299,7 @@ def zero_state_ratio(spark, sf_dir):
 
 @query(
     "decoded_predictions",
-    F0 + " select episode, frame_idx, round(x * 0.5e0 + 0.1e0, 6) as px, round(cos(radians(value)), 5) as r00 from frames",
+    F0 + " select episode, frame_idx, round(x * 0.5e0 + 0.1e0, 6) as px, round(cos(radians(value)) / (1 + 1e-8) / (1 + 0e0), 6) as r00 from frames",
 )
 def decoded_predictions(spark, sf_dir):
     f = frames(spark, sf_dir)
@@ -307,7 +307,7 @@ def decoded_predictions(spark, sf_dir):
     bridge = F.array(*[F.lit(float(v)) for v in X.IDENTITY])
     f = f.withColumn("six", F.array(*six)).withColumn("p", F.array("x", "y", "z"))
     pose = X.decode_prediction(F.col("p"), F.col("six"), MEAN, STD, bridge)
-    return f.select("episode", "frame_idx", F.round(F.get(pose, F.lit(3)), 6).alias("px"), F.round(F.get(pose, F.lit(0)), 5).alias("r00"))
+    return f.select("episode", "frame_idx", F.round(F.get(pose, F.lit(3)), 6).alias("px"), F.round(F.get(pose, F.lit(0)), 6).alias("r00"))
 
 
 # --- evaluation --------------------------------------------------------------------------------------------
@@ -339,11 +339,11 @@ def predictions(spark, sf_dir):
 
 @query(
     "horizon_evaluation",
-    PRED_SQL + " select k, cast(n as bigint) as n, cast(tp as bigint) as tp, round(pos_err, 6) as pos_err, round(rot_err, 4) as rot_err, round(f1, 8) as f1 from f",
+    PRED_SQL + " select k, cast(n as bigint) as n, cast(tp as bigint) as tp, round(pos_err, 6) as pos_err, round(rot_err, 6) as rot_err, round(f1, 8) as f1 from f",
 )
 def horizon_evaluation(spark, sf_dir):
     o = E.horizon_by_step(E.step_errors(predictions(spark, sf_dir)))
-    return o.select("k", "n", "tp", r("pos_err", 6), r("rot_err", 4), r("f1", 8))
+    return o.select("k", "n", "tp", r("pos_err", 6), r("rot_err", 6), r("f1", 8))
 
 
 @query(
@@ -374,12 +374,12 @@ def runs(spark, sf_dir):
 
 @query(
     "repeat_summary",
-    RUNS_SQL + """ select steps, count(*) as runs, round(avg(pos_err_w_m), 8) as mean, round(coalesce(stddev_samp(pos_err_w_m), 0), 8) as std,
+    RUNS_SQL + """ select steps, count(*) as runs, round(avg(pos_err_w_m), 13) as mean, round(coalesce(stddev_samp(pos_err_w_m), 0), 8) as std,
       min(pos_err_w_m) as min, max(pos_err_w_m) as max from r group by steps""",
 )
 def repeat_summary(spark, sf_dir):
     o = E.repeat_summary(runs(spark, sf_dir), ["pos_err_w_m"])
-    return o.select("steps", "runs", r("mean", 8), r("std", 8), "min", "max")
+    return o.select("steps", "runs", r("mean", 13), r("std", 8), "min", "max")
 
 
 @query(

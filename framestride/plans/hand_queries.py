@@ -445,7 +445,7 @@ def rotation_log_and_slerp(spark, sf_dir):
               700 * px / greatest(pz, 1e-6) + 320 as cu from c)
       select episode, frame_idx, pz > 1e-6 as front_ok, round(case when pz > 1e-6 then fu else 0 end, 6) as front_u,
         pz > 1e-3 and iu >= 0 and iu < 640 and iv >= 0 and iv < 480 as image_ok,
-        round(case when pz < 1e-4 then 0.5e0 else greatest(0e0, least(1e0, fu / 640)) end, 9) as unit_u, round(cu, 5) as clamped_u from u""",
+        round(case when pz < 1e-4 then 0.5e0 else greatest(0e0, least(1e0, fu / 640)) end, 12) as unit_u, round(cu, 5) as clamped_u from u""",
 )
 def pinhole_projection_modes(spark, sf_dir):
     k = [F.lit(float(v)) for v in (700, 0, 320, 0, 700, 240, 0, 0, 1)]
@@ -454,7 +454,7 @@ def pinhole_projection_modes(spark, sf_dir):
     f = frames(spark, sf_dir).withColumns({m: G.project(p, k, m, w, h) for m in G.PROJECTION_MODES})
     return f.select(
         "episode", "frame_idx", F.col("front.valid").alias("front_ok"), F.round("front.u", 6).alias("front_u"),
-        F.col("in_image.valid").alias("image_ok"), F.round("unit.u", 9).alias("unit_u"),
+        F.col("in_image.valid").alias("image_ok"), F.round("unit.u", 12).alias("unit_u"),
         F.round("clamped.u", 5).alias("clamped_u"),
     )
 
