@@ -5,9 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from framestride.functions import geometry as G
 from framestride.functions.issues import explode_checks, union_issues
 from framestride.operators import audit as A
 
@@ -37,7 +35,7 @@ def audit(training: DataFrame, cfg: dict | None = None, ts: str = "ts") -> Audit
     """
     frames = A.temporal_metrics(A.flatten_frames(training), ts)
     carried = ["pos", "ts_s"]
-    motion = A.entity_motion(A.entity_poses(frames, carried)).withColumn("se", G.se3_check(F.col("T")))
+    motion = A.with_se3(A.entity_motion(A.entity_poses(frames, carried)))
     issues = union_issues(
         [
             explode_checks(frames, A.temporal_checks(cfg) + A.record_checks(frames.columns)),

@@ -254,17 +254,15 @@ def speed_percentiles(spark, sf_dir):
         case when ok then round(s * s * s, 6) end as det, case when ok then bottom end as bottom_err from entities""",
 )
 def se3_validation(spark, sf_dir):
-    from framestride.functions.geometry import se3_check
-
-    e = A.entity_poses(training(spark, sf_dir)).withColumn("se", se3_check(F.col("T")))
+    e = A.with_se3(A.entity_poses(training(spark, sf_dir)))
     return e.select(
         "episode",
         "frame_idx",
         "entity",
-        "se.finite",
-        F.round("se.ortho_err", 6).alias("ortho_err"),
-        F.round("se.det", 6).alias("det"),
-        "se.bottom_err",
+        "finite",
+        F.round("ortho_err", 6).alias("ortho_err"),
+        F.round("det", 6).alias("det"),
+        "bottom_err",
     )
 
 
