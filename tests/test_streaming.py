@@ -1,7 +1,8 @@
 """Streaming state machines against the batch operators."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,9 +85,9 @@ def test_streaming_latch_step_state(spark, tmp_path):
 
 
 def test_streaming_sync_and_distinct(spark, tmp_path):
-    base = pd.Timestamp("2024-01-01")
-    video = spark.createDataFrame([("a", i, base + pd.Timedelta(milliseconds=100 * i)) for i in range(20)], "episode string, frame_idx long, ts timestamp")
-    track = [("a", i, base + pd.Timedelta(milliseconds=33 * i)) for i in range(60)]
+    base = datetime(2024, 1, 1)
+    video = spark.createDataFrame([("a", i, base + timedelta(milliseconds=100 * i)) for i in range(20)], "episode string, frame_idx long, ts timestamp")
+    track = [("a", i, base + timedelta(milliseconds=33 * i)) for i in range(60)]
     track = spark.createDataFrame(track, "episode string, tracking_index long, tracking_ts timestamp")
     pairs = run(spark, tmp_path / "s", video, lambda s: jobs.synchronise(s, spark.readStream.schema(track.schema).parquet(_write(track, tmp_path))))
     got = {r.frame_idx: r.tracking_index for r in jobs.closest(pairs).collect()}
