@@ -174,9 +174,9 @@ def leaderboard(rows: DataFrame, key: str = "experiment_id") -> DataFrame:
 def histogram(df: DataFrame, column: str) -> DataFrame:
     """Counts per bin; min(40, max(10, floor(sqrt(n)))) bins over the value range, last bin closed."""
     rows = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    span = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
-    bins = F.least(F.lit(40), F.greatest(F.lit(10), F.floor(F.sqrt("n")))).cast("int")
-    joined = rows.crossJoin(F.broadcast(span.withColumn("bins", bins)))  # one row on the right
+    bins = F.least(F.lit(40), F.greatest(F.lit(10), F.floor(F.sqrt(F.count(F.lit(1)))))).cast("int")
+    span = rows.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"), bins.alias("bins")).alias("s")).scalar()
+    joined = rows.withColumn("_s", span).select("v", "_s.*")
     width = F.col("hi") - F.col("lo")
     b = F.when(width > 0, F.floor((F.col("v") - F.col("lo")) / width * F.col("bins"))).otherwise(F.lit(0))
     return joined.groupBy(F.least(b, F.col("bins") - 1).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))

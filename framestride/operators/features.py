@@ -362,9 +362,8 @@ def position_stats(tokens_: DataFrame, most: int = 10_000, floor: float = 1e-4)
 
     Every ``max(1, rows // most)``-th row in sample order, as the feature asks for.
     """
-    n = tokens_.agg(F.count(F.lit(1)).alias("_rows"))
-    step = F.greatest(F.lit(1), F.floor(F.col("_rows") / most))
-    rows = tokens_.crossJoin(F.broadcast(n)).where(F.col("sample_id") % step == 0)  # one row on the right
+    step = tokens_.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / most)).alias("step")).scalar()
+    rows = tokens_.where(F.col("sample_id") % step == 0)
     hand = rows.select(F.explode(F.arrays_zip("tokens", "mask")).alias("t")).where(
         F.col("t.mask") & F.get("t.tokens", F.lit(0)).isin(HAND_LEFT, HAND_RIGHT)
     )
