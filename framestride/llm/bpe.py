@@ -19,7 +19,7 @@ import pyarrow as pa
 from framestride.llm.text import U, mix, slices
 
 #: Characters that are put together at a time, and distinct pieces kept per process.
-SLICE_CHARS, PIECES = 1 << 19, 3 << 20
+SLICE_CHARS, PIECES = 1 << 19, 2 << 20
 
 #: Code points that the quick way handles besides those below 0x250, white space, and contractions.
 _PUNCTUATION = ((0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0))
