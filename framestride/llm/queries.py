@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framestride.llm import elias_fano, packing
+from framestride.llm import containment, elias_fano, jaccard_join, packing, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,11 +26,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Words and distinct five-word shingles of a table ``source(id, text)``, as the operators define them.
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def shingle_sql(name: str, ident: str) -> str:
+    return f"""
+    SELECT DISTINCT {ident}, array_to_string(w[i:i + 4], ' ') AS s
+    FROM (SELECT {ident}, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i
+          FROM (SELECT {ident}, {WORDS} AS w FROM {name}))"""
+
+
+@query(
+    "op1_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    p AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+    r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+    c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+    SELECT vec_id, (SELECT count(*) FROM p WHERE p.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN c ON c.a = vec_id
+    """,
+)
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op4_token_id_files")
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elias_fano.token_ids(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op5_benchmark_decontamination",
+    f"""
+    WITH d AS ({shingle_sql("documents", "doc_id")}), b AS ({shingle_sql("benchmark", "item_id")}),
+    n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
+    h AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id)
+    SELECT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+    FROM h JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item
+    """,
+)
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containment.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op7_ngram_jaccard_join",
+    f"""
+    WITH RECURSIVE s AS ({shingle_sql("documents", "doc_id")}),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    h AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+    p AS (SELECT a, b, h.n = x.n AND h.n = y.n AS same FROM h JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE h.n >= 0.8 * (x.n + y.n - h.n)),
+    r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+    c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+    l AS (SELECT a, count(*) AS n_links, min(b) FILTER (same) AS first FROM p GROUP BY a)
+    SELECT doc_id, coalesce(least(first, doc_id), doc_id) AS class_id, coalesce(n_links, 0) AS n_links, component_id, doc_id = component_id AS kept
+    FROM documents JOIN c ON c.a = doc_id LEFT JOIN l ON l.a = doc_id
+    """,
+)
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
