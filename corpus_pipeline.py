@@ -1,10 +1,39 @@
-"""From documents to packed training sequences: filters, deduplication, decontamination and packing in stages."""
+"""From documents to packed training sequences: filters, deduplication, decontamination and packing in stages.
+
+Rows with a null doc_id pass the stages that match documents by id. Columns beside those of the documents table stay.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framestride.llm import containment, jaccard_join, language, packing, toxicity
+
+#: Confidence below which a language counts as not identified.
+LEAST_SCORE = 0.4
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity is below the threshold of their language."""
+    network = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(toxicity.toxicity(F.col("text"), network) < toxicity.threshold(F.col("lang"), network))
+
+
+def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified."""
+    found = language.predicted(F.col("text"), language.train(docs))
+    return docs.where((found["lang_pred"] != language.UNKNOWN) & (found["score"] >= LEAST_SCORE))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates; of rows that share a doc_id, one."""
+    return jaccard_join.without_copies(docs)
+
 
-from framestride.llm import packing
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return docs.where(~containment.is_contaminated(F.col("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,7 +41,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("best_fit_packing", packed)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("language_id", with_language),
+    ("ngram_jaccard_join", without_near_copies),
+    ("benchmark_decontamination", without_benchmark),
+    ("best_fit_packing", packed),
+]
 
 #: Trained models, tokenizer merges and bin packing are not SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -20,6 +55,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for _, step in STAGES:
+        docs = step(spark, docs, sf_dir)
     return docs
