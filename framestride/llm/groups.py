@@ -65,14 +65,14 @@ def _changes(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(changed) + 1
 
 
-def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """Apply ``fn(table, bounds)`` to tables of whole groups; a task holds one batch and one group at a time."""
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema, *order: str) -> DataFrame:
+    """Apply ``fn(table, bounds)`` to tables of whole groups, their rows in ``order``; a task holds one batch and one group at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in whole_groups(batches, keys):
             yield from fn(table, bounds)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -88,6 +88,24 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return label
 
 
+def forest(own: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Few links ``(low, high)`` that join what the links of a pair of blocks join.
+
+    In a block's pair with itself each position is linked to the first it reaches. In a pair of two blocks what hangs
+    together within one block counts as joined already, so only its first position is linked: a dense group of k blocks
+    gives about one link per row and one per pair, not one per row and pair.
+    """
+    n = len(own)
+    root = roots(n, left, right)
+    if own.min() == own.max():
+        high = np.flatnonzero(root != np.arange(n))
+        return root[high], high
+    same = own[left] == own[right]
+    within = roots(n, left[same], right[same])
+    high = np.flatnonzero((within == np.arange(n)) & (root != np.arange(n)))
+    return root[high], high
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of the graph of ``(a, b)``: component is the smallest node reachable.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framestride.llm.groups import blocked, components, map_groups, roots
+from framestride.llm.groups import blocked, components, forest, map_groups
 from framestride.llm.text import U, distinct, mix, shingles, word_batches
 from framestride.session import stage
 
@@ -173,7 +173,7 @@ def _loose(threshold: float):
         return TOKENS - np.bitwise_count(either).sum(-1, dtype=np.int64) >= least
 
     def compare(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        reps = table.column("rep").to_numpy()
+        reps, own = table.column("rep").to_numpy(), table.column("own").to_numpy()
         bits = _matrix(table.column("sketch").combine_chunks(), np.uint64, TOKENS // 32)
         sizes = np.diff(bounds)
         two = bounds[:-1][sizes == 2]
@@ -186,10 +186,9 @@ def _loose(threshold: float):
                 x, y = np.nonzero(similar(part[at : at + 256, None, :], part[None, at:, :]))
                 left.append(x + at)
                 right.append(y + at)
-            root = roots(n, np.concatenate(left), np.concatenate(right))
-            moved = np.flatnonzero(root != np.arange(n))
-            a.append(reps[start + moved])
-            b.append(reps[start + root[moved]])
+            low, high = forest(own[start : start + n], np.concatenate(left), np.concatenate(right))
+            a.append(reps[start + high])
+            b.append(reps[start + low])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return compare
@@ -204,7 +203,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RE
         shared = stage(leaves.join(sizes, "node"))
         last = depth == DEEPEST
         small = shared if last else shared.where(F.col("n") <= LEAF)
-        found.append(map_groups(blocked(small, "node", "n", "rep"), ["node", "lo", "hi"], _loose(threshold), "a long, b long"))
+        found.append(map_groups(blocked(small, "node", "n", "rep"), ["node", "lo", "hi"], _loose(threshold), "a long, b long", "rep"))
         large = shared.where(F.col("n") > LEAF)
         if last or large.isEmpty():
             break
@@ -232,13 +231,13 @@ def _exact(threshold: float):
             parts = [np.frombuffer(sets[i], np.uint64) for i in pick]
             size = np.array([len(p) for p in parts])
             shared = _overlaps(parts, size)
-            near = shared >= threshold * (size[:, None] + size[None, :] - shared)
-            near &= shared > 0
+            near = (shared >= threshold * (size[:, None] + size[None, :] - shared)) & (shared > 0)
+            np.fill_diagonal(near, False)
+            root = np.arange(n)
+            low, high = forest(own[pick], *np.nonzero(near))
+            root[high] = low
             if own[start:stop].min() != own[start:stop].max():
                 near &= own[pick][:, None] != own[pick][None, :]
-            np.fill_diagonal(near, False)
-            left, right = np.nonzero(near)
-            root = roots(n, left, right)
             out.append(np.stack([reps[pick], near @ copies[pick], reps[pick][root]]))
         if out:
             rows = np.concatenate(out, axis=1)
@@ -309,7 +308,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     if loose.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep")
-    compared = map_groups(blocked(_sets(texts), "component", "n", "rep"), ["component", "lo", "hi"], _exact(threshold), "a long, links long, b long")
+    compared = map_groups(blocked(_sets(texts), "component", "n", "rep"), ["component", "lo", "hi"], _exact(threshold), "a long, links long, b long", "rep")
     compared = stage(compared)
     links = compared.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     near = components(compared.select("a", "b").where("a <> b")).withColumnRenamed("node", "rep")
