@@ -58,13 +58,15 @@ HINTS = frozenset(
 )
 OUTSIDE = frozenset("header masthead topbar".split())
 
+ANCHORS = frozenset("article main h1".split())
+
 _TAG = re.compile(r"""<!--(.*?)(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[a-z]+|[0-9]+")
 
 
 class Element:
-    __slots__ = ("attributes", "chars", "density", "first", "inside", "items", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("anchors", "attributes", "chars", "density", "items", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag, self.parent, self.attributes = tag, parent, attributes
@@ -166,17 +168,23 @@ def _measure(root: Element) -> None:
     for e in reversed(_order(root)):
         e.chars = sum(_length(x) for x in e.items if isinstance(x, str)) if e.tag not in RAW else 0
         e.tags, e.link_chars, e.link_tags = 0, 0, 0
+        e.anchors = int(e.tag in ANCHORS)
         for c in e.children():
             e.chars += c.chars
             e.tags += c.tags + 1
             e.link_chars += c.link_chars
             e.link_tags += c.link_tags
+            e.anchors += c.anchors
         if e.tag == "a":
             e.link_chars, e.link_tags = e.chars, e.tags + 1
 
 
 def _cut(root: Element) -> None:
-    """Remove elements that hold no article text. A hint does not remove an element with most of the page's plain text."""
+    """Remove elements that hold no article text.
+
+    A hint does not remove an element with most of the page's plain text, unless the page's headline or article element
+    lies elsewhere.
+    """
     plain = root.chars - root.link_chars
     todo = [(root, False)]
     while todo:
@@ -189,7 +197,8 @@ def _cut(root: Element) -> None:
                     continue
                 words, hidden = _words(x.attributes) if x.attributes else (frozenset(), False)
                 hint = hidden or not words.isdisjoint(HINTS) or not article and not words.isdisjoint(OUTSIDE)
-                if hint and x.tag not in ("html", "body", "article", "main") and 2 * (x.chars - x.link_chars) <= plain:
+                most = 2 * (x.chars - x.link_chars) > plain and (x.anchors or not root.anchors)
+                if hint and not most and x.tag not in ("html", "body", "article", "main"):
                     keep.append(Element("#gap", e))
                     continue
                 todo.append((x, article or x.tag in ("article", "main")))
