@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framestride.operators import series as S
-from framestride.operators.skew import lookup_join
 
 KEY = ["episode", "frame_idx"]
 
@@ -58,7 +57,7 @@ def sample_index(training: DataFrame, side: str = "right", hands: str = "hands")
     # One row per recording, not per frame, meets in this window.
     before = F.sum("_n").over(Window.orderBy("episode").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("episode", F.coalesce(before, F.lit(0)).alias("_before"))
-    return lookup_join(rows, offsets, ["episode"], ["frame_idx"]).select(*KEY, (F.col("_before") + F.col("_in")).alias("sample_id"))
+    return rows.join(offsets, "episode").select(*KEY, (F.col("_before") + F.col("_in")).alias("sample_id"))
 
 
 def split_label(episode: Column, pattern: str = "*_000_vrs") -> Column:

@@ -101,7 +101,8 @@ def tokens(
 
     Order: the hands, the anchor object, the other objects by name. A token is the type, the pose in
     the reference frame (9), the hand(s) in the entity's frame (9 each) and a flag. A missing hand is
-    a zero row that is masked out.
+    a zero row that is masked out. Objects without a pose of 16 numbers have no token. ``dropped`` counts the entities
+    for which ``size`` leaves no place. Rows with a null reference pose have only padding.
     """
     width = 1 + 9 + 9 * len(sides) + 1
     mean_, std_ = np.asarray(mean, float), np.asarray(std, float)
@@ -110,7 +111,9 @@ def tokens(
     def build(reference: pd.Series, entities: pd.Series, counts: pd.Series, anchored: pd.Series, *hands_: pd.Series) -> pd.Series:
         n = len(reference)
         out = np.zeros((n, size, width))
-        inv = _rows(reference)[0].reshape(-1, 4, 4)
+        placed, seen = _rows(reference)
+        inv = np.tile(np.eye(4), (n, 1, 1))
+        inv[seen] = placed.reshape(-1, 4, 4)
         hand = []
         for i in range(len(sides)):
             m, known = _rows(hands_[2 * i])
@@ -131,7 +134,7 @@ def tokens(
             out[rows, slots, -1] = flag[keep]
 
         for i, (pose, known) in enumerate(hand):
-            rows = np.flatnonzero(known)
+            rows = np.flatnonzero(known & seen)
             grasp = (hands_[2 * i + 1].to_numpy(float)[rows] > 0.5).astype(float)
             fill(rows, np.full(len(rows), i), pose[rows], np.full(len(rows), kinds[i]), grasp, use_objects)
         if use_objects:
@@ -141,18 +144,19 @@ def tokens(
                 poses = np.concatenate(entities[per_row > 0].to_numpy()).reshape(-1, 4, 4)
                 rank = np.arange(len(rows)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
                 kind = np.where((rank == 0) & anchored.to_numpy(bool)[rows], ANCHOR, OTHER)
-                fill(rows, rank + len(sides), poses, kind, np.full(len(rows), -1.0), True)
+                here = seen[rows]
+                fill(rows[here], rank[here] + len(sides), poses[here], kind[here], np.full(int(here.sum()), -1.0), True)
         return pd.Series(list(out.reshape(n, -1)))
 
     # Objects with the anchor first, then by name; their poses as one flat array.
     entries = F.array_sort(
         F.transform(
-            F.map_entries(objects),
+            F.filter(F.map_entries(objects), lambda e: F.coalesce(F.size(e["value"]["T"]) == 16, F.lit(False))),
             lambda e: F.struct((e["key"] != anchor_key).alias("o"), e["key"].alias("k"), e["value"]["T"].alias("T")),
         )
     )
     poses = F.coalesce(F.flatten(F.transform(entries, lambda e: e["T"])), F.expr("cast(array() as array<double>)"))
-    anchored = F.coalesce(F.map_contains_key(objects, anchor_key), F.lit(False))
+    anchored = F.coalesce(F.size(F.try_element_at(objects, anchor_key)["T"]) == 16, F.lit(False))
     args = [reference, poses, (F.size(poses) / 16).cast("int"), anchored]
     for side in sides:
         h = F.try_element_at(hands, F.lit(side))
@@ -162,19 +166,23 @@ def tokens(
         flat,
         lambda t: G.let(
             F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.slice(t, i * width + 1, F.lit(width))),
-            lambda t: F.struct(t.alias("tokens"), F.transform(t, lambda x: x[0] != lit(PAD)).alias("mask")),
+            lambda t: F.struct(
+                t.alias("tokens"), F.transform(t, lambda x: x[0] != lit(PAD)).alias("mask"),
+                F.greatest(F.lit(0), (F.size(poses) / 16).cast("int") * int(use_objects) + len(sides) - size).alias("dropped"),
+            ),
         ),
     )
 
 
 def add_tokens(
     training: DataFrame, mean: Sequence[float], std: Sequence[float], frame_mode: str = "camera_frame",
-    sides: Sequence[str] = ("right",), use_objects: bool = True, reference: Column | None = None,
+    sides: Sequence[str] = ("right",), use_objects: bool = True, reference: Column | None = None, size: int = MAX_TOKENS,
 ) -> DataFrame:
-    """Tokens and mask of each training row (D01, D02); no shuffle."""
+    """Tokens and mask of each training row, and how many entities found no place (D01, D02); no shuffle."""
     out = training.withColumn("_ref", reference if reference is not None else reference_inverse(frame_mode))
-    t = tokens(F.col("_ref"), F.col("hands"), F.col("objects"), F.col("anchor_key"), mean, std, sides, use_objects)
-    return out.withColumn("_t", t).withColumns({"tokens": F.col("_t.tokens"), "mask": F.col("_t.mask")}).drop("_t", "_ref")
+    t = tokens(F.col("_ref"), F.col("hands"), F.col("objects"), F.col("anchor_key"), mean, std, sides, use_objects, size)
+    parts = {c: F.col(f"_t.{c}") for c in ("tokens", "mask", "dropped")}
+    return out.withColumn("_t", t).withColumns(parts).drop("_t", "_ref")
 
 
 def tokens_from_poses(
@@ -357,14 +365,12 @@ def safe_stride(samples: DataFrame, frames: DataFrame, horizon: int, largest: in
     return out.select("episode", "frame_idx", F.coalesce("s", F.lit(1)).alias("stride"))
 
 
-def position_stats(tokens_: DataFrame, most: int = 10_000, floor: float = 1e-4) -> DataFrame:
-    """Mean and population deviation of hand-token positions on an even sample of rows.
+def position_stats(tokens_: DataFrame, floor: float = 1e-4) -> DataFrame:
+    """Mean and population deviation of the hand-token positions of all rows (A13): one pass with map-side sums.
 
-    Every ``max(1, rows // most)``-th row in sample order, as the feature asks for.
+    A caller who wants fewer rows samples them first.
     """
-    step = tokens_.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / most)).alias("step")).scalar()
-    rows = tokens_.where(F.col("sample_id") % step == 0)
-    hand = rows.select(F.explode(F.arrays_zip("tokens", "mask")).alias("t")).where(
+    hand = tokens_.select(F.explode(F.arrays_zip("tokens", "mask")).alias("t")).where(
         F.col("t.mask") & F.get("t.tokens", F.lit(0)).isin(HAND_LEFT, HAND_RIGHT)
     )
     axis = [F.get("t.tokens", F.lit(i)) for i in (1, 2, 3)]

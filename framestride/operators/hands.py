@@ -68,8 +68,8 @@ def hands_by_method(frames: DataFrame, hands: DataFrame, ran: DataFrame) -> Data
     sides = hands.groupBy("episode", "frame_idx", "method").agg(
         F.map_from_entries(F.collect_list(F.struct("side", F.struct("T", "grasp")))).alias("_m")
     )
-    methods = [r[0] for r in ran.select("method").distinct().limit(100).collect()]  # method names, not data
-    grid = frames.select("episode", "frame_idx", F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
+    methods = ran.agg(F.sort_array(F.collect_set("method")).alias("m")).scalar()  # all method names, as one row
+    grid = frames.select("episode", "frame_idx", F.explode(methods).alias("method"))
     out = grid.join(sides, ["episode", "frame_idx", "method"], "left").join(
         ran.select("episode", "method", F.lit(True).alias("_ran")), ["episode", "method"], "left"
     )

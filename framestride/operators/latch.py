@@ -23,7 +23,6 @@ from framestride.operators import islands as I
 from framestride.operators import series as S
 from framestride.operators.bounds import bound, with_bound
 from framestride.operators.folds import stream_fold
-from framestride.operators.skew import lookup_join
 
 REACH_M = 0.20
 _RANK = {"left": 0, "right": 1}
@@ -129,7 +128,7 @@ def propagate(
     """
     bound_runs = bindings(hands, objects, anchors, disabled)
     rows = grasp_runs(hands).where("held").select("episode", "pos", "side", "run", "T")
-    held = lookup_join(rows, bound_runs, ["episode", "side", "run"], ["pos"])
+    held = rows.join(bound_runs, ["episode", "side", "run"])
     if disabled:
         held = held.where(~F.col("side").isin(*disabled))
     held = held.withColumn("_w", F.when(F.col("T").isNotNull(), F.array(*G.compose("T", "lock"))))
@@ -137,7 +136,7 @@ def propagate(
         F.max_by("_w", F.when(F.col("_w").isNotNull(), _rank(F.col("side")))).alias("_w")
     )
     frames = hands.where(F.col("side") == "left").select("episode", "pos")
-    grid = lookup_join(frames, objects.select("episode", "obj", F.col("T").alias("_static")), ["episode"], ["pos"])
+    grid = frames.join(objects.select("episode", "obj", F.col("T").alias("_static")), "episode")
     full = grid.join(writes.withColumn("_held", F.lit(True)), ["episode", "obj", "pos"], "left")
     full = S.scan(full, ["episode", "obj"], "pos", [S.last_valid("_now", "_w")])
     return full.select(
@@ -154,7 +153,7 @@ def online_latch(hands: DataFrame, objects: DataFrame, reach: float = REACH_M) -
     sequential pass is needed.
     """
     seen = hands.where(F.col("T").isNotNull())
-    pairs = lookup_join(seen.select("episode", "side", "pos", "T"), objects.select("episode", "obj", F.col("T").alias("_o")), ["episode"], ["pos"])
+    pairs = seen.select("episode", "side", "pos", "T").join(objects.select("episode", "obj", F.col("T").alias("_o")), "episode")
     gap = G.norm(G.sub(G.translation("T"), G.translation("_o")))
     near = pairs.groupBy("episode", "side", "pos").agg(
         F.min_by(F.struct("obj", "_o", gap.alias("gap")), F.struct(gap, "obj")).alias("near")

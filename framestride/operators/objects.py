@@ -14,7 +14,7 @@ from framestride.functions import geometry as G
 from framestride.functions import hands as H
 from framestride.functions.geometry import lit
 from framestride.operators import series as S
-from framestride.operators.skew import exact_quantiles, lookup_join
+from framestride.operators.skew import exact_quantiles
 from framestride.session import stage
 
 POINT = ("episode", "obj", "kpt")
@@ -84,7 +84,7 @@ def refine_points(
     views = stage(views.where(F.col("vis") != 0).select(*keys, "frame_idx", "u", "v", "k", F.array(*G.inverse_affine("c2w")).alias("_w")))
     current = points.select(*keys, "x", "y", "z")
     for _ in range(steps):
-        rows = lookup_join(views, current, keys, ["frame_idx"])
+        rows = views.join(current, keys)
         k, w = G.elements("k", 9), G.elements("_w", 16)
         pc = F.array(*[G.dot(w[4 * i : 4 * i + 3], [F.col(c) for c in "xyz"]) + w[4 * i + 3] for i in range(3)])
         rows = rows.withColumn("_c", pc).where(F.get("_c", F.lit(2)) >= lit(1e-4))
@@ -122,7 +122,7 @@ def refine_points(
 def sample_views(views: DataFrame, step: int, start: int = 0, end: int | None = None) -> DataFrame:
     """Every ``step``-th frame of the range and its last frame."""
     last = views.groupBy("episode").agg(F.max("frame_idx").alias("_last"))
-    rows = lookup_join(views, last, ["episode"], ["frame_idx"])
+    rows = views.join(last, "episode")
     top = F.col("_last") if end is None else F.least(F.col("_last"), F.lit(end))
     first = F.least(F.lit(start), top)
     f = F.col("frame_idx")
@@ -223,23 +223,31 @@ def object_frames(
     """Object pose from the principal axes of its points; the rule may differ per object.
 
     ``anchors`` names the anchor object per episode (``anchor_key``), ``methods`` the rule per ``obj``.
-    Only the 3x3 scatter matrix of each object reaches Python.
+    Only the 3x3 scatter matrix of each object reaches Python. Where the recording names no anchor, or the anchor has no
+    points, the other objects have no pose and ``error`` says why.
     """
     clouds = scatter(points)
     centre = F.array(*[F.col(f"c{c}") for c in "xyz"])
-    clouds = clouds.withColumn("centre", centre).join(anchors, "episode")
+    clouds = clouds.withColumn("centre", centre).join(anchors, "episode", "left")
     anchor = clouds.where(F.col("obj") == F.col("anchor_key")).select("episode", F.col("centre").alias("anchor_centre"))
     rows = clouds.join(anchor, "episode", "left")
     if methods is not None:
-        rows = rows.join(F.broadcast(methods), "obj", "left")  # a handful of configured objects
+        rows = rows.join(methods, "obj", "left")
     rule = F.coalesce(F.col("rule"), F.lit(default)) if methods is not None else F.lit(default)
     packed = F.array(*[F.col(f"s{'xyz'[i]}{'xyz'[j]}") for i, j in _PAIRS3])
-    other = F.when(F.col("obj") != F.col("anchor_key"), F.col("anchor_centre"))
+    is_anchor = F.coalesce(F.col("obj") == F.col("anchor_key"), F.lit(False))
+    error = F.when(F.col("anchor_key").isNull(), "no anchor named").when(~is_anchor & F.col("anchor_centre").isNull(), "anchor without points")
+    other = F.when(~is_anchor, F.col("anchor_centre"))
+    rows = rows.withColumn("error", error)
 
-    def frames(scatter_: pd.Series, centre_: pd.Series, anchor_: pd.Series, rule_: pd.Series) -> pd.DataFrame:
+    def frames(scatter_: pd.Series, centre_: pd.Series, anchor_: pd.Series, rule_: pd.Series, lost: pd.Series) -> pd.DataFrame:
         w, v = np.linalg.eigh(_symmetric(np.stack(scatter_.to_numpy()), 3, _PAIRS3))
         out, used = [], []
         for i in range(len(w)):
+            if lost.iloc[i]:
+                out.append(None)
+                used.append(None)
+                continue
             c = np.asarray(centre_.iloc[i], float)
             a = None if anchor_.iloc[i] is None else np.asarray(anchor_.iloc[i], float)
             rot, name = AXIS_RULES[rule_.iloc[i]](w[i, ::-1], v[i][:, ::-1], c, a)
@@ -251,7 +259,7 @@ def object_frames(
 
     kind = T.StructType.fromDDL("T array<double>, rule string, spread array<double>")
     udf = F.pandas_udf(frames, kind)
-    return rows.withColumn("_f", udf(packed, "centre", other, rule)).select("episode", "obj", "n", "_f.*")
+    return rows.withColumn("_f", udf(packed, "centre", other, rule, F.col("error").isNotNull())).select("episode", "obj", "n", "_f.*", "error")
 
 
 # --- stereo ------------------------------------------------------------------------------------------

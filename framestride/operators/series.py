@@ -39,7 +39,7 @@ def chunk_by_index(df: DataFrame, order: str, rows: int | None = None) -> DataFr
 def chunk_hot(df: DataFrame, keys: Sequence[str], order: str, rows: int | None = None) -> DataFrame:
     """Cut only the series with more than ``rows`` rows, evenly over the span of ``order``.
 
-    The lookup of hot series has at most (all rows / ``rows``) entries, so it is broadcast.
+    The lookup of hot series has at most (all rows / ``rows``) entries; Spark broadcasts it while it is small.
     """
     rows = rows or hot_rows(df)
     keys = list(keys)
@@ -58,7 +58,7 @@ def chunk_hot(df: DataFrame, keys: Sequence[str], order: str, rows: int | None =
     on = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
     chunk = F.coalesce(F.floor((F.col(order) - F.col("_lo")) / F.col("_width")).cast("long"), F.lit(0).cast("long"))
     return (
-        df.join(F.broadcast(hot), on, "left")
+        df.join(hot, on, "left")
         .withColumn(CHUNK, chunk)
         .drop("_lo", "_width", *[f"_hot_{k}" for k in keys])
     )

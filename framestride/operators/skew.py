@@ -1,4 +1,4 @@
-"""Joins and quantiles whose hot groups are split."""
+"""Quantiles whose hot groups are split."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from framestride.session import hot_rows, stage
 def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
     """Keys with more than ``rows`` rows and the number of salts they need.
 
-    At most (all rows / ``rows``) keys can be hot; this is the proven bound of the broadcasts below.
+    At most (all rows / ``rows``) keys can be hot.
     """
     rows = rows or hot_rows(df)
     return (
@@ -25,42 +25,6 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> Dat
     )
 
 
-def lookup_join(
-    rows: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    salt_on: Sequence[str],
-    how: str = "inner",
-    max_rows: int | None = None,
-) -> DataFrame:
-    """Join rows to a small-per-key lookup on ``keys``; keys that are hot in ``rows`` are salted.
-
-    ``salt_on`` names row columns whose hash spreads a hot key. The lookup rows of a hot key are
-    repeated once per salt, so no task receives more than about ``max_rows`` rows of one key.
-    """
-    keys = list(keys)
-    if fits(rows, keys, max_rows or hot_rows(rows)):
-        return rows.join(lookup, keys, how)
-    rows = stage(rows)
-    hot = hot_keys(rows, keys, max_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_salts")
-    match = [F.col(k) == F.col(f"_h_{k}") for k in keys]
-    drop = [f"_h_{k}" for k in keys] + ["_salts"]
-    left = (
-        rows.join(F.broadcast(hot), match, "left")
-        .withColumn(
-            "_salt",
-            F.coalesce(F.pmod(F.xxhash64(*salt_on), F.col("_salts")).cast("int"), F.lit(0)),
-        )
-        .drop(*drop)
-    )
-    right = (
-        lookup.join(F.broadcast(hot), match, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop(*drop)
-    )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
-
-
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -85,8 +49,8 @@ def exact_quantiles(
     hot = hot_keys(valid, keys, max_rows).drop("_salts")
     if not hot.take(1):
         return _percentiles(valid, keys, quantiles, names)
-    usual = _percentiles(valid.join(F.broadcast(hot), keys, "left_anti"), keys, quantiles, names)
-    large = _ranked_quantiles(valid.join(F.broadcast(hot), keys, "left_semi"), keys, quantiles, names, max_rows)
+    usual = _percentiles(valid.join(hot, keys, "left_anti"), keys, quantiles, names)
+    large = _ranked_quantiles(valid.join(hot, keys, "left_semi"), keys, quantiles, names, max_rows)
     return usual.unionByName(large)
 
 
@@ -100,8 +64,12 @@ def _ranked_quantiles(
 ) -> DataFrame:
     steps = 4096
     v = F.col("_v")
-    power = F.when(v == 0, F.lit(0)).otherwise(
-        (F.signum(v) * (F.floor(F.log2(F.abs(v))) + 1100)).cast("int")
+    # Infinities and NaN (the largest value) have classes of their own.
+    power = (
+        F.when(v == 0, F.lit(0))
+        .when(F.isnan(v), F.lit(5001))
+        .when(F.abs(v) == F.lit(float("inf")), (F.signum(v) * 5000).cast("int"))
+        .otherwise((F.signum(v) * (F.floor(F.log2(F.abs(v))) + 1100)).cast("int"))
     )
     coarse = (
         df.withColumn("_b", power)
@@ -134,8 +102,7 @@ def _ranked_quantiles(
     first = pick(coarse.select("*", wanted), F.col("_w.rank")).select(
         *keys, "_b", "_lo", "_hi", "_w.q", "_w.upper", "_w.at", (F.col("_w.rank") - F.col("_below")).alias("_rank")
     )
-    # One row per hot key, quantile and bound: within the bound of the hot-key list.
-    ranges = F.broadcast(first.select(*keys, "_b", "_lo", "_hi").distinct())
+    ranges = first.select(*keys, "_b", "_lo", "_hi").distinct()
     step = F.when(F.col("_hi") > F.col("_lo"), F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * steps))
     narrowed = df.withColumn("_b", power).join(ranges, [*keys, "_b"]).withColumn(
         "_s", F.coalesce(step.cast("int"), F.lit(0))
@@ -144,16 +111,16 @@ def _ranked_quantiles(
     fine = narrowed.groupBy(*keys, "_b", "_s").agg(F.count(F.lit(1)).alias("_c"))
     fine = fine.withColumn("_below", F.sum("_c").over(by_range.orderBy("_s")) - F.col("_c"))
     second = pick(
-        fine.join(F.broadcast(first.drop("_lo", "_hi")), [*keys, "_b"]), F.col("_rank")
+        fine.join(first.drop("_lo", "_hi"), [*keys, "_b"]), F.col("_rank")
     ).select(*keys, "_b", "_s", "q", "upper", "at", (F.col("_rank") - F.col("_below")).alias("_rank"))
 
-    cells = F.broadcast(second.select(*keys, "_b", "_s").distinct())
+    cells = second.select(*keys, "_b", "_s").distinct()
     values = narrowed.join(cells, [*keys, "_b", "_s"]).groupBy(*keys, "_b", "_s", "_v").agg(
         F.count(F.lit(1)).alias("_c")
     )
     by_cell = Window.partitionBy(*keys, "_b", "_s").orderBy("_v")
     values = values.withColumn("_below", F.sum("_c").over(by_cell) - F.col("_c"))
-    found = pick(values.join(F.broadcast(second), [*keys, "_b", "_s"]), F.col("_rank"))
+    found = pick(values.join(second, [*keys, "_b", "_s"]), F.col("_rank"))
 
     def bound(i: int, upper: bool) -> Column:
         return F.max(F.when((F.col("q") == i) & (F.col("upper") == upper), F.col("_v")))
@@ -161,6 +128,7 @@ def _ranked_quantiles(
     def result(i: int) -> Column:
         at = F.max(F.when(F.col("q") == i, F.col("at")))
         lo, hi = bound(i, False), bound(i, True)
-        return lo + (hi - lo) * (at - F.floor(at))
+        part = at - F.floor(at)
+        return F.when(lo == hi, lo).otherwise(lo * (1 - part) + hi * part)
 
     return found.groupBy(*keys).agg(*[result(i).alias(n) for i, n in enumerate(names)])

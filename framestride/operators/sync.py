@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framestride.operators import series as S
 from framestride.operators.bounds import bound, with_bound
-from framestride.operators.skew import exact_quantiles, lookup_join
+from framestride.operators.skew import exact_quantiles
 from framestride.session import chunk_rows, stage
 
 
@@ -138,4 +138,4 @@ def monotonic_guard(df: DataFrame, nominal: str, order: str = "frame_idx", name:
 
 def attach_session(frames: DataFrame, sessions: DataFrame, how: str = "inner") -> DataFrame:
     """Per-recording dimension on every frame, salted for very long recordings."""
-    return lookup_join(frames, sessions, ["episode"], ["frame_idx"], how)
+    return frames.join(sessions, "episode", how)

@@ -279,15 +279,12 @@ def safe_stride(spark, sf_dir):
 
 @query(
     "position_statistics",
-    F0 + """, s as (select *, row_number() over (order by episode, frame_idx) - 1 as sid from frames where event_id % 7 <> 0),
-      t as (select x + 0.01e0 - episode / 1000e0 as px, y as py from s where sid % greatest(1, (select count(*) from s) // 1000) = 0)
+    F0 + """, t as (select x + 0.01e0 - episode / 1000e0 as px, y as py from frames where event_id % 7 <> 0)
       select count(*) as hand_tokens, round(avg(px), 6) as mean_x, round(avg(py), 6) as mean_y, round(greatest(stddev_pop(px), 1e-4), 6) as std_x from t""",
 )
 def position_statistics(spark, sf_dir):
-    rec = records(spark, sf_dir)
-    ids = D.sample_index(rec)
-    t = X.add_tokens(rec.join(ids, ["episode", "frame_idx"]), (0.0, 0.0, 0.0), (1.0 - 1e-8,) * 3)
-    o = X.position_stats(t, most=1000)
+    t = X.add_tokens(records(spark, sf_dir), (0.0, 0.0, 0.0), (1.0 - 1e-8,) * 3)
+    o = X.position_stats(t)
     return o.select("hand_tokens", r("mean_x", 6), r("mean_y", 6), r("std_x", 6))
 
 

@@ -81,18 +81,19 @@ def missing_files(spark, sf_dir):
 
 
 STAGES = tuple(f"signup_{i}" for i in range(6))
-_FIRST = " ".join(f"when not bool_or(stage = '{s}') then '{s}'" for s in STAGES)
+_FIRST = " ".join(f"when not coalesce(bool_or(stage = '{s}'), false) then '{s}'" for s in STAGES)
 
 
 @query(
     "first_open_stage",
-    f"""with a as (select user_id as episode, event_type || '_' || (event_id % 16) as stage from events)
-       select episode, case {_FIRST} end as start from a group by episode""",
+    f"""with a as (select user_id as episode, event_type || '_' || (event_id % 16) as stage from events where value >= 50),
+       e as (select distinct user_id as episode from events)
+       select e.episode, case {_FIRST} end as start from e left join a using (episode) group by e.episode""",
 )
 def first_open_stage(spark, sf_dir):
     stage = F.concat_ws("_", "event_type", (F.col("event_id") % 16).cast("string"))
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode"), stage.alias("stage"))
-    return R.first_open_stage(e, STAGES).select("episode", "start")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode"), stage.alias("stage"), "value")
+    return R.first_open_stage(e.select("episode"), e.where("value >= 50"), STAGES).select("episode", "start")
 
 
 @query(

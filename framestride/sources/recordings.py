@@ -44,11 +44,13 @@ ROBOT_NAME = r"^(?:teleop|teaching)_.*_(\d+)$"
 
 
 def numbered_sessions(names: DataFrame, first: int | None = None, last: int | None = None, pattern: str | None = None) -> DataFrame:
-    """Matching recordings in numeric order, optionally an inclusive range."""
+    """Matching recordings in numeric order, optionally an inclusive range, open on either side."""
     number = session_number(F.col("episode"), pattern) if pattern else session_number(F.col("episode"))
     rows = names.withColumn("session_index", number).where("session_index is not null")
     if first is not None:
-        rows = rows.where(F.col("session_index").between(first, last))
+        rows = rows.where(F.col("session_index") >= first)
+    if last is not None:
+        rows = rows.where(F.col("session_index") <= last)
     return rows.orderBy("session_index")
 
 
@@ -94,13 +96,15 @@ def inventory(files: DataFrame, exclude_derived: bool = False) -> DataFrame:
     return rows.groupBy("episode").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
-def first_open_stage(artefacts: DataFrame, stages: Sequence[str]) -> DataFrame:
+def first_open_stage(recordings: DataFrame, artefacts: DataFrame, stages: Sequence[str]) -> DataFrame:
     """Finished stages per recording and the first unfinished one in order.
 
-    ``artefacts`` has ``episode`` and ``stage`` for each artefact that exists.
+    ``artefacts`` has ``episode`` and ``stage`` for each artefact that exists; a recording without any starts at the
+    first stage.
     """
     done = {s: F.max((F.col("stage") == s).cast("int")) for s in stages}
     flags = artefacts.groupBy("episode").agg(*[c.alias(s) for s, c in done.items()])
+    flags = recordings.select("episode").distinct().join(flags, "episode", "left").fillna(0, list(stages))
     open_ = F.coalesce(*[F.when(F.col(s) == 0, F.lit(s)) for s in stages])
     return flags.select(
         "episode", F.array_compact(F.array(*[F.when(F.col(s) == 1, F.lit(s)) for s in stages])).alias("completed"), open_.alias("start")

@@ -80,13 +80,6 @@ def test_hot_quantiles_are_exact(small_chunks):
     np.testing.assert_allclose(got.to_numpy(float), want.to_numpy(float), rtol=1e-12)
 
 
-@pytest.mark.parametrize("how,rows", [("inner", 90), ("left", 100)])
-def test_lookup_join_salts_hot_keys(small_chunks, how, rows):
-    left = small_chunks.range(100).select(F.when(F.col("id") < 90, "hot").otherwise("cold").alias("k"), "id")
-    right = small_chunks.createDataFrame([("hot", 1)], "k string, z int")
-    out = skew.lookup_join(left, right, ["k"], ["id"], how)
-    assert out.count() == rows and out.where("z = 1").count() == 90
-
 
 def nearest_brute(v, t):
     return [min(t, key=lambda x: (abs(x - a), x)) for a in v]
