@@ -292,13 +292,11 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / (np.linalg.norm(v) + 1e-6)
 
 
-def _average_direction(v: np.ndarray, state: np.ndarray | None, alpha: float) -> np.ndarray:
-    v = _unit(v)
-    if state is None:
-        return v
-    if float(v @ state) < 0:
-        v = -v
-    return _unit((1 - alpha) * state + alpha * v)
+def _blend(axes: np.ndarray, state: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Move unit vectors (rows) towards new ones, each taken with the sign that agrees with its state."""
+    signs = np.where((axes * state).sum(1, keepdims=True) < 0, -1.0, 1.0)
+    moved = state + weights * (signs * axes - state)
+    return moved / (np.linalg.norm(moved, axis=1, keepdims=True) + 1e-6)
 
 
 def smooth_axes(
@@ -309,19 +307,20 @@ def smooth_axes(
     schema = _with_columns(df, f"{rotation} array<double>")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = y = None
+        state = None
+        weights = np.array([[alpha_x], [alpha_y]])
         for pdf in batches:
             out = []
             for m in pdf[rotation]:
                 if m is None:
-                    x = y = None
+                    state = None
                     out.append(None)
                     continue
-                r = np.asarray(m, float).reshape(3, 3)
-                x = _average_direction(r[:, 0], x, alpha_x)
-                y = _average_direction(r[:, 1], y, alpha_y)
-                z = _unit(np.cross(x, y))
-                out.append(np.column_stack([x, np.cross(z, x), z]).ravel())
+                axes = np.asarray(m, float).reshape(3, 3)[:, :2].T
+                axes = axes / (np.linalg.norm(axes, axis=1, keepdims=True) + 1e-6)
+                state = axes if state is None else _blend(axes, state, weights)
+                z = _unit(np.cross(*state))
+                out.append(np.column_stack([state[0], np.cross(z, state[0]), z]).ravel())
             pdf[rotation] = out
             yield pdf[schema.names]
 
@@ -349,25 +348,23 @@ def _rotation(v: np.ndarray) -> np.ndarray:
     return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * (k @ k)
 
 
+def _limited(change: np.ndarray, share: float, most: float | None) -> np.ndarray:
+    """A share of a change, no longer than ``most``."""
+    size = float(np.linalg.norm(change))
+    return change * (share if most is None or size * share <= most else most / size)
+
+
 def smooth_command(
     previous: np.ndarray | None, target: np.ndarray, alpha_pos: float, alpha_rot: float, max_pos_step: float,
     max_rot_step: float | None,
 ) -> np.ndarray:
-    """One step of pose command smoothing with clamps."""
+    """One step of pose command smoothing with clamps (W48): limited translation, limited turn along the geodesic."""
     if previous is None:
         return target.copy()
-    step = (1 - alpha_pos) * (target[:3, 3] - previous[:3, 3])
-    size = np.linalg.norm(step)
-    if size > max_pos_step:
-        step = step / size * max_pos_step
-    turn = _rotation_vector(previous[:3, :3].T @ target[:3, :3])
-    fraction = 1 - alpha_rot
-    angle = np.linalg.norm(turn)
-    if max_rot_step is not None and angle > 1e-9:
-        fraction = min(fraction, max_rot_step / angle)
-    out = np.eye(4)
-    out[:3, :3] = previous[:3, :3] @ _rotation(turn * fraction)
-    out[:3, 3] = previous[:3, 3] + step
+    start = previous[:3, :3]
+    out = previous.copy()
+    out[:3, 3] += _limited(target[:3, 3] - previous[:3, 3], 1 - alpha_pos, max_pos_step)
+    out[:3, :3] = start @ _rotation(_limited(_rotation_vector(start.T @ target[:3, :3]), 1 - alpha_rot, max_rot_step))
     return out
 
 

@@ -176,37 +176,43 @@ def online_latch(hands: DataFrame, objects: DataFrame, reach: float = REACH_M) -
     )
 
 
+#: Phases of a hand: closed since the recording began, open, closed without a decision, closed with one.
+INITIAL, OPEN, UNDECIDED, DECIDED = range(4)
+
+
+def next_phase(policy: str, phase: int, grasp: bool, visible: bool) -> int:
+    """A hand's phase before a frame's decision: runs of grasp rows begin where an open phase ends."""
+    if policy == "online" and not visible:
+        return phase
+    if not grasp:
+        return OPEN
+    return UNDECIDED if phase == OPEN else phase
+
+
 def reference_step(state: dict, policy: str, poses: dict, hands: dict, anchor, reach: float = REACH_M) -> dict:
     """One frame of the latch rules for a small in-memory state; streaming uses it per arriving frame.
 
-    ``poses`` are the current object poses (``dataset``) or the static ones (``online``); ``hands`` maps
-    a side to (grasp, pose or None). Returns the objects moved in this frame.
+    ``state`` holds phase, object and offset per side, as the batch form holds one binding per grasp run. ``poses`` are
+    the current object poses (``dataset``) or the static ones (``online``); ``hands`` maps a side to (grasp, pose or None).
+    Returns the objects moved in this frame.
     """
-    moved = {}
-    for side in ("left", "right"):
-        if side not in hands:
-            continue
+    online, moved = policy == "online", {}
+    for side in sorted(hands, key=_RANK.get):
         grasp, pose = hands[side]
-        s = state.setdefault(side, {"on": False, "released": False, "obj": None, "lock": None})
-        if policy == "online":
-            if pose is None:
-                continue
-            if not grasp:
-                s["obj"] = s["lock"] = None
-            latch = grasp and s["obj"] is None
-        else:
-            s["released"] = s["released"] or not grasp
-            latch = grasp and not s["on"] and s["released"] and pose is not None
-            if not grasp:
-                s.update(on=False, obj=None, lock=None)
-        if latch:
-            s["on"] = True
-            skip = None if policy == "online" else anchor
-            near = [(np.linalg.norm(pose[:3, 3] - p[:3, 3]), o) for o, p in sorted(poses.items()) if o != skip]
-            gap, obj = min(near, key=lambda n: n[0], default=(np.inf, None))
-            s["obj"], s["lock"] = (obj, np.linalg.inv(pose) @ poses[obj]) if gap < reach else (None, None)
-        if s["obj"] is not None and pose is not None:
-            moved[s["obj"]] = pose @ s["lock"]
-            if policy != "online":
-                poses[s["obj"]] = moved[s["obj"]]
+        known = state.get(side, {"phase": OPEN if online else INITIAL, "obj": None, "offset": None})
+        obj, offset = known["obj"], known["offset"]
+        phase = next_phase(policy, known["phase"], grasp, pose is not None)
+        if phase == OPEN:
+            obj = offset = None
+        if phase == UNDECIDED and pose is not None:
+            gaps = {o: float(np.linalg.norm(pose[:3, 3] - p[:3, 3])) for o, p in poses.items() if online or o != anchor}
+            obj = min(gaps, key=lambda o: (gaps[o], o), default=None)
+            obj = obj if obj is not None and gaps[obj] < reach else None
+            offset = None if obj is None else np.linalg.inv(pose) @ poses[obj]
+            phase = UNDECIDED if online and obj is None else DECIDED
+        state[side] = {"phase": phase, "obj": obj, "offset": offset}
+        if obj is not None and pose is not None:
+            moved[obj] = pose @ offset
+            if not online:
+                poses[obj] = moved[obj]
     return moved

@@ -166,55 +166,57 @@ def scatter(points: DataFrame, keys: Sequence[str] = ("episode", "obj")) -> Data
     return total
 
 
-_UP, _RIGHT, _DOWN = np.array([0.0, -1.0, 0.0]), np.array([1.0, 0.0, 0.0]), np.array([0.0, 1.0, 0.0])
+#: Image directions, and the names of the rules by (posture rule, anchor, case).
+_RIGHT, _DOWN = np.array([1.0, 0.0, 0.0]), np.array([0.0, 1.0, 0.0])
+RULES = {"pca1": False, "pca2": True}
+_NAMES = np.array([
+    [["context_aligned", "context_stacked"], ["anchor_symmetric", "anchor_elongated"]],
+    [["horizontal_context", "vertical_context"], ["horizontal_anchor", "vertical_anchor"]],
+])
 
 
-def _toward(v: np.ndarray, direction: np.ndarray) -> np.ndarray:
-    return -v if v @ direction < 0 else v
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sum(a * b, axis=-1, keepdims=True)
 
 
-def _flatten(v: np.ndarray, normal: np.ndarray) -> np.ndarray:
-    return v - (v @ normal) * normal
+def _normalised(v: np.ndarray) -> np.ndarray:
+    return v / (np.sqrt(_dot(v, v)) + 1e-12)
 
 
-def axes_by_variance(values, vectors, centre, anchor) -> tuple[np.ndarray, str]:
-    """First axis rule: the anchor object by its middle axis, others by their flat side.
+def _facing(v: np.ndarray, direction: np.ndarray) -> np.ndarray:
+    """The vectors, turned round where they point away from a direction."""
+    return np.where(_dot(v, direction) < 0, -v, v)
 
-    ``values`` descend and ``vectors`` are the matching columns; ``anchor`` is None for the anchor itself.
+
+def principal_axes(
+    values: np.ndarray, vectors: np.ndarray, aim: np.ndarray, is_anchor: np.ndarray, posture: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rotation matrices and rule names of all objects at once.
+
+    ``values`` descend and the columns of ``vectors`` match; ``aim`` points from the object to the anchor. Two rules give
+    the x and y axes: by variance, the anchor keeps its middle axis down and others their flat side; by posture
+    (``posture``), the long axis is vertical or horizontal in the image.
     """
-    long, middle, short = vectors.T
-    if anchor is None:
-        y = _toward(middle, _DOWN)
-        if (values[0] - values[1]) / (values[0] + 1e-12) > 0.15:
-            x, rule = _toward(long, _RIGHT), "anchor_elongated"
-        else:
-            x, rule = _flatten(_RIGHT, y), "anchor_symmetric"
-    else:
-        y = _toward(short, _DOWN)
-        x, rule = _flatten(anchor - centre, y), "context_aligned"
-        if np.linalg.norm(x) <= 1e-4:
-            x, rule = _flatten(_RIGHT, y), "context_stacked"
-    x = _flatten(x / (np.linalg.norm(x) + 1e-12), y)
-    x = x / (np.linalg.norm(x) + 1e-12)
-    z = np.cross(x, y)
-    return np.column_stack([x, y, z / (np.linalg.norm(z) + 1e-12)]), rule
-
-
-def axes_by_posture(values, vectors, centre, anchor) -> tuple[np.ndarray, str]:
-    """Second axis rule: the long axis is vertical or horizontal in the image."""
-    long, middle, short = vectors.T
-    side = _RIGHT if anchor is None else anchor - centre
-    who = "anchor" if anchor is None else "context"
-    stronger = lambda d: middle if abs(middle @ d) > abs(short @ d) else short
-    if abs(long @ _DOWN) > abs(long @ _RIGHT):
-        y, x, rule = _toward(long, _DOWN), _toward(stronger(side), side), f"vertical_{who}"
-    else:
-        x, y, rule = _toward(long, side), _toward(stronger(_DOWN), _DOWN), f"horizontal_{who}"
-    z = np.cross(x, y)
-    return np.column_stack([x, y, z / (np.linalg.norm(z) + 1e-12)]), rule
-
-
-AXIS_RULES: dict[str, Callable] = {"pca1": axes_by_variance, "pca2": axes_by_posture}
+    long, middle, short = np.moveaxis(vectors, 2, 0)
+    anchor = is_anchor[:, None]
+    aim = np.where(anchor, _RIGHT, aim)
+
+    y = _facing(np.where(anchor, middle, short), _DOWN)
+    flat = lambda v: v - _dot(v, y) * y
+    toward = flat(aim)
+    stretched = anchor & ((values[:, :1] - values[:, 1:2]) / (values[:, :1] + 1e-12) > 0.15)
+    stacked = ~anchor & (np.sqrt(_dot(toward, toward)) <= 1e-4)
+    x = np.select([stretched, stacked], [_facing(long, _RIGHT), flat(np.broadcast_to(_RIGHT, y.shape))], toward)
+    x = _normalised(flat(_normalised(x)))
+
+    upright = np.abs(_dot(long, _DOWN)) > np.abs(_dot(long, _RIGHT))
+    side = lambda d: np.where(np.abs(_dot(middle, d)) > np.abs(_dot(short, d)), middle, short)
+    by_posture = posture[:, None]
+    x = np.where(by_posture, _facing(np.where(upright, side(aim), long), aim), x)
+    y = np.where(by_posture, _facing(np.where(upright, long, side(_DOWN)), _DOWN), y)
+    case = np.where(by_posture, upright, stretched | stacked)[:, 0]
+    names = _NAMES[posture.astype(int), is_anchor.astype(int), case.astype(int)]
+    return np.stack([x, y, _normalised(np.cross(x, y))], axis=2), names
 
 
 def object_frames(
@@ -240,26 +242,21 @@ def object_frames(
     other = F.when(~is_anchor, F.col("anchor_centre"))
     rows = rows.withColumn("error", error)
 
-    def frames(scatter_: pd.Series, centre_: pd.Series, anchor_: pd.Series, rule_: pd.Series, lost: pd.Series) -> pd.DataFrame:
+    def frames(scatter_: pd.Series, centre_: pd.Series, anchor_: pd.Series, is_anchor_: pd.Series, rule_: pd.Series, lost: pd.Series) -> pd.DataFrame:
         w, v = np.linalg.eigh(_symmetric(np.stack(scatter_.to_numpy()), 3, _PAIRS3))
-        out, used = [], []
-        for i in range(len(w)):
-            if lost.iloc[i]:
-                out.append(None)
-                used.append(None)
-                continue
-            c = np.asarray(centre_.iloc[i], float)
-            a = None if anchor_.iloc[i] is None else np.asarray(anchor_.iloc[i], float)
-            rot, name = AXIS_RULES[rule_.iloc[i]](w[i, ::-1], v[i][:, ::-1], c, a)
-            pose = np.eye(4)
-            pose[:3, :3], pose[:3, 3] = rot, c
-            out.append(pose.ravel())
-            used.append(name)
-        return pd.DataFrame({"T": out, "rule": used, "spread": list(w[:, ::-1])})
+        w, v = w[:, ::-1], v[:, :, ::-1]
+        at = np.stack(centre_.to_numpy()).astype(float)
+        to = np.stack([c if a is None else np.asarray(a, float) for a, c in zip(anchor_, at)])
+        rotation, names = principal_axes(w, v, to - at, is_anchor_.to_numpy(bool), rule_.map(RULES).to_numpy(bool))
+        pose = np.tile(np.eye(4), (len(w), 1, 1))
+        pose[:, :3, :3], pose[:, :3, 3] = rotation, at
+        known = ~lost.to_numpy(bool)
+        poses = pd.Series(list(pose.reshape(-1, 16)), dtype=object).where(known, None)
+        return pd.DataFrame({"T": poses, "rule": pd.Series(names, dtype=object).where(known, None), "spread": list(w)})
 
     kind = T.StructType.fromDDL("T array<double>, rule string, spread array<double>")
     udf = F.pandas_udf(frames, kind)
-    return rows.withColumn("_f", udf(packed, "centre", other, rule, F.col("error").isNotNull())).select("episode", "obj", "n", "_f.*", "error")
+    return rows.withColumn("_f", udf(packed, "centre", other, is_anchor, rule, F.col("error").isNotNull())).select("episode", "obj", "n", "_f.*", "error")
 
 
 # --- stereo ------------------------------------------------------------------------------------------

@@ -83,34 +83,35 @@ class _MotionAudit(_Fold):
         self.period, self.cfg = period, cfg
 
     def fold(self, key, state, pdf):
-        out = []
         episode, entity = key
-        kind = "camera" if entity == "camera" else ("hand" if entity.startswith("hand_") else "object")
-        c = self.cfg["trajectory"]
-        jump, fast = c[f"{kind}_translation_jump_warn_m"], c[f"{kind}_translation_speed_warn_mps"]
-
-        def issue(row, severity, category, metric, value):
-            out.append((episode, entity, int(row.frame_idx), severity, category, metric, value))
-
-        for row in pdf.itertuples(index=False):
-            if state is not None and row.frame_idx <= state[0]:
-                continue
-            if state is not None:
-                dt = row.ts_s - state[1]
-                if entity == "camera":
-                    if not dt > 0:
-                        issue(row, "error", "temporal", "dt", dt)
-                    elif dt > self.period * self.cfg["time"]["gap_factor_warn"]:
-                        issue(row, "warning", "temporal", "dt", dt)
-                if row.frame_idx == state[0] + 1:
-                    step = float(np.linalg.norm([row.x - state[2], row.y - state[3], row.z - state[4]]))
-                    if step > jump:
-                        issue(row, "warning", "trajectory", f"{entity}_translation_step", step)
-                    if dt != 0 and step / dt > fast:
-                        issue(row, "warning", "trajectory", f"{entity}_speed", step / dt)
-            state = (int(row.frame_idx), float(row.ts_s), float(row.x), float(row.y), float(row.z))
-        names = ["episode", "entity", "frame_idx", "severity", "category", "metric", "value_num"]
-        return state, pd.DataFrame(out, columns=names)
+        names = ["frame_idx", "ts_s", "x", "y", "z"]
+        rows = pdf[names].drop_duplicates("frame_idx")
+        if state is not None:
+            rows = pd.concat([pd.DataFrame([state], columns=names), rows[rows["frame_idx"] > state[0]]])
+        change = rows.diff().iloc[1:]
+        dt, adjacent = change["ts_s"], change["frame_idx"] == 1
+        step = np.sqrt((change[["x", "y", "z"]] ** 2).sum(axis=1, skipna=False))
+        speed = (step / dt).where(dt != 0)
+        prefix = next((p for p in ("camera", "hand") if entity.startswith(p)), "object")
+        limits = {m: self.cfg["trajectory"][f"{prefix}_translation_{m}"] for m in ("jump_warn_m", "speed_warn_mps")}
+        clock = entity == "camera"
+        gap = self.period * self.cfg["time"]["gap_factor_warn"]
+        found = [
+            (clock & ~(dt > 0), "error", "temporal", "dt", dt),
+            (clock & (dt > gap), "warning", "temporal", "dt", dt),
+            (adjacent & (step > limits["jump_warn_m"]), "warning", "trajectory", f"{entity}_translation_step", step),
+            (adjacent & (speed > limits["speed_warn_mps"]), "warning", "trajectory", f"{entity}_speed", speed),
+        ]
+        issues = pd.concat([
+            rows.iloc[1:].loc[hit.to_numpy(), ["frame_idx"]].assign(
+                episode=episode, entity=entity, severity=severity, category=category, metric=metric, value_num=value[hit].to_numpy()
+            )
+            for hit, severity, category, metric, value in found
+        ])
+        last = rows.iloc[-1] if len(rows) else None
+        state = state if last is None else (int(last["frame_idx"]), *(float(last[c]) for c in names[1:]))
+        order = ["episode", "entity", "frame_idx", "severity", "category", "metric", "value_num"]
+        return state, issues.astype({"frame_idx": "int64"})[order]
 
 
 def motion_audit(stream: DataFrame, period: float, cfg: dict | None = None, expire_ms: int | None = None) -> DataFrame:
@@ -154,8 +155,8 @@ def grasp_hysteresis(stream: DataFrame, machine: Hysteresis | None = None, expir
 
 class _Latch(_Fold):
     schema = (
-        "frame_idx long, names array<string>, poses array<array<double>>, anchor string, sides array<string>, "
-        "flags array<int>, held array<string>, locks array<array<double>>"
+        "names array<string>, poses array<array<double>>, anchor string, sides array<string>, "
+        "phases array<int>, lasts array<long>, held array<string>, locks array<array<double>>"
     )
     order = ["frame_idx", "side"]
 
@@ -163,18 +164,15 @@ class _Latch(_Fold):
         self.policy = policy
 
     def fold(self, key, state, pdf):
-        if state is None:
-            last, poses, anchor, machine = -1, {}, None, {}
-        else:
-            last, names, flat, anchor, sides, flags, held, locks = state
+        poses, anchor, machine, lasts = {}, None, {}, {}
+        if state is not None:
+            names, flat, anchor, sides, phases, seen, held, locks = state
             poses = {n: np.asarray(p, float).reshape(4, 4) for n, p in zip(names, flat)}
+            lasts = dict(zip(sides, seen))
             machine = {
-                s: {
-                    "on": bool(f & 1), "released": bool(f & 2), "obj": h or None,
-                    "lock": np.asarray(k, float).reshape(4, 4) if len(k) else None,
-                }
-                for s, f, h, k in zip(sides, flags, held, locks)
-            }
+                s: {"phase": f, "obj": h or None, "offset": np.asarray(k, float).reshape(4, 4) if len(k) else None}
+                for s, f, h, k in zip(sides, phases, held, locks)
+            }
         out = []
         for frame, rows in pdf.groupby("frame_idx", sort=True):
             if frame < 0:  # static objects are announced before the first frame
@@ -182,21 +180,20 @@ class _Latch(_Fold):
                     poses[row.obj] = np.asarray(row.T, float).reshape(4, 4)
                     anchor = row.obj if row.is_anchor else anchor
                 continue
-            if frame <= last:
-                continue
+            # The guard is per side: the second hand of a frame may come in a later micro-batch.
             hands = {
                 row.side: (bool(row.grasp), None if row.T is None else np.asarray(row.T, float).reshape(4, 4))
                 for row in rows.itertuples(index=False)
+                if frame > lasts.get(row.side, -1)
             }
             moved = reference_step(machine, self.policy, poses, hands, anchor)
             out += [(key[0], int(frame), obj, pose.ravel()) for obj, pose in moved.items()]
-            last = int(frame)
+            lasts.update(dict.fromkeys(hands, int(frame)))
         sides = list(machine)
+        flat = lambda p: [] if p is None else list(map(float, p.ravel()))
         state = (
-            last, list(poses), [list(map(float, p.ravel())) for p in poses.values()], anchor, sides,
-            [int(machine[s]["on"]) + 2 * int(machine[s]["released"]) for s in sides],
-            [machine[s]["obj"] or "" for s in sides],
-            [[] if machine[s]["lock"] is None else list(map(float, machine[s]["lock"].ravel())) for s in sides],
+            list(poses), [flat(p) for p in poses.values()], anchor, sides, [machine[s]["phase"] for s in sides], [lasts[s] for s in sides],
+            [machine[s]["obj"] or "" for s in sides], [flat(machine[s]["offset"]) for s in sides],
         )
         return state, pd.DataFrame(out, columns=["episode", "frame_idx", "obj", "T"])
 
@@ -205,7 +202,7 @@ def latch(stream: DataFrame, policy: str = "dataset", expire_ms: int | None = No
     """Poses of objects that follow a hand.
 
     Rows: ``episode, frame_idx, side, grasp, T`` and, with ``frame_idx = -1``, the objects as
-    ``obj, T, is_anchor``. Both hands of a frame must arrive in one micro-batch.
+    ``obj, T, is_anchor``. A hand of a frame that arrives in a later micro-batch is applied when it comes.
     """
     kind = stream.schema["episode"].dataType.simpleString()
     schema = f"episode {kind}, frame_idx long, obj string, T array<double>"
