@@ -15,13 +15,14 @@ from framestride.session import stage
 BLOCK_LEAST, BLOCK_MOST, BLOCKS = 32, 1024, 24
 
 
-def blocked(df: DataFrame, group: str, size: str, ident: str) -> DataFrame:
+def blocked(df: DataFrame, group: str, size: str, ident: str, least: int = BLOCK_LEAST) -> DataFrame:
     """Deal groups out in pairs of blocks, so that any two rows of a group meet in one pair and no task gets a whole hot group.
 
     Adds ``lo``, ``hi`` (the pair) and ``own`` (the row's block); two rows are to be compared in the pair of their
-    blocks, so in a pair with ``lo != hi`` only across. A group of n rows is copied at most max(24, n / 1024) times.
+    blocks, so in a pair with ``lo != hi`` only across. Blocks hold ``least`` rows or more; a group of n rows is copied at
+    most max(min(24, n / least), n / 1024) times.
     """
-    n = F.greatest(F.least(F.lit(BLOCKS), F.ceil(F.col(size) / BLOCK_LEAST)), F.ceil(F.col(size) / BLOCK_MOST)).cast("int")
+    n = F.greatest(F.least(F.lit(BLOCKS), F.ceil(F.col(size) / least)), F.ceil(F.col(size) / BLOCK_MOST)).cast("int")
     own = F.pmod(F.xxhash64(F.col(ident), F.col(group)), n).cast("int")
     dealt = df.withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), n - 1)))
     return dealt.withColumns({"lo": F.least("own", "_other"), "hi": F.greatest("own", "_other")}).drop("_other")

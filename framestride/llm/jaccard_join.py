@@ -33,6 +33,8 @@ THRESHOLD, RECALL = 0.8, 0.9995
 TOKENS = 128
 #: Levels before leaves are counted, levels at most, and sets of a leaf that is split no further.
 DEPTH, DEEPEST, LEAF = 2, 4, 256
+#: Sets of a block of a leaf that stays large: sketches are small, so few large blocks copy less.
+LEAF_BLOCK = 512
 #: Standard deviations of the sketch's estimate below the threshold that still count as loosely similar.
 SLACK = 4.0
 #: Rows up to which the list of documents to compare exactly is sent to every executor; a shuffle join beyond.
@@ -203,7 +205,7 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RE
         shared = stage(leaves.join(sizes, "node"))
         last = depth == DEEPEST
         small = shared if last else shared.where(F.col("n") <= LEAF)
-        found.append(map_groups(blocked(small, "node", "n", "rep"), ["node", "lo", "hi"], _loose(threshold), "a long, b long", "rep"))
+        found.append(map_groups(blocked(small, "node", "n", "rep", LEAF_BLOCK), ["node", "lo", "hi"], _loose(threshold), "a long, b long", "rep"))
         large = shared.where(F.col("n") > LEAF)
         if last or large.isEmpty():
             break
