@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from framestride.functions import geometry as G
 from framestride.functions import hands as H
 from framestride.functions.geometry import lit
+from framestride.functions.issues import check, explode_checks
 from framestride.operators import series as S
 from framestride.operators.skew import exact_quantiles
 from framestride.session import stage
@@ -466,6 +467,23 @@ def adapter_points(frames: DataFrame, adapter: Callable[[dict], dict], columns:
     return frames.select(*dict.fromkeys(["episode", "frame_idx", *columns])).mapInPandas(run, schema)
 
 
+def adapter_issues(frames: DataFrame) -> DataFrame:
+    """Warning rows for frames whose adapter failed, and for those with points of which none is in front.
+
+    ``frames`` has the columns of :func:`adapter_points`, and ``c2w`` for the second check.
+    """
+    checks = [
+        check(F.col("error").isNotNull(), "warning", "reprojection", "adapter", F.col("error"), "no error", "The point adapter failed")
+    ]
+    if "c2w" in frames.columns:
+        depth = lambda p: G.apply_pose(G.inverse_affine("c2w"), p)[2]
+        behind = (F.size("points") > 0) & ~F.exists("points", lambda p: F.coalesce(depth(p) > 0, F.lit(False)))
+        checks.append(
+            check(F.col("error").isNull() & behind, "warning", "reprojection", "points_in_front", F.lit(0), ">=1", "No point lies in front of the camera")
+        )
+    return explode_checks(frames, checks)
+
+
 def reprojection_summary(frames: DataFrame) -> DataFrame:
     """Per frame: points, points in front, mean pixel, mean and 95th percentile error.
 

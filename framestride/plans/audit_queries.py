@@ -142,6 +142,77 @@ def audit_score(spark, sf_dir):
     return audit(training(spark, sf_dir)).score().select(F.round("score", 6).alias("score"), "verdict")
 
 
+#: The frames with image, mask and hash columns, and the issues of all checks.
+SEEN_SQL = f"""with {ENTITIES_SQL}{ISSUES_SQL},
+    seen as (select *, value * 3 as b, (event_id % 40) * 1e0 as k, (event_id % 103) * 1e0 as l, (event_id % 80) / 1e1 as e,
+      (event_id % 89) / 89e0 as cov, lag((event_id % 89) / 89e0) over (partition by episode order by frame_idx) as cov_before,
+      case when frame_idx % 3 <> 1 then h end as hash from frames),
+    hashes as (select episode, frame_idx, bit_count(xor(h, lag(h) over (partition by episode order by frame_idx))) as d
+      from seen where hash is not null),
+    shared as (select hash from seen where hash is not null group by hash having count(distinct episode) > 1),
+    every as (
+      select episode, severity, category, metric from issues
+      union all select episode, 'warning', 'image', unnest(list_filter([
+        case when b < 35 or b > 220 then 'brightness' end, case when k < 18 then 'contrast' end,
+        case when l < 45 then 'blur_laplacian' end, case when e < 3.5e0 then 'entropy' end], lambda z: z is not null)) from seen
+      union all select episode, 'warning', 'mask', 'mask_arm_coverage' from seen where cov <= 0.001e0 or cov >= 0.85e0
+      union all select episode, 'warning', 'mask', 'mask_arm_coverage_jump' from seen where abs(cov - cov_before) > 0.2e0
+      union all select episode, 'info', 'redundancy', 'dhash_prev_distance' from hashes where d <= 4
+      union all select episode, 'info', 'redundancy', 'cross_episode_exact_dhash' from seen where hash in (select hash from shared))"""
+
+
+def _seen(spark, sf_dir):
+    """The training table with image metrics, a mask and sampled hashes."""
+    i = F.col("event_id")
+    return training(spark, sf_dir).withColumns(
+        {
+            "brightness": F.col("value") * 3,
+            "contrast": (i % 40).cast("double"),
+            "blur_laplacian": (i % 103).cast("double"),
+            "entropy": (i % 80) / F.lit(10.0),
+            "mask_arm_coverage": (i % 89) / F.lit(89.0),
+            "dhash": F.when(F.col("frame_idx") % 3 != 1, F.lpad(F.lower(F.hex(F.floor("value").cast("long"))), 16, "0")),
+        }
+    )
+
+
+@query("full_audit_issues", f"{SEEN_SQL} select cast(episode as varchar) as episode, severity, category, metric, count(*) as issues from every group by all")
+def full_audit_issues(spark, sf_dir):
+    issues = audit(_seen(spark, sf_dir)).issues
+    return issues.groupBy("episode", "severity", "category", "metric").agg(F.count(F.lit(1)).alias("issues"))
+
+
+@query(
+    "full_audit_score",
+    SEEN_SQL
+    + """,
+    weights as (select * from (values ('schema', 25e0), ('geometry', 25e0), ('temporal', 15e0), ('image', 15e0),
+      ('mask', 10e0), ('redundancy', 8e0), ('labels', 2e0), ('distribution', 0e0)) as v(category, weight)),
+    penalty as (select category, sum(case severity when 'error' then 3 when 'warning' then 1 else 0.25e0 end) as p from every group by category)
+    select round(100 * sum(weight * (1 - least(1e0, coalesce(p, 0) / (select count(*) from frames)))) / sum(weight), 6) as score
+    from weights left join penalty using (category)""",
+)
+def full_audit_score(spark, sf_dir):
+    return audit(_seen(spark, sf_dir)).score().select(F.round("score", 6).alias("score"))
+
+
+@query(
+    "full_audit_episodes",
+    SEEN_SQL
+    + """,
+    near as (select episode, count(*) filter (d <= 4) as near from hashes group by episode),
+    totals as (select episode, count(*) filter (severity = 'warning') as warnings, count(*) filter (severity = 'info') as infos from every group by episode)
+    select s.episode, count(*) as frames, round(avg(b), 6) as mean_brightness, round(avg(e), 6) as mean_entropy,
+      round(avg(l), 6) as mean_blur_laplacian, round(any_value(coalesce(near, 0)) / count(*), 6) as near_duplicate_ratio,
+      any_value(coalesce(warnings, 0)) as warnings, any_value(coalesce(infos, 0)) as infos
+    from seen s left join near using (episode) left join totals t on t.episode = s.episode group by s.episode""",
+)
+def full_audit_episodes(spark, sf_dir):
+    means = ["mean_brightness", "mean_entropy", "mean_blur_laplacian", "near_duplicate_ratio"]
+    out = audit(_seen(spark, sf_dir)).episodes()
+    return out.select("episode", "frames", *[F.round(c, 6).alias(c) for c in means], "warnings", "infos")
+
+
 @query(
     "temporal_metrics",
     f"""with {FRAMES_SQL}{TEMPORAL_SQL} select episode, frame_idx, round(dt, 6) as dt,
