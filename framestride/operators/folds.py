@@ -2,9 +2,8 @@
 
 Three ways, from most to least parallel:
 
-* finite-state machines (:func:`hysteresis`): each chunk is reduced to a map from entry state to exit
-  state, the maps are composed over the chunk summaries, and each chunk is replayed from its entry
-  state. A series of any length runs in parallel.
+* hysteresis (:func:`hysteresis`): the state is the last event, and events follow from counts in runs, so
+  scans give it. A series of any length runs in parallel.
 * exponential averages (:func:`symmetric_ema`): each chunk is reduced to the affine map of its entry
   value, composed in the same way.
 * other recursions (:func:`stream_fold`): one pass over the sorted rows of a series, batch by batch,
@@ -96,63 +95,34 @@ class Hysteresis:
             out[i] = self.closed[state]
         return out, int(state)
 
-    def transfer(self, ratio: np.ndarray) -> np.ndarray:
-        exits = np.arange(len(self.states))
-        for k in self.kinds(ratio):
-            exits = self.table[k, exits]
-        return exits
-
 
 def hysteresis(
     df: DataFrame, ratio: str, machine: Hysteresis | None = None, keys: Sequence[str] = KEYS, pos: str = "pos",
     name: str = "grasp_state",
 ) -> DataFrame:
-    """Grasp state from the opening ratio; the state is carried through missing rows."""
+    """Grasp state from the opening ratio; the state is carried through missing rows.
+
+    ``pos`` is dense. A run is a series of close rows, or of open rows, that neither another kind of row nor more than
+    ``missing_hold`` missing rows interrupt. Its row number ``close_hold`` (``open_hold``) is an event; the state of a row is
+    the last event, so three scans replace the recursion.
+    """
     machine = machine or Hysteresis()
     keys = list(keys)
-    schema = _with_columns(df, f"{name} int")
-    columns = schema.names
-
-    if fits(df, keys, chunk_rows(df)):
-
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(pos)
-            pdf[name] = machine.replay(pdf[ratio].to_numpy(float))[0]
-            return pdf[columns]
-
-        return df.groupBy(*keys).applyInPandas(whole, schema)
-
-    chunked = S.chunk_by_index(stage(df), pos)
-    group = [*keys, S.CHUNK]
-
-    def reduce(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        exits = machine.transfer(pdf.sort_values(pos)[ratio].to_numpy(float))
-        return pd.DataFrame([[*key, exits]], columns=[*group, "exits"])
-
-    types = {f.name: f.dataType.simpleString() for f in chunked.schema.fields}
-    summary = chunked.select(*group, pos, ratio).groupBy(*group).applyInPandas(
-        reduce, ", ".join(f"{g} {types[g]}" for g in group) + ", exits array<int>"
-    )
-
-    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = 0
-        for pdf in batches:
-            entry = []
-            for exits in pdf["exits"]:
-                entry.append(state)
-                state = int(exits[state])
-            yield pdf[group].assign(_entry=entry)
-
-    carry = stream_fold(
-        summary, keys, [S.CHUNK], entries, ", ".join(f"{g} {types[g]}" for g in group) + ", _entry int"
-    )
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos)
-        pdf[name] = machine.replay(pdf[ratio].to_numpy(float), int(pdf["_entry"].iloc[0]))[0]
-        return pdf[columns]
-
-    return chunked.join(carry, group).groupBy(*group).applyInPandas(finish, schema)
+    r = F.col(ratio).cast("double")
+    known = F.coalesce(~F.isnan(r) & (F.abs(r) < F.lit(float("inf"))), F.lit(False))
+    kind = F.when(known, F.when(r <= machine.close, 1).when(r >= machine.open, 2).otherwise(3))
+    rows = df.withColumn("_kind", kind)
+    seen = F.col("_kind").isNotNull()
+    before = S.last_valid("_before", F.when(seen, F.struct(F.col(pos).alias("at"), F.col("_kind").alias("kind"))), inclusive=False)
+    rows = S.scan(rows, keys, pos, [before, S.running_sum("_seen", seen.cast("int"))])
+    goes_on = (F.col("_before.kind") == F.col("_kind")) & (F.col(pos) - F.col("_before.at") - 1 <= machine.missing_hold)
+    first = F.when(seen & ~F.coalesce(goes_on, F.lit(False)), F.col("_seen"))
+    rows = S.scan(rows.withColumn("_f", first), keys, pos, [S.last_valid("_first", "_f")])
+    number = F.col("_seen") - F.col("_first") + 1
+    closes, opens = machine.holds
+    event = F.when((F.col("_kind") == 1) & (number == closes), 1).when((F.col("_kind") == 2) & (number == opens), 0)
+    rows = S.scan(rows.withColumn("_e", event), keys, pos, [S.last_valid(name, "_e")])
+    return rows.withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("int")).drop("_kind", "_before", "_seen", "_f", "_first", "_e")
 
 
 # --- exponential averages ---------------------------------------------------------------------------

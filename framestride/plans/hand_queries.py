@@ -164,7 +164,16 @@ def symmetric_ema(spark, sf_dir):
     return folds.symmetric_ema(side(spark, sf_dir), ["d"], 0.55).select("episode", "frame_idx", r("d", 6))
 
 
-@query("grasp_hysteresis")
+@query(
+    "grasp_hysteresis",
+    SIDE + """, kinds as (select episode, pos, case when ratio <= 0.9e0 then 1 when ratio >= 1.1e0 then 2 when ratio is not null then 3 end as kind from side),
+     known as (select *, lag(pos) over w as bp, lag(kind) over w as bk from kinds where kind is not null window w as (partition by episode order by pos)),
+     runs as (select *, sum(case when bk = kind and pos - bp - 1 <= 5 then 0 else 1 end) over (partition by episode order by pos) as run from known),
+     events as (select episode, pos, case when kind = 1 then 1 else 0 end as state from (
+       select *, row_number() over (partition by episode, run order by pos) as n from runs) where kind < 3 and n = 3)
+     select k.episode, k.pos as frame_idx, coalesce(last_value(e.state ignore nulls) over (partition by k.episode order by k.pos), 0) as grasp_state
+     from kinds k left join events e using (episode, pos)""",
+)
 def grasp_hysteresis(spark, sf_dir):
     out = folds.hysteresis(side(spark, sf_dir), "ratio")
     return out.select("episode", "frame_idx", "grasp_state")
