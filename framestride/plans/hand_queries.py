@@ -159,9 +159,26 @@ def savitzky_golay_interior(spark, sf_dir):
     return out.where(inner).select("episode", "frame_idx", r("value", 5))
 
 
-@query("symmetric_ema")
+def _ema_sql(name: str, first: str, step: str) -> str:
+    """A directed average of ``d``: a recursion over the positions."""
+    return f"""{name}(episode, pos, s) as (
+      select episode, pos, d from n where {first}
+      union all
+      select n.episode, n.pos, case when n.d is not null then coalesce(0.55e0 * n.d + 0.45e0 * p.s, n.d) end
+      from {name} p join n on n.episode = p.episode and n.pos = p.pos {step} 1)"""
+
+
+@query(
+    "symmetric_ema",
+    SIDE.replace("with", "with recursive", 1)
+    + f""", n as (select episode, pos, d, max(pos) over (partition by episode) as top from side),
+     {_ema_sql("fwd", "pos = 0", "+")}, {_ema_sql("bwd", "pos = top", "-")}
+     select f.episode, f.pos as frame_idx, round((f.s + b.s) / 2 + 1e-9, 6) as d from fwd f join bwd b using (episode, pos)""",
+)
 def symmetric_ema(spark, sf_dir):
-    return folds.symmetric_ema(side(spark, sf_dir), ["d"], 0.55).select("episode", "frame_idx", r("d", 6))
+    out = folds.symmetric_ema(side(spark, sf_dir), ["d"], 0.55)
+    # The averages have few decimals; the shift keeps both roundings away from ties.
+    return out.select("episode", "frame_idx", F.round(F.col("d") + 1e-9, 6).alias("d"))
 
 
 @query(
