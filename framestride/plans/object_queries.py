@@ -404,7 +404,18 @@ def image_statistics(spark, sf_dir):
     return s.select("vec_id", *[F.round(f"s.{c}", n).alias(c) for c, n in (("brightness", 6), ("contrast", 6), ("blur_laplacian", 6), ("entropy", 6), ("underexposed_frac", 6))])
 
 
-@query("difference_hash")
+@query(
+    "difference_hash",
+    LUMA_SQL + """,
+     cells as (select c, cast(floor(c * 8 / 9e0) as int) as a, cast(least(ceil((c + 1) * 8 / 9e0), 8) as int) - 1 as b,
+       c * 8 / 9e0 as lo, (c + 1) * 8 / 9e0 as hi from range(9) t(c)),
+     small as (select vec_id, y, c, round_even((p[8 * y + a + 1] * (least(hi, a + 1e0) - greatest(lo, a * 1e0))
+       + case when b > a then p[8 * y + b + 1] * (least(hi, b + 1e0) - greatest(lo, b * 1e0)) else 0 end) / (64 / 72e0), 0) as v
+       from l, range(8) r(y), cells),
+     bits as (select vec_id, 8 * y + c - 1 as i, case when v > lag(v) over (partition by vec_id, y order by c) then 1 else 0 end as bit, c from small),
+     digits as (select vec_id, i // 4 as d, sum(bit << cast(3 - i % 4 as int)) as h from bits where c > 0 group by all)
+     select vec_id, string_agg(substr('0123456789abcdef', cast(h as int) + 1, 1), '' order by d) as dhash from digits group by vec_id""",
+)
 def difference_hash(spark, sf_dir):
     s = luma(spark, sf_dir)
     return s.select("vec_id", P.difference_hash(P.resize_area(F.col("luma"), F.col("w"), F.col("h"), 9, 8)).alias("dhash"))
