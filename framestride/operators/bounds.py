@@ -1,6 +1,8 @@
-"""Measured bounds on the number of rows per key, carried as column metadata.
+"""Measured bounds on the number of positions per key, carried as column metadata.
 
-:func:`measure` counts the rows per key once, at the source, and attaches the maximum to the key
+The bound counts positions (frames) of a series. It stays true for rows that are copied per entity, side or method as
+long as the group keys tell the copies apart; a group that mixes copies must declare its own bound with
+:func:`with_bound`. :func:`measure` counts the rows per key once, at the source, and attaches the maximum to the key
 column. Spark keeps column metadata through projections, filters and joins, so later operators can
 tell without another job whether every group fits one task. A group of unknown or larger size is
 split. The bound only selects the plan: both plans give the same result.

@@ -92,7 +92,7 @@ def bindings(hands: DataFrame, objects: DataFrame, anchors: DataFrame, disabled:
     rows = rows.withColumn("key", key)
     written = lambda side: F.when((F.col("side") == side) & F.col("T").isNotNull(), update)
     b = bound(hands, ["episode"])
-    rows = with_bound(rows, "episode", b) if b is not None else rows
+    rows = with_bound(rows, "episode", 2 * b) if b is not None else rows  # two sides per position
     rows = S.scan(
         rows, ["episode"], "key", [S.last_valid(f"_{s}", written(s), inclusive=False) for s in ("left", "right")]
     )
