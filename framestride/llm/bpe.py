@@ -16,10 +16,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-from framestride.llm.text import U, mix, slices
+from framestride.llm.text import U, mix, powers, text_slices
 
-#: Characters that are put together at a time, and distinct pieces kept per process.
-SLICE_CHARS, PIECES = 1 << 19, 2 << 20
+#: Bytes of text that are put together at a time, and distinct pieces kept per process.
+SLICE_BYTES, PIECES = 1 << 18, 2 << 20
 
 #: Code points that the quick way handles besides those below 0x250, white space, and contractions.
 _PUNCTUATION = ((0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0))
@@ -64,8 +64,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self._known = np.zeros(0, U)
-        self._first = np.zeros(0, np.int64)
-        self._size = np.zeros(0, np.int64)
+        self._first = np.zeros(0, np.uint32)
+        self._size = np.zeros(0, np.uint16)
         self._ids = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
@@ -79,15 +79,15 @@ class Encoder:
         encoded = self.library.encode_batch_fast([spaced.tobytes().decode("utf-32-le")], add_special_tokens=False)[0]
         ids = np.array(encoded.ids, np.uint32)
         last = np.flatnonzero(self._ends[ids])
-        if len(last) != len(keys):
-            raise ValueError("the tokenizer splits these texts otherwise")
         sizes = np.diff(last, prepend=-1)
+        if len(last) != len(keys) or sizes.max(initial=0) > 0xFFFF:
+            raise ValueError("the tokenizer splits these texts otherwise")
         first = len(self._ids) + last + 1 - sizes
         self._ids = np.concatenate([self._ids, ids])
         at = np.searchsorted(self._known, keys)
         self._known = np.insert(self._known, at, keys)
-        self._first = np.insert(self._first, at, first)
-        self._size = np.insert(self._size, at, sizes)
+        self._first = np.insert(self._first, at, first.astype(np.uint32))
+        self._size = np.insert(self._size, at, sizes.astype(np.uint16))
 
     def _pieces(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and text numbers of the pieces of lower-case code points."""
@@ -128,7 +128,7 @@ class Encoder:
         points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         starts, ends, text = self._pieces(points, bounds)
         sums = np.zeros(len(points) + 1, U)
-        power, inverse = _powers(len(points) + 1)
+        power, inverse = powers(len(points) + 1)
         np.cumsum(mix(points.astype(U) * U(0xD1B54A32D192ED03) + U(7)) * power[: len(points)], out=sums[1:])
         keys = mix((sums[ends] - sums[starts]) * inverse[starts])
         unique, where, inverse_of = np.unique(keys, return_index=True, return_inverse=True)
@@ -144,7 +144,7 @@ class Encoder:
                 return self._quick(texts)
             at = np.searchsorted(self._known, unique)
         slot = at[inverse_of]
-        size, first = self._size[slot], self._first[slot]
+        size, first = self._size[slot].astype(np.int64), self._first[slot].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         index = np.repeat(first - total[:-1], size) + np.arange(total[-1])
         counts = np.bincount(text, weights=size, minlength=len(texts)).astype(np.int64) if len(text) else np.zeros(len(texts), np.int64)
@@ -178,22 +178,14 @@ class Encoder:
 
     def column(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """``(first row, row after the last, ids, ids per row)`` for slices of a string column; null is empty."""
-        texts = [t or "" for t in column.to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        for first, last in slices(offsets, SLICE_CHARS):
-            yield first, last, *self.encode(texts[first:last])
+        for first, last, texts in text_slices(column, SLICE_BYTES):
+            yield first, last, *self.encode(texts)
 
 
 class _Full(Exception):
     """The table of pieces would grow past its bound."""
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    from framestride.llm.text import powers
-
-    return powers(n)
-
-
 @cache
 def encoder(path: str) -> Encoder:
     """One encoder per process and file."""

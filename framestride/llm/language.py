@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framestride.llm.folds import held_out, sampled
-from framestride.llm.text import slices
+from framestride.llm.text import text_slices
 
 BITS, SAMPLE = 15, 1000
 BUCKETS = 1 << BITS
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 0.1, 3
 UNKNOWN = "und"
-SLICE_CHARS = 1 << 19
+SLICE_BYTES = 1 << 18
 
 _MULTIPLY = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -41,10 +41,10 @@ def _letters() -> np.ndarray:
 
 def counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray | None]]:
     """``(row, n-gram counts)`` of each text; None without letters."""
-    texts = [(t or "").lower() for t in column.to_pylist()]
-    sizes = np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])])
-    for first, last in slices(sizes, SLICE_CHARS):
-        joined = "  ".join(texts[first:last]) + "    "
+    for first, _, texts in text_slices(column, SLICE_BYTES):
+        texts = [t.lower() for t in texts]
+        at = np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])])
+        joined = "  ".join(texts) + "    "
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters()[points]
         seen = np.concatenate([[0], np.cumsum(letter)])
@@ -53,7 +53,6 @@ def counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray | None]]:
         three = two[:-1] * np.uint32(0x01000193) + c[2:]
         shift = np.uint32(32 - BITS)
         grams = [(h ^ h >> np.uint32(15)) * m >> shift for h, m in zip((c, two, three), _MULTIPLY)]
-        at = sizes[first:last + 1] - sizes[first]
         for k, (a, b) in enumerate(zip(at[:-1].tolist(), (at[1:] - 1).tolist())):
             if seen[b] == seen[a]:
                 yield first + k, None

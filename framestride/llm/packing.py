@@ -114,20 +114,22 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "first", "per_bin", "bin", "offset"]).astype("int64").sort_values(["length", "first"], ignore_index=True)
 
 
-def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
+def pack(rows: DataFrame, length: str = "length", capacity: int = CAPACITY, make=None, made: str | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows whose ``length`` lies in 1..capacity, as few sequences as best fit needs.
 
-    Columns of the input with these names are replaced.
+    ``make`` turns Arrow batches of ``rows`` into those to pack, of schema ``made``, in the same pass. Columns of the
+    input with the added names are replaced.
     """
-    spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset", "_task", "_rank", "_before")
-    schema = T.StructType([*pieces.schema.fields, T.StructField("_task", T.IntegerType()), T.StructField("_rank", T.LongType())])
+    spark = rows.sparkSession
+    rows = rows.drop("sequence_id", "offset", "_task", "_rank", "_before") if make is None else rows
+    kept = (rows.schema if made is None else T.StructType.fromDDL(made)).fields
+    schema = T.StructType([*kept, T.StructField("_task", T.IntegerType()), T.StructField("_rank", T.LongType())])
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Number the rows of each length within the task."""
         seen = np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in batches if make is None else make(batches):
             sizes = batch.column(batch.schema.get_field_index(length)).to_numpy(zero_copy_only=False).astype(np.int64)
             if len(sizes) == 0:
                 continue
@@ -140,7 +142,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
                 [*batch.columns, pa.array(np.full(len(sizes), task, np.int32)), pa.array(rank)], [*batch.schema.names, "_task", "_rank"]
             )
 
-    rows = stage(pieces.mapInArrow(ranked, schema))
+    rows = stage(rows.mapInArrow(ranked, schema))
     counts = rows.groupBy("_task", F.col(length).alias("_length")).agg(F.count(F.lit(1)).alias("_n"))
     totals = {int(r["_length"]): int(r["_n"]) for r in counts.groupBy("_length").agg(F.sum("_n").alias("_n")).collect()}
     places = plan(totals, capacity)
@@ -149,7 +151,7 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
         "_before", F.sum("_n").over(Window.partitionBy("_length").orderBy("_task").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
     ).select(F.col("_task").alias("_t"), "_length", "_before")
     joined = rows.join(before, (rows["_task"] == before["_t"]) & (rows[length] == before["_length"])).drop("_t", "_length")
-    out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    out = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     table = {c: places[c].to_numpy() for c in places.columns}
     key = table["length"] << 44 | table["first"]
 
@@ -171,9 +173,9 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     return joined.mapInArrow(placed, out)
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """Token ids of whole texts with an end id, cut where they are longer than the capacity: one row per piece."""
-    path = path or tokenizer_path()
+def cutter(path: str, capacity: int = CAPACITY, end: int = END):
+    """Turns batches of doc_id and text into token pieces: whole texts with an end id, cut where they are longer than the
+    capacity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -194,7 +196,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    return cut
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
@@ -208,4 +210,5 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(pieces(docs, path, capacity, end), "length", capacity)
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    return pack(texts, "length", capacity, cutter(path or tokenizer_path(), capacity, end), PIECES)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are turned into words at a time (a single longer text makes a slice of its own).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Words of a shingle.
 SHINGLE = 5
 
@@ -71,6 +71,13 @@ def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
+def text_slices(column: pa.Array, most: int) -> Iterator[tuple[int, int, list[str]]]:
+    """``(first row, row after the last, texts)`` for slices of a string column; null is empty."""
+    offsets, _ = text_column(column)
+    for first, last in slices(offsets, most):
+        yield first, last, [t or "" for t in column.slice(first, last - first).to_pylist()]
+
+
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes each, one row at least."""
     first, n = 0, len(offsets) - 1
