@@ -330,14 +330,13 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 def without_copies(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The documents less all but one of each component, with all their columns. Rows with a null doc_id stay; of rows
     that share a doc_id one stays."""
-    found = stage(join(docs, threshold, recall).groupBy(F.col("doc_id").alias("_id")).agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("_id is not null and (not _kept or _rows > 1)"))
-    gone = found.where("not _kept").select("_id")
-    repeated = found.where("_kept").select("_id")
-    small = found.count() <= BROADCAST_ROWS
-    gone, repeated = (F.broadcast(gone), F.broadcast(repeated)) if small else (gone, repeated)
-    ident = docs["doc_id"].cast("long")
-    kept = docs.join(gone, ident == F.col("_id"), "left_anti")
+    found = join(docs, threshold, recall).where("doc_id is not null").groupBy("doc_id")
+    found = stage(found.agg(F.min("kept").alias("stays"), F.count(F.lit(1)).alias("rows")).where("not stays or rows > 1"))
+    gone, repeated = found.where("not stays").select("doc_id"), found.where("stays").select("doc_id")
+    if found.count() <= BROADCAST_ROWS:
+        gone, repeated = F.broadcast(gone), F.broadcast(repeated)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, ident == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, ident == F.col("_id"), "left_anti").unionByName(once)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
