@@ -57,7 +57,7 @@ HINTS = frozenset(
     "hidden".split()
 )
 OUTSIDE = frozenset("header masthead topbar".split())
-
+#: Elements that mark where the article is.
 ANCHORS = frozenset("article main h1".split())
 
 _TAG = re.compile(r"""<!--(.*?)(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
