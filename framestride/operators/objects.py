@@ -360,6 +360,7 @@ def unique_matches(pairs: DataFrame, margin_px: float = 2.0, require_full: bool
     gate = (H.shape_valid if require_full else H.frame_valid)(F.col("points"), F.col("valid"))
     out = pairs.withColumn("_rival", rival)
     unique = F.coalesce(F.col("cost_px") + margin_px < F.col("_rival"), F.lit(True))
+    # The rejection codes.
     reason = F.when(~unique, "ambiguous_correspondence").when(~gate, "joint_or_hand_quality")
     return out.withColumn("rejection", reason).withColumn("accepted", F.col("rejection").isNull()).drop("_rival")
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framestride.operators import audit, features, hands, objects, skew
+from framestride.plans import audit_plan
 from framestride.sources import recordings
 
 
@@ -90,3 +91,38 @@ def test_missing_anchor_is_an_error_of_the_other_objects(spark):
         ("named", "a"): (True, None), ("named", "b"): (True, None), ("lost", "b"): (False, "anchor without points"),
         ("unnamed", "a"): (False, "no anchor named"), ("unnamed", "b"): (False, "no anchor named"),
     }
+
+
+def test_failed_adapters_and_points_behind_are_warnings(spark):
+    frames = spark.createDataFrame([("e", k, pose(0), float(k)) for k in range(4)], "episode string, frame_idx long, c2w array<double>, z double")
+
+    def adapter(row):
+        if row["z"] == 1:
+            raise ValueError("no model")
+        return {"points": [] if row["z"] == 3 else [[0.0, 0.0, 1.0 if row["z"] == 0 else -1.0]]}
+
+    points = objects.adapter_points(frames, adapter, ["z"]).join(frames.select("episode", "frame_idx", "c2w"), ["episode", "frame_idx"])
+    got = {(r["frame"], r["metric"], r["severity"]) for r in objects.adapter_issues(points).collect()}
+    assert got == {("1", "adapter", "warning"), ("2", "points_in_front", "warning")}
+
+
+def test_audit_sees_images_masks_copies_and_missing_records(spark):
+    eye = pose(0)
+    rows = [
+        (e, k, 1_000_000 * k, [1.0, 0, 0, 0, 1.0, 0, 0, 0, 1.0], eye, {}, {}, "o", 1.0, 0.0 if k == 2 else 120.0, 0.0 if k == 1 else 0.5, f"{k:016x}")
+        for e in ("a", "b")
+        for k in range(4)
+    ]
+    schema = (
+        "episode string, frame_idx long, ts long, k array<double>, c2w array<double>, hands map<string,struct<T:array<double>,grasp:double>>, "
+        "objects map<string,struct<T:array<double>,is_dynamic:boolean>>, anchor_key string, is_finished double, brightness double, "
+        "mask_arm_coverage double, dhash string"
+    )
+    training = spark.createDataFrame([tuple([float(x) for x in v] if i in (3, 4) else v for i, v in enumerate(r)) for r in rows], schema)
+    listed = training.select("episode", "frame_idx").union(spark.createDataFrame([("b", 9)], "episode string, frame_idx long"))
+    seen = audit_plan.audit(training, listed=listed)
+    found = {r["metric"]: r["n"] for r in seen.issues.groupBy("metric").agg(F.count("*").alias("n")).collect()}
+    assert found["brightness"] == 2 and found["mask_arm_coverage"] == 2 and found["mask_arm_coverage_jump"] == 4
+    assert found["cross_episode_exact_dhash"] == 8 and found["dhash_prev_distance"] == 6 and found["record"] == 1
+    clean = training.drop("mask_arm_coverage", "dhash").withColumn("brightness", F.lit(120.0))
+    assert seen.score().first()["score"] < audit_plan.audit(clean).score().first()["score"]
