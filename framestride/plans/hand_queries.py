@@ -419,6 +419,34 @@ def pose_inverse_composition(spark, sf_dir):
     return f.select("episode", "frame_idx", gap("I").alias("error"), gap("J").alias("affine_error"))
 
 
+@query(
+    "transformed_points",
+    F0 + """, c as (select *, cos(radians(value)) as c, sin(radians(value)) as s from frames), p as (select *, unnest([0, 1, 2]) as i from c)
+      select episode, frame_idx, i as point, round(c * (i + 1) - s * y + x, 6) as px, round(s * (i + 1) + c * y + y, 6) as py, round(i * 0.5e0 + z, 6) as pz from p""",
+)
+def transformed_points(spark, sf_dir):
+    pose = G.from_parts(G.rotation_z(F.radians("value")), [F.col("x"), F.col("y"), F.col("z")])
+    points = F.array(*[F.array(F.lit(i + 1.0), F.col("y"), F.lit(i * 0.5)) for i in range(3)])
+    f = frames(spark, sf_dir).withColumn("T", F.array(*pose))
+    f = f.select("episode", "frame_idx", F.posexplode(G.transform_points(points, F.col("T"))).alias("point", "p"))
+    return f.select("episode", "frame_idx", "point", *[F.round(F.get("p", F.lit(i)), 6).alias(f"p{c}") for i, c in enumerate("xyz")])
+
+
+@query(
+    "registered_methods",
+    F0 + " select method, count(*) as rows, round(avg(d), 6) as mean_d from (select 'a' as method, value / 100 as d from frames union all select 'b', y from frames where event_id % 2 = 0) group by method",
+)
+def registered_methods(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    known = {
+        "a": lambda: f.select("episode", "frame_idx", (F.col("value") / 100).alias("d")),
+        "b": lambda: f.where("event_id % 2 = 0").select("episode", "frame_idx", F.col("y").alias("d")),
+        "c": lambda: f.select("episode", "frame_idx", F.lit(0.0).alias("d")),
+    }
+    out = O.method_registry(known, ["a", "missing", "b"])
+    return out.groupBy("method").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("d"), 6).alias("mean_d"))
+
+
 @query(
     "six_d_rotation",
     F0 + """ select episode, frame_idx, round(cos(radians(value * 7)) * 3 / (3 + 1e-8), 6) as e0,

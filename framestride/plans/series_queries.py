@@ -417,6 +417,17 @@ def delta_from_first(spark, sf_dir):
     return o.select("episode", "frame_idx", F.round("delta_x", 9).alias("delta_x"), F.round("delta_y", 9).alias("delta_y"))
 
 
+@query(
+    "wrapped_yaw_delta",
+    f"""{F0}, d as (select episode, frame_idx, value * 7 - first_value(value * 7) over (partition by episode order by frame_idx) as d from frames)
+        select episode, frame_idx, round(d - 360 * round(d / 360) + 0e0, 6) as delta_yaw_deg from d""",
+)
+def wrapped_yaw_delta(spark, sf_dir):
+    f = frames(spark, sf_dir).withColumn("yaw", F.col("value") * 7)
+    o = K.from_first(f, ["yaw"]).withColumn("w", K.wrapped_degrees(F.col("delta_yaw")))
+    return o.select("episode", "frame_idx", (F.round("w", 6) + F.lit(0.0)).alias("delta_yaw_deg"))
+
+
 def _poses(spark, sf_dir):
     f = frames(spark, sf_dir)
     pose = G.from_parts(G.rotation_z(F.radians("yaw_deg")), [F.col("x"), F.col("y"), F.col("z")])
