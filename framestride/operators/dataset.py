@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framestride.operators import series as S
+from framestride.session import chunk_rows
 
 KEY = ["episode", "frame_idx"]
 
@@ -118,5 +119,6 @@ def observation_path(root: Column, *parts: Column) -> Column:
 
 
 def write_training(training: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Training table as Parquet partitioned by task and recording."""
-    training.write.mode(mode).partitionBy("task", "episode").parquet(path)
+    """Training table as Parquet partitioned by task and recording (K03): one file per chunk of frames of a recording."""
+    chunk = F.floor(F.col("frame_idx") / chunk_rows(training))
+    training.repartition("task", "episode", chunk).write.mode(mode).partitionBy("task", "episode").parquet(path)

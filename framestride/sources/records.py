@@ -256,7 +256,8 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
 def read_images(spark: SparkSession, path: str, decode, pattern: str = "*.png") -> DataFrame:
     """Luma rows of image files through a caller's decoder ``bytes -> (h, w) uint8 array``.
 
-    A file the decoder rejects keeps its row with ``image_read_ok = false``.
+    A file the decoder rejects keeps its row with ``image_read_ok = false``. Spark does not list files of length 0;
+    the record check finds those frames by their missing image.
     """
     import numpy as np
     import pandas as pd
