@@ -1,12 +1,13 @@
-"""Near-duplicate embeddings by sorted projection passes.
+"""Near-duplicate embeddings by random hyperplane cells.
 
-A pass orders the vectors of a label by 63 concatenated random hyperplane hashes and compares each vector with its
-neighbours in a window of that order; pairs are verified by cosine. A pair at the threshold agrees in one hash with
-probability ``1 - angle / pi``, so it shares the leading hashes that a window spans with a known probability, and the
-number of passes follows from the largest label and the target recall. Verified pairs of all passes are united.
+A pass gives each vector a cell: the sides of as many random hyperplanes as leave about 16 rows of its label in a cell if
+the vectors spread evenly. Every two vectors of a cell are compared, large cells in pairs of blocks. A pair at the
+threshold agrees in one side with probability ``1 - angle / pi`` however the other vectors lie, so the number of passes
+follows from the number of sides and the target recall. How the vectors lie changes only the work: a label whose cells
+hold more pairs over all passes than the label itself (clustered vectors) is compared whole, once.
 
-Windows are bounded, so a dense group would lose links. Each united group is therefore compared whole, dealt out in
-pairs of blocks; that counts every link inside it.
+Links of all cells are united, and each united group is compared whole, dealt out in pairs of blocks; that counts every
+link inside it.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and vectors without a
 label, link with nothing; vectors of unlike lengths never link; copies link with each other; a null vec_id links with
@@ -21,21 +22,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framestride.llm.groups import blocked, components, map_groups, roots
+from framestride.llm.groups import blocked, components, forest, map_groups
 from framestride.session import stage
 
-THRESHOLD, RECALL, WINDOW, HASHES = 0.98, 0.999, 32, 63
+THRESHOLD, RECALL, WINDOW = 0.98, 0.999, 32
+#: Rows of a block of a cell, at least.
+CELL_BLOCK = 64
+
+
+def sides(largest: int, window: int = WINDOW) -> int:
+    """Hyperplanes of a pass, for cells of half a window if ``largest`` vectors spread evenly."""
+    return math.ceil(max(0.0, math.log2(max(largest, 1) / window))) + 1
 
 
 def passes(largest: int, window: int = WINDOW, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     """Passes that find a pair at the threshold among ``largest`` vectors with the target recall."""
     agree = 1 - math.acos(threshold) / math.pi
-    leading = max(0.0, math.log2(max(largest, 1) / window)) + 1
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree**leading))
+    return math.ceil(math.log(1 - recall) / math.log(1 - agree ** sides(largest, window)))
 
 
 def _clean(rows: DataFrame) -> DataFrame:
@@ -62,84 +68,59 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
-def _hashed(classes: DataFrame, number: int) -> DataFrame:
-    """The sort key of one pass: 63 hyperplane sides, the first the most significant."""
+def _hashed(classes: DataFrame, number: int, many: int) -> DataFrame:
+    """``number`` passes of each vector: ``many`` hyperplane sides each, the first the most significant."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(HASHES - 1, -1, -1, dtype=np.int64)
+        planes: dict[int, list[np.ndarray]] = {}
+        weights = 1 << np.arange(many - 1, -1, -1, dtype=np.int64)
         for batch in batches:
             dims = batch.column(1).to_numpy()
-            key = np.zeros(len(dims), np.int64)
+            keys = np.zeros((len(dims), number), np.int64)
             for dim in np.unique(dims).tolist():
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([number, dim]).standard_normal((dim, HASHES))
+                    planes[dim] = [np.random.default_rng([k, dim]).standard_normal((dim, many)) for k in range(number)]
                 of = np.flatnonzero(dims == dim)
-                key[of] = (_unit(batch.column(3).take(pa.array(of)), dim) @ planes[dim] >= 0) @ weights
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key)], [*batch.schema.names, "key"])
-
-    return classes.select("label", "dim", "rep", "vec").mapInArrow(add, "label long, dim int, rep long, vec binary, key long")
-
+                x = _unit(batch.column(3).take(pa.array(of)), dim)
+                for k in range(number):
+                    keys[of, k] = (x @ planes[dim][k] >= 0) @ weights
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(dims) + 1, dtype=np.int32) * number), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["label", "dim", "rep", "keys"])
 
-def _near(rows: pa.Table, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of positions at most ``window`` apart within the same label and length."""
-    label, dim = rows.column("label").to_numpy(), rows.column("dim").to_numpy()
-    left, right = [], []
-    for d in np.unique(dim).tolist():
-        of = np.flatnonzero(dim == d)
-        x = _unit(rows.column("vec").combine_chunks().take(pa.array(of)), d)
-        for step in range(1, min(window, len(of) - 1) + 1):
-            a, b = of[:-step], of[step:]
-            near = (label[a] == label[b]) & (b - a <= window)
-            near[near] = np.einsum("ij,ij->i", x[:-step][near], x[step:][near]) >= threshold
-            left.append(a[near])
-            right.append(b[near])
-    empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *left]), np.concatenate([empty, *right])
+    return classes.select("label", "dim", "rep", "vec").mapInArrow(add, "label long, dim int, rep long, keys array<long>")
 
 
-def _links(rows: pa.Table, window: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    reps = rows.column("rep").to_numpy()
-    root = roots(len(reps), *_near(rows, window, threshold))
-    moved = np.flatnonzero(root != np.arange(len(reps)))
-    return reps[moved], reps[root[moved]]
+def _cells(classes: DataFrame, labels: DataFrame, number: int, many: int, window: int) -> DataFrame:
+    """label, dim, rep, pass, cell and the cell's rows ``n``, of every cell that is to be compared.
 
+    ``labels`` has the vectors ``all`` of each label and length. Where the cells of all passes hold more pairs than the
+    label, the label is one cell of one pass.
+    """
+    shift = many - 1 - F.greatest(F.lit(0), F.ceil(F.log2(F.col("all") / window))).cast("int")
+    dealt = _hashed(classes, number, many).join(labels, ["label", "dim"])
+    dealt = stage(dealt.select("label", "dim", "rep", F.posexplode("keys").alias("pass", "key"), shift.alias("_shift")).selectExpr("label", "dim", "rep", "pass", "shiftright(key, _shift) as cell"))
+    sizes = stage(dealt.groupBy("label", "dim", "pass", "cell").agg(F.count(F.lit(1)).alias("n")))
+    work = sizes.groupBy("label", "dim").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+    whole = work.join(labels, ["label", "dim"]).where(F.col("work") >= F.col("all").cast("double") * F.col("all")).select("label", "dim", "all")
+    parts = dealt.join(sizes.where("n > 1").join(whole, ["label", "dim"], "left_anti"), ["label", "dim", "pass", "cell"])
+    once = classes.join(whole.where("all > 1"), ["label", "dim"])
+    return parts.select("label", "dim", "rep", "pass", "cell", "n").union(once.select("label", "dim", "rep", F.lit(0), F.lit(0).cast("long"), "all"))
 
-_PASS = "a long, b long, border int, label long, dim int, rep long, vec binary"
 
+def _near(threshold: float):
+    """Links ``(a, b)`` that join what the links of a pair of blocks of a cell join."""
 
-def _pass(classes: DataFrame, number: int, window: int, threshold: float) -> DataFrame:
-    """Edges of one pass, and the rows at the borders of its ranges, which meet afterwards."""
-    ordered = _hashed(classes, number).repartitionByRange("label", "dim", "key", "rep").sortWithinPartitions("label", "dim", "key", "rep")
-
-    def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId()
-        held = head = None
-        names = ["label", "dim", "rep", "vec"]
-
-        def border(rows: pa.Table, number: int) -> list[pa.RecordBatch]:
-            n = rows.num_rows
-            none = pa.nulls(n, pa.int64())
-            table = pa.Table.from_arrays([none, none, pa.array(np.full(n, number, np.int32)), *(rows.column(c) for c in names)], ["a", "b", "border", *names])
-            return table.to_batches()
+    def compare(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        reps, own, dim = (table.column(c).to_numpy() for c in ("rep", "own", "dim"))
+        vectors = table.column("vec").combine_chunks()
+        for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            x = _unit(vectors.slice(start, stop - start), int(dim[start]))
+            left, right = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+            if len(left):
+                low, high = forest(own[start:stop], left, right)
+                yield pa.RecordBatch.from_arrays([pa.array(reps[start + high]), pa.array(reps[start + low])], ["a", "b"])
 
-        for batch in batches:
-            rows = pa.Table.from_batches([batch]).select(names)
-            if not rows.num_rows:
-                continue
-            if head is None or head.num_rows < window:
-                head = rows.slice(0, window) if head is None else pa.concat_tables([head, rows.slice(0, window - head.num_rows)])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            a, b = _links(rows, window, threshold)
-            empty = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *empty], ["a", "b", "border", *names])
-            held = rows.slice(max(0, rows.num_rows - window))
-        if held is not None:
-            yield from border(held, at)
-            if at:
-                yield from border(head, at - 1)
-
-    return ordered.mapInArrow(slide, _PASS)
+    return compare
 
 
 def _inside(threshold: float):
@@ -167,22 +148,15 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, recall: float
     clean = stage(_clean(rows))
     usable = clean.where("vec_id is not null and label is not null and dim is not null")
     classes = stage(usable.groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
-    found = [stage(_pass(classes, k, window, threshold)) for k in range(passes(largest, window, threshold, recall) if largest > 1 else 0)]
-    edges = rows.sparkSession.createDataFrame([], "a long, b long")
-    borders = None
-    for k, one in enumerate(found):
-        edges = edges.union(one.where("border is null").select("a", "b"))
-        met = one.where("border is not null").withColumn("border", F.col("border").cast("long") + (k << 32))
-        borders = met if borders is None else borders.union(met)
-
-    def meet(table: pa.Table, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for start, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            a, b = _links(table.slice(start, stop - start).combine_chunks(), 2 * window, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    if borders is not None:
-        edges = edges.union(map_groups(borders, ["border"], meet, "a long, b long"))
+    labels = stage(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("all")))
+    largest = labels.agg(F.max("all")).first()[0] or 0
+    if largest > 1:
+        cells = _cells(classes, labels, passes(largest, window, threshold, recall), sides(largest, window), window)
+        blocks = blocked(cells.withColumn("_cell", F.xxhash64("label", "dim", "pass", "cell")), "_cell", "n", "rep", CELL_BLOCK)
+        blocks = blocks.join(classes.select("rep", "label", "dim", "vec"), ["label", "dim", "rep"])
+        edges = map_groups(blocks, ["label", "dim", "pass", "cell", "lo", "hi"], _near(threshold), "a long, b long")
+    else:
+        edges = rows.sparkSession.createDataFrame([], "a long, b long")
     united = stage(components(edges))
     sizes = united.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     members = united.withColumnRenamed("node", "rep").join(sizes, "component").join(classes.select("rep", "dim", "vec", "copies"), "rep")

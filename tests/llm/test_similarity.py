@@ -198,3 +198,30 @@ def test_containment_of_nothing(spark, nothing, odd, items):
 def test_step_reaches_the_recall():
     assert containment.step_for(200) == 0 and containment.step_for(1) == -1
     assert containment.step_for(6) > containment.step_for(40)
+
+
+def _cone(rng, n, pairs, cosine, dim=64):
+    """Vectors at a mutual cosine, and planted pairs just above the threshold."""
+    mean = rng.normal(size=dim)
+    mean /= np.linalg.norm(mean)
+
+    def across(base, size):
+        v = rng.normal(size=(size, dim))
+        v -= (v * base).sum(-1, keepdims=True) * base
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    x = np.sqrt(cosine) * mean + np.sqrt(1 - cosine) * across(mean, n)
+    y = 0.9815 * x[:pairs] + np.sqrt(1 - 0.9815**2) * across(x[:pairs], pairs)
+    return np.concatenate([x, y])
+
+
+@pytest.mark.parametrize("cosine", [0.0, 0.95])
+def test_clustered_vectors_keep_their_pairs(spark, cosine):
+    x = _cone(np.random.default_rng(8), 5000, 300, cosine)
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(df.repartition(8)).collect()}
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    want = near.sum(1)
+    assert sum(got[k]["n_links"] == want[k] for k in range(len(x))) >= 0.998 * len(x)
+    assert sum(got[k]["component_id"] == got[5000 + k]["component_id"] for k in range(300)) >= 299
