@@ -3,7 +3,8 @@
 The tokenizers library encodes about 1 MB a second. The tokenizer of ``word_bpe_49k.json`` treats every piece
 between its splits on its own, so each distinct piece is encoded by the library once per process and the texts
 are put together from those ids in NumPy. Texts with characters whose normalisation is not plain (outside
-Latin letters and common punctuation) or with a special token's string go through the library whole.
+Latin letters and common punctuation) or with a special token's string go through the library whole, and so does a
+slice of texts with pieces that the library splits otherwise.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ import pyarrow as pa
 
 from framestride.llm.text import U, mix, powers, text_slices
 
-#: Bytes of text that are put together at a time, and distinct pieces kept per process.
-SLICE_BYTES, PIECES = 1 << 18, 2 << 20
+#: Bytes of text that are put together at a time, distinct pieces kept per process, and ids after which all are forgotten.
+SLICE_BYTES, PIECES, IDS = 1 << 18, 2 << 20, 1 << 24
 
 #: Code points that the quick way handles besides those below 0x250, white space, and contractions.
 _PUNCTUATION = ((0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0))
@@ -65,12 +66,12 @@ class Encoder:
     def _forget(self) -> None:
         self._known = np.zeros(0, U)
         self._first = np.zeros(0, np.uint32)
-        self._size = np.zeros(0, np.uint16)
+        self._size = np.zeros(0, np.uint32)
         self._ids = np.zeros(0, np.uint32)
 
     def _learn(self, keys: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Encode new pieces, given by ascending keys and their bounds, and add them to the table."""
-        if len(self._known) + len(keys) > PIECES and len(self._known):
+        if (len(self._known) + len(keys) > PIECES or len(self._ids) > IDS) and len(self._known):
             raise _Full
         size = ends - starts + 1
         total = np.concatenate([[0], np.cumsum(size)])
@@ -80,14 +81,14 @@ class Encoder:
         ids = np.array(encoded.ids, np.uint32)
         last = np.flatnonzero(self._ends[ids])
         sizes = np.diff(last, prepend=-1)
-        if len(last) != len(keys) or sizes.max(initial=0) > 0xFFFF:
-            raise ValueError("the tokenizer splits these texts otherwise")
+        if len(last) != len(keys):
+            raise _Otherwise
         first = len(self._ids) + last + 1 - sizes
         self._ids = np.concatenate([self._ids, ids])
         at = np.searchsorted(self._known, keys)
         self._known = np.insert(self._known, at, keys)
         self._first = np.insert(self._first, at, first.astype(np.uint32))
-        self._size = np.insert(self._size, at, sizes.astype(np.uint16))
+        self._size = np.insert(self._size, at, sizes.astype(np.uint32))
 
     def _pieces(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and text numbers of the pieces of lower-case code points."""
@@ -165,7 +166,11 @@ class Encoder:
             (plain if easy else hard).append((i, low if easy else t))
         counts = np.zeros(len(texts), np.int64)
         parts: dict[int, np.ndarray] = {}
-        ids, sizes = self._quick([t for _, t in plain]) if plain else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        try:
+            ids, sizes = self._quick([t for _, t in plain]) if plain else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        except _Otherwise:
+            plain, hard = [], list(enumerate(texts))
+            ids, sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         counts[[i for i, _ in plain]] = sizes
         if not hard:
             return ids, counts
@@ -186,6 +191,10 @@ class _Full(Exception):
     """The table of pieces would grow past its bound."""
 
 
+class _Otherwise(Exception):
+    """The library splits pieces otherwise than the quick way."""
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One encoder per process and file."""

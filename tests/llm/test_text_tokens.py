@@ -68,6 +68,29 @@ def test_encoder_forgets_when_its_table_is_full(encoder, monkeypatch):
     assert ids.tolist() == [i for t in texts for i in encoder.library.encode(t, add_special_tokens=False).ids]
 
 
+def test_long_unbroken_runs(encoder):
+    rng = np.random.default_rng(5)
+    texts = ["before", "".join(np.array(list("ACGT"))[rng.integers(0, 4, 1 << 20)]), "=" * (1 << 20), "a" * (1 << 20), "after, too"]
+    ids, counts = encoder.encode(texts)
+    assert counts.max() > 0xFFFF
+    for got, text in zip(np.split(ids, np.cumsum(counts)[:-1]), texts):
+        assert np.array_equal(got, encoder.library.encode(text, add_special_tokens=False).ids)
+
+
+def test_pieces_split_otherwise_go_through_the_library(encoder, monkeypatch):
+    whole = Encoder._pieces
+
+    def joined(self, points, bounds):
+        starts, ends, text = whole(self, points, bounds)
+        return starts[:1], ends[-1:], text[:1]
+
+    fresh = Encoder(tokenizer_path())
+    monkeypatch.setattr(Encoder, "_pieces", joined)
+    ids, counts = fresh.encode(["two words", "日本"])
+    want = [encoder.library.encode(t, add_special_tokens=False).ids for t in ("two words", "日本")]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=600), st.integers(0, 600), st.integers(0, 600))
 def test_elias_fano_round_trip(values, a, b):
