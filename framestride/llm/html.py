@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of elements. Elements that never hold article text (scripts, forms, navigation, adverts,
-comments and the like, by tag name, role, or the words of class and id) are cut. For each remaining element the
+comments and the like, by tag name, role, or the words of class and id) are cut. Inside an article only whole classes,
+ids and roles made up of such words count, and only where the content has many links or few characters per tag. For each remaining element the
 composite text density is computed: characters per tag, adjusted by the share of characters and tags in links. The
 density sum of an element adds up its children's densities; the element with the largest sum leads to the content.
 The smallest density on its path to the body is the threshold: other elements that reach it bring their own largest sum
@@ -57,6 +58,9 @@ HINTS = frozenset(
     "hidden".split()
 )
 OUTSIDE = frozenset("header masthead topbar".split())
+#: Words that may stand beside those in a class or id inside an article.
+BESIDE = frozenset("area articles bar block bottom box buttons button container content form icons inner item items left links list posts right section side slot stories top unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that mark where the article is.
 ANCHORS = frozenset("article main h1".split())
 
@@ -146,17 +150,30 @@ def _order(root: Element) -> list[Element]:
     return out
 
 
-def _words(attributes: str) -> tuple[set[str], bool]:
-    """Words of class, id and role, and whether the element is not shown."""
-    words: set[str] = set()
+def _marks(tag: str, attributes: str) -> tuple[list[str], bool]:
+    """Classes, ids and roles that may mark boilerplate, and whether the element is not shown."""
+    marks: list[str] = []
     hidden = False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").lower()
-        if key in ("class", "id", "role"):
-            words.update(_PART.findall(value))
+        if key in ("class", "role") or key == "id" and tag != "section":
+            marks.extend(value.split())
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
-    return words, hidden
+    return ([] if tag in HEADINGS else marks), hidden
+
+
+def _hinted(marks: list[str], e: Element, article: Element | None) -> bool:
+    """Whether classes, ids and roles mark an element as boilerplate; inside an article its content must look so too."""
+    if article is None:
+        return any(w in HINTS or w in OUTSIDE for mark in marks for w in _PART.findall(mark))
+    if 3 * e.link_chars <= e.chars and 2 * e.chars * max(article.tags, 1) >= article.chars * max(e.tags, 1):
+        return False
+    for mark in marks:
+        words = [w for w in _PART.findall(mark) if not w.isdigit()]
+        if not HINTS.isdisjoint(words) and all(w in HINTS or w in BESIDE for w in words):
+            return True
+    return False
 
 
 def _length(text: str) -> int:
@@ -186,22 +203,22 @@ def _cut(root: Element) -> None:
     lies elsewhere.
     """
     plain = root.chars - root.link_chars
-    todo = [(root, False)]
+    todo: list[tuple[Element, Element | None]] = [(root, None)]
     while todo:
         e, article = todo.pop()
         keep: list[Element | str] = []
         for x in e.items:
             if isinstance(x, Element):
-                if x.tag in NEVER or x.tag == "header" and not article:
+                if x.tag in NEVER or x.tag == "header" and article is None:
                     keep.append(" " if x.tag in INLINE else Element("#gap", e))
                     continue
-                words, hidden = _words(x.attributes) if x.attributes else (frozenset(), False)
-                hint = hidden or not words.isdisjoint(HINTS) or not article and not words.isdisjoint(OUTSIDE)
+                marks, hidden = _marks(x.tag, x.attributes) if x.attributes else ([], False)
+                hint = hidden or bool(marks) and _hinted(marks, x, article)
                 most = 2 * (x.chars - x.link_chars) > plain and (x.anchors or not root.anchors)
                 if hint and not most and x.tag not in ("html", "body", "article", "main"):
                     keep.append(Element("#gap", e))
                     continue
-                todo.append((x, article or x.tag in ("article", "main")))
+                todo.append((x, x if x.tag in ("article", "main") else article))
             keep.append(x)
         e.items = keep
 

@@ -56,6 +56,21 @@ def test_main_text(page, want):
     assert html.main_text(page) == "\n\n".join(want)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><h1>T</h1><p>{P}</p><h2 id='related-work'>Related work</h2><p>{P}</p><h2 id=login-flow class=search>Login</h2><p>{P}</p></article>", ["T", Q, "Related work", Q, "Login", Q]),
+        (f"<article><p>{P}</p><p>{P}</p><section id='search-and-navigation'><h2>S</h2><p>{P}</p></section></article>", [Q, Q, "S", Q]),
+        (f"<main><p>{P}</p><p class='promotion-rules'>{P}</p><div id=comments><p>{P}</p></div></main>", [Q, Q, Q]),
+        (f"<div><h1>T</h1><p>{P}</p><section id=related-work><h2 id=social-login>Work</h2><p>{P}</p></section></div>", ["T", Q, "Work", Q]),
+        (f"<article><p>{P}</p><div class='related-posts'><a href=a>one</a> <a href=b>two</a></div><div id=share><b>Share</b> <i>this</i></div><p>{P}</p></article>", [Q, Q]),
+        (f"<article><p>{P}</p><p hidden>{P}</p><p>{P}</p></article>", [Q, Q]),
+    ],
+)
+def test_slugs_inside_the_article_are_kept(page, want):
+    assert html.main_text(page) == "\n\n".join(want)
+
+
 def test_deep_and_broken_markup_ends():
     assert "deep" in html.main_text("<div>" * 3000 + "deep")
     assert html.main_text("<" * 5000) == "<" * 5000
