@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of elements. Elements that never hold article text (scripts, forms, navigation, adverts,
-comments and the like, by tag name, role, or the words of class and id) are cut. Inside an article only whole classes,
+comments and the like, by tag name, role, or the words of class and id) are cut; one that wraps the article or most of
+the page's plain text, such as a form around the page, stays without its controls. Inside an article only whole classes,
 ids and roles made up of such words count, and only where the content has many links or few characters per tag. For each remaining element the
 composite text density is computed: characters per tag, adjusted by the share of characters and tags in links. The
 density sum of an element adds up its children's densities; the element with the largest sum leads to the content.
@@ -34,9 +35,11 @@ INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr".split()
 )
 NEVER = frozenset(
-    "head script style textarea title noscript iframe xmp noembed noframes template svg math canvas object audio video "
-    "form button select option input nav footer aside dialog menu".split()
+    "head script style textarea title noscript iframe xmp noembed noframes template svg math canvas audio video "
+    "button select option input nav footer menu".split()
 )
+#: Elements that hold no article text unless they wrap the page's text; a header only outside an article.
+WRAPS = frozenset("form object aside dialog header".split())
 #: Which open elements a start tag ends, up to the elements that stop the search.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -70,7 +73,7 @@ _PART = re.compile(r"[a-z]+|[0-9]+")
 
 
 class Element:
-    __slots__ = ("anchors", "attributes", "chars", "density", "items", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("anchors", "articles", "attributes", "chars", "density", "items", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str = ""):
         self.tag, self.parent, self.attributes = tag, parent, attributes
@@ -185,42 +188,64 @@ def _measure(root: Element) -> None:
     for e in reversed(_order(root)):
         e.chars = sum(_length(x) for x in e.items if isinstance(x, str)) if e.tag not in RAW else 0
         e.tags, e.link_chars, e.link_tags = 0, 0, 0
-        e.anchors = int(e.tag in ANCHORS)
+        e.anchors, e.articles = int(e.tag in ANCHORS), int(e.tag in ("article", "main"))
         for c in e.children():
             e.chars += c.chars
             e.tags += c.tags + 1
             e.link_chars += c.link_chars
             e.link_tags += c.link_tags
             e.anchors += c.anchors
+            e.articles += c.articles
         if e.tag == "a":
             e.link_chars, e.link_tags = e.chars, e.tags + 1
 
 
-def _cut(root: Element) -> None:
-    """Remove elements that hold no article text.
-
-    A hint does not remove an element with most of the page's plain text, unless the page's headline or article element
-    lies elsewhere.
-    """
-    plain = root.chars - root.link_chars
+def _without(root: Element, drop) -> bool:
+    """Remove the elements that ``drop(element, article around it)`` names; whether there were any."""
+    any_cut = False
     todo: list[tuple[Element, Element | None]] = [(root, None)]
     while todo:
         e, article = todo.pop()
-        keep: list[Element | str] = []
-        for x in e.items:
+        for k, x in enumerate(e.items):
             if isinstance(x, Element):
-                if x.tag in NEVER or x.tag == "header" and article is None:
-                    keep.append(" " if x.tag in INLINE else Element("#gap", e))
-                    continue
-                marks, hidden = _marks(x.tag, x.attributes) if x.attributes else ([], False)
-                hint = hidden or bool(marks) and _hinted(marks, x, article)
-                most = 2 * (x.chars - x.link_chars) > plain and (x.anchors or not root.anchors)
-                if hint and not most and x.tag not in ("html", "body", "article", "main"):
-                    keep.append(Element("#gap", e))
-                    continue
-                todo.append((x, x if x.tag in ("article", "main") else article))
-            keep.append(x)
-        e.items = keep
+                if drop(x, article):
+                    e.items[k] = Element("#gap", e)
+                    any_cut = True
+                else:
+                    todo.append((x, x if x.tag in ("article", "main") else article))
+    return any_cut
+
+
+def _cut(root: Element) -> None:
+    """Remove elements that hold no article text, the certain ones first; the rest is measured without them.
+
+    A wrap or hint does not remove an element with most of the page's plain text, unless the page's headline or article
+    element lies elsewhere. A form or object may stay with the headline elsewhere, and any wrap that holds all articles.
+    """
+
+    def most(x: Element) -> bool:
+        return 2 * (x.chars - x.link_chars) > root.chars - root.link_chars
+
+    def wraps(x: Element, article: Element | None) -> bool:
+        if x.tag in WRAPS and (x.tag != "header" or article is None):
+            if article is None and root.articles:
+                return x.articles < root.articles and not (x.articles and most(x))
+            return not (most(x) and (x.tag in ("form", "object") or x.anchors or not root.anchors))
+        if article is None and x.attributes and not OUTSIDE.isdisjoint(w for m in _marks(x.tag, x.attributes)[0] for w in _PART.findall(m)):
+            return x.tag not in ("html", "body", "article", "main") and x.articles == 0 and not most(x)
+        return False
+
+    def hints(x: Element, article: Element | None) -> bool:
+        if not x.attributes or x.tag in ("html", "body", "article", "main") or x.tag in WRAPS and not (x.tag == "header" and article is not None):
+            return False
+        marks, hidden = _marks(x.tag, x.attributes)
+        return (hidden or bool(marks) and _hinted(marks, x, article)) and not (most(x) and (x.anchors or not root.anchors))
+
+    _without(root, lambda x, article: x.tag in NEVER)
+    _measure(root)
+    if _without(root, wraps):
+        _measure(root)
+    _without(root, hints)
 
 
 def _densities(body: Element) -> None:
@@ -313,7 +338,6 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = tree(html)
-    _measure(root)
     _cut(root)
     found = content(root)
     return "\n\n".join(blocks(found)) if found is not None else ""

@@ -71,6 +71,24 @@ def test_slugs_inside_the_article_are_kept(page, want):
     assert html.main_text(page) == "\n\n".join(want)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><h1>T</h1><form action=x><input name=q><div><p>{P}</p><p>{P}</p><select><option>no</select></div></form></body>", [Q, Q]),
+        (f"<body><form id=search><nav>menu</nav><article><p>{P}</p><p>{P}</p><button>no</button></article></form><aside><p>{P}</p></aside></body>", [Q, Q]),
+        (f"<dialog open><article><p>{P}</p></article></dialog><p>Short line.</p>", [Q]),
+        (f"<body><object data=x><p>{P}</p><p>{P}</p></object></body>", [Q, Q]),
+        (f"<header><h1>Site</h1></header><div class='content has-sidebar'><p>{P}</p><p>{P}</p></div>", [Q, Q]),
+        (f"<div class=masthead><h1>Site</h1></div><div class='content has-sidebar'><p>{P}</p><p>{P}</p></div>", [Q, Q]),
+        (f"<header><h1>T</h1><p>{P}</p><p>{P}</p></header><footer><p>{P}</p></footer>", ["T", Q, Q]),
+        (f"<article><p>{P}</p><aside><p>{P}</p></aside><form><p>{P}</p></form><p>{P}</p></article>", [Q, Q]),
+        (f"<article><p>{P}</p></article><aside><p>{P}</p><p>{P}</p></aside>", [Q]),
+    ],
+)
+def test_wrappers_of_the_page_are_kept(page, want):
+    assert html.main_text(page) == "\n\n".join(want)
+
+
 def test_deep_and_broken_markup_ends():
     assert "deep" in html.main_text("<div>" * 3000 + "deep")
     assert html.main_text("<" * 5000) == "<" * 5000
