@@ -45,19 +45,46 @@ _A = (mix(_ROW * U(0x9E3779B97F4A7C15) + U(11)) >> U(32)).astype(np.uint32) | np
 _B = (mix(_ROW * U(0xC2B2AE3D27D4EB4F) + U(13)) >> U(32)).astype(np.uint32)
 
 
-def survival(depth: int, threshold: float) -> float:
-    """Probability that a pair at the threshold shares a node at the given depth of one run."""
+def survival(depth: int, threshold: float, agree: float | None = None) -> float:
+    """Probability that a pair whose tokens agree to a share of ``agree`` (default: the threshold) shares a node at the
+    given depth of one run."""
     more = 1 / threshold - 1
+    agree = threshold if agree is None else agree
     alive = 1.0
     for _ in range(depth):
-        hit = threshold * alive
+        hit = agree * alive
         alive = (1 - more) * hit + more * (1 - (1 - hit) ** 2)
     return alive
 
 
+def _binomial(n: int, p: float) -> list[float]:
+    return [math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(n + 1)]
+
+
+def reached(number: int, threshold: float = THRESHOLD) -> float:
+    """Recall of ``number`` runs for pairs at the threshold.
+
+    All runs and the sketches come from the same tokens, so it is averaged over how many of them agree.
+    """
+    least, total = _least(threshold), 0.0
+    for k, share in enumerate(_binomial(TOKENS, threshold)):
+        sketched = sum(_binomial(TOKENS - k, 0.25)[max(0, least - k) :])
+        total += share * sketched * (1 - (1 - survival(DEEPEST, threshold, k / TOKENS)) ** number)
+    return total
+
+
 def runs(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     """Runs that reach the target recall for pairs at the threshold."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(DEEPEST, threshold)))
+    best = reached(1 << 20, threshold)
+    if best < recall:
+        raise ValueError(f"{TOKENS} tokens reach a recall of {best:.5f} at most")
+    return next(n for n in range(1, 1 << 20) if reached(n, threshold) >= recall)
+
+
+def _least(threshold: float) -> int:
+    """Tokens whose sketch bits are equal, at least, in loosely similar sets."""
+    agree = threshold + (1 - threshold) / 4
+    return math.floor(TOKENS * (agree - SLACK * math.sqrt(agree * (1 - agree) / TOKENS)))
 
 
 def _min_hashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -165,9 +192,7 @@ def _deeper(nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 def _loose(threshold: float):
     """Links of each leaf's loosely similar sets to the smallest set they reach."""
-    agree = threshold + (1 - threshold) / 4
-    deviation = math.sqrt(agree * (1 - agree) / TOKENS)
-    least = math.floor(TOKENS * (agree - SLACK * deviation))
+    least = _least(threshold)
 
     def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         unequal = a ^ b

@@ -225,3 +225,13 @@ def test_clustered_vectors_keep_their_pairs(spark, cosine):
     want = near.sum(1)
     assert sum(got[k]["n_links"] == want[k] for k in range(len(x))) >= 0.998 * len(x)
     assert sum(got[k]["component_id"] == got[5000 + k]["component_id"] for k in range(300)) >= 299
+
+
+def test_join_recall_counts_the_shared_tokens():
+    rng = np.random.default_rng(3)
+    number = jaccard_join.runs()
+    agree = rng.binomial(jaccard_join.TOKENS, 0.8, 200_000)
+    sketched = agree + rng.binomial(jaccard_join.TOKENS - agree, 0.25) >= jaccard_join._least(0.8)
+    lost = np.array([(1 - jaccard_join.survival(jaccard_join.DEEPEST, 0.8, k / jaccard_join.TOKENS)) ** number for k in range(jaccard_join.TOKENS + 1)])
+    assert (sketched * (1 - lost[agree])).mean() >= 0.9994
+    assert jaccard_join.reached(9) < 0.9992 and jaccard_join.reached(number) >= 0.9995
