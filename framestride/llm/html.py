@@ -3,7 +3,8 @@
 A page becomes a tree of elements. Elements that never hold article text (scripts, forms, navigation, adverts,
 comments and the like, by tag name, role, or the words of class and id) are cut; one that wraps the article or most of
 the page's plain text, such as a form around the page, stays without its controls. Inside an article only whole classes,
-ids and roles made up of such words count, and only where the content has many links or few characters per tag. For each remaining element the
+ids and roles made up of such words count, and only where the content has many links or few characters per tag; those of
+reader comments always go. For each remaining element the
 composite text density is computed: characters per tag, adjusted by the share of characters and tags in links. The
 density sum of an element adds up its children's densities; the element with the largest sum leads to the content.
 The smallest density on its path to the body is the threshold: other elements that reach it bring their own largest sum
@@ -67,7 +68,16 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that mark where the article is.
 ANCHORS = frozenset("article main h1".split())
 
-_TAG = re.compile(r"""<!--(.*?)(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: Whole classes, ids and roles of reader comments; these go wherever they stand, however their text looks.
+COMMENTS = frozenset(
+    "comments comment-list commentlist comment-section comments-area comments-section comments-list comments-wrapper "
+    "reader-comments user-comments post-comments disqus_thread replies responses respond".split()
+)
+
+#: Comments, sections and declarations; a tag whose quoted values may hold ``>``; a tag up to the next ``>``.
+_DECLARED = re.compile(r"<!--(.*?)(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_QUOTED = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?>[^>=]+|=\s*+"[^"]*"|=\s*+'[^']*'|=)*+)>""", re.S)
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PART = re.compile(r"[a-z]+|[0-9]+")
 
@@ -83,66 +93,94 @@ class Element:
         return [x for x in self.items if isinstance(x, Element)]
 
 
+class _Open:
+    """The open elements, and where those of each tag and the blocks lie among them."""
+
+    def __init__(self, root: Element):
+        self.stack, self.at, self.blocks = [root], {}, []
+
+    def push(self, e: Element) -> None:
+        self.at.setdefault(e.tag, []).append(len(self.stack))
+        if e.tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(e)
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these tags, 0 without one."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.stack) > place:
+            e = self.stack.pop()
+            self.at[e.tag].pop()
+            if e.tag not in INLINE:
+                self.blocks.pop()
+
+    def end(self, names: set[str], stops: set[str]) -> None:
+        """Close the innermost of ``names`` unless one of ``stops`` is open inside it."""
+        place = self.last(names)
+        if place > self.last(stops):
+            self.close(place)
+
+
 def tree(html: str) -> Element:
-    """The element tree of a page; the root stands for the document."""
+    """The element tree of a page; the root stands for the document.
+
+    The page is read once from front to back: the text of a script or the like is passed over whole, and no tag is looked
+    for behind the last ``>``. Where a quoted value does not end, quotes no longer count in the rest.
+    """
     root = Element("#root", None)
-    now, at, raw = root, 0, ""
-    for m in _TAG.finditer(html):
-        if m.start() < at:
+    opened = _Open(root)
+    at, seek, last, loose = 0, 0, html.rfind(">"), False
+    while True:
+        seek = html.find("<", seek)
+        if seek < 0:
+            break
+        declared = _DECLARED.match(html, seek)
+        m = declared
+        if m is None and seek < last:
+            if not loose:
+                m = _QUOTED.match(html, seek)
+                loose = m is None and _LOOSE.match(html, seek) is not None
+            if loose:
+                m = _LOOSE.match(html, seek)
+        if m is None:
+            seek += 1
             continue
-        if m.start() > at:
-            now.items.append(html[at : m.start()])
-        at = m.end()
-        name = (m.group(4) or m.group(7) or "").lower()
-        if m.group(2) is not None:
-            now.items.append(m.group(2).replace("&", "&amp;"))
-        if not name:
+        if seek > at:
+            opened.stack[-1].items.append(html[at:seek])
+        at = seek = m.end()
+        if declared is not None:
+            if m.group(2) is not None:
+                opened.stack[-1].items.append(m.group(2).replace("&", "&amp;"))
             continue
-        if m.group(3) or m.group(6):
-            above = now
-            while above is not root and above.tag != name:
-                above = above.parent
-            if above is not root and not (name in INLINE and _block_between(now, above)):
-                now = above.parent
+        name, attributes = m.group(2).lower(), m.group(3)
+        if m.group(1):
+            place = opened.last((name,))
+            # An end tag of an inline element does not close a block that was opened inside it.
+            if place and not (name in INLINE and opened.blocks and opened.blocks[-1] > place):
+                opened.close(place)
             continue
-        attributes = m.group(5) or m.group(8) or ""
-        if name not in INLINE:
-            now = _closed(now, root, {"p"}, {"table", "td", "th", "button", "object", "caption"}) if name not in ("tr", "td", "th", "tbody", "thead", "tfoot") else now
+        if name not in INLINE and name not in ("tr", "td", "th", "tbody", "thead", "tfoot"):
+            opened.end({"p"}, {"table", "td", "th", "button", "object", "caption"})
         if name in ENDS:
-            now = _closed(now, root, *ENDS[name])
-        child = Element(name, now, attributes)
-        now.items.append(child)
+            opened.end(*ENDS[name])
+        child = Element(name, opened.stack[-1], attributes)
+        opened.stack[-1].items.append(child)
         if name in RAW:
-            end = re.compile(rf"</{name}[\s>/]", re.I).search(html, at)
+            end = re.compile(rf"</{re.escape(name)}[\s>/]", re.I).search(html, at)
             stop = end.start() if end else len(html)
             child.items.append(html[at:stop])
             at = html.find(">", stop) + 1 if end else len(html)
-            at = at or len(html)
+            at = seek = at or len(html)
         elif name not in VOID and not attributes.endswith("/"):
-            now = child
+            opened.push(child)
     if at < len(html):
-        now.items.append(html[at:])
+        opened.stack[-1].items.append(html[at:])
     return root
 
 
-def _block_between(low: Element, high: Element) -> bool:
-    """Whether an end tag of an inline element would close a block that was opened inside it."""
-    while low is not high:
-        if low.tag not in INLINE:
-            return True
-        low = low.parent
-    return False
-
-
-def _closed(now: Element, root: Element, names: set[str], stops: set[str]) -> Element:
-    above = now
-    while above is not root and above.tag not in stops:
-        if above.tag in names:
-            return above.parent
-        above = above.parent
-    return now
-
-
 def _order(root: Element) -> list[Element]:
     """All elements, parents before children."""
     out, todo = [], [root]
@@ -159,7 +197,7 @@ def _marks(tag: str, attributes: str) -> tuple[list[str], bool]:
     hidden = False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'").lower()
-        if key in ("class", "role") or key == "id" and tag != "section":
+        if key in ("class", "role") or key == "id" and (tag != "section" or value in COMMENTS):
             marks.extend(value.split())
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
             hidden = True
@@ -239,6 +277,8 @@ def _cut(root: Element) -> None:
         if not x.attributes or x.tag in ("html", "body", "article", "main") or x.tag in WRAPS and not (x.tag == "header" and article is not None):
             return False
         marks, hidden = _marks(x.tag, x.attributes)
+        if not COMMENTS.isdisjoint(marks) and x.chars < root.chars:
+            return True
         return (hidden or bool(marks) and _hinted(marks, x, article)) and not (most(x) and (x.anchors or not root.anchors))
 
     _without(root, lambda x, article: x.tag in NEVER)
@@ -276,15 +316,12 @@ def content(root: Element) -> Element | None:
     best = max(parents, key=lambda e: e.sum) if parents else body
     path = _path(best, body)
     threshold = min(e.density for e in path)
-    marked = [best]
-    inside: set[int] = {id(x) for x in _order(best)}
-    for e in order:
-        if id(e) not in inside and e.density >= threshold and e not in path and e.parent in path and e.chars > e.link_chars * 2:
-            marked.append(e)
+    depth = {id(x): k for k, x in enumerate(path)}
+    inside = {id(x) for x in _order(best)}
     common = path
-    for e in marked[1:]:
-        of = {id(x) for x in _path(e, body)}
-        common = [x for x in common if id(x) in of]
+    for e in order:
+        if id(e) not in inside and e.density >= threshold and id(e) not in depth and id(e.parent) in depth and e.chars > e.link_chars * 2:
+            common = common[: depth[id(e.parent)] + 1]
     found = common[-1]
     above: Element | None = found
     while above is not None and above is not body.parent:
