@@ -101,6 +101,22 @@ def test_passes_grow_with_the_data():
     assert vectors.passes(2) < vectors.passes(10**4) < vectors.passes(10**9)
 
 
+def test_unlike_vectors_that_share_a_vec_id(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.001], 0), (3, [0.001, 1.0], 0)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
+
+
+def test_windows_cross_blocks_and_measure_what_they_miss(spark, monkeypatch):
+    """With windows much smaller than the labels, the passes find the planted pairs without what is compared whole."""
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "_near", lambda *_: lambda table, bounds: iter(()))
+    x = _cone(np.random.default_rng(4), 2000, 200, 0.0)
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(df.repartition(8), window=8).collect()}
+    assert sum(got[k]["component_id"] == got[2000 + k]["component_id"] == k for k in range(200)) >= 190
+
+
 def expected_join(rows):
     sets = {}
     for i, text in rows:
@@ -184,7 +200,7 @@ def test_containment_equals_brute_force(spark, odd, odd_rows, items):
 
 def test_items_in_several_blocks(spark, odd, items, monkeypatch):
     df = spark.createDataFrame(items, "item_id long, text string")
-    sets = list(containment.blocks(df, 0.8, 0.9999, most=20))
+    sets = [b.load() for b in containment.blocks(df, 0.8, 0.9999, most=20)]
     assert sum(len(b.ids) for b in sets) == 6 and len(sets) > 2
 
 
