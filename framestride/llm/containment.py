@@ -7,8 +7,9 @@ smallest of its bin with probability of at least ``(1 - exp(-load)) / load``, lo
 by the step that reaches the target recall for the number of shingles they must share, and items too short for any step
 are searched with all their shingles. A pair that agrees in one bin is verified: shared shingles / shingles of the item.
 
-The items are the query set. They are read in blocks of bounded size and each block meets all documents in one pass
-without a shuffle.
+The items are the query set. Their shingles are written once below the checkpoint folder in blocks of bounded size, tasks
+read one block at a time, and each block meets all documents in one pass without a shuffle; only the blocks' numbers pass
+through the driver.
 
 Defined results: null or empty texts and items match nothing, nor does an item of fewer than five words whose words are not a document's
 whole text; null ids are kept as they are; repeated rows give repeated pairs. Other columns are not read.
@@ -17,14 +18,20 @@ whole text; null ids are kept as they are; repeated rows give repeated pairs. Ot
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framestride.llm.text import U, distinct, shingles, word_batches
+from framestride.session import checkpoint_dir, stage
 
 THRESHOLD, RECALL = 0.8, 0.9999
 #: Steps of the signature length that are tried; shingles of the items of one block.
@@ -125,15 +132,42 @@ def item_sets(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), "text").mapInArrow(build, "item_id long, n long, set binary").where("n > 0")
 
 
-def blocks(items: DataFrame, threshold: float, recall: float, most: int = BLOCK_SHINGLES) -> Iterator[Items]:
-    """The items in blocks of about ``most`` shingles; one block at a time passes through the driver."""
-    sets = item_sets(items)
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    number = -(-total // most)
-    for k in range(number):
-        rows = sets.where(F.pmod(F.xxhash64("item_id", "set"), F.lit(number)) == k).collect()
-        if rows:
-            yield Items([r["item_id"] for r in rows], [np.frombuffer(r["set"], np.uint64) for r in rows], threshold, recall)
+@dataclass(frozen=True)
+class Block:
+    """A block of written items; a process keeps the one it read last."""
+
+    folder: str
+    number: int
+    threshold: float
+    recall: float
+
+    def load(self) -> Items:
+        return _load(self)
+
+
+@lru_cache(1)
+def _load(block: Block) -> Items:
+    store, root = fs.FileSystem.from_uri(f"{block.folder}/block={block.number}")
+    ids: list = []
+    sets: list[np.ndarray] = []
+    for info in sorted(store.get_file_info(fs.FileSelector(root, allow_not_found=True)), key=lambda i: i.path):
+        if info.path.endswith(".parquet"):
+            with store.open_input_file(info.path) as file:
+                rows = pq.ParquetFile(file).read(["item_id", "set"])
+            ids += rows.column(0).to_pylist()
+            sets += [np.frombuffer(s, np.uint64) for s in rows.column(1).to_pylist()]
+    return Items(ids, sets, block.threshold, block.recall)
+
+
+def blocks(items: DataFrame, threshold: float, recall: float, most: int = BLOCK_SHINGLES) -> list[Block]:
+    """Write the items in blocks of about ``most`` shingles."""
+    sets = stage(item_sets(items))
+    number = -(-(sets.agg(F.sum("n")).first()[0] or 0) // most)
+    folder = f"{checkpoint_dir(items.sparkSession).rstrip('/')}/items-{uuid.uuid4().hex}"
+    if number:
+        dealt = sets.withColumn("block", F.pmod(F.xxhash64("item_id", "set"), F.lit(number)))
+        dealt.repartition("block").write.partitionBy("block").parquet(folder)
+    return [Block(folder, k, threshold, recall) for k in range(number)]
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -145,8 +179,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, r
     return found
 
 
-def _searcher(block: Items):
+def _searcher(of: Block):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = of.load()
         for batch in batches:
             for first, last, words in word_batches(batch.column(1)):
                 row, item, shared = block.pairs(*distinct(*shingles(words), last - first))
@@ -168,9 +203,10 @@ def is_contaminated(text: Column, items: DataFrame, threshold: float = THRESHOLD
     return found
 
 
-def _flag(block: Items):
+def _flag(of: Block):
     @F.arrow_udf("boolean")
     def flag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        block = of.load()
         for column in batches:
             out = np.zeros(len(column), bool)
             for first, last, words in word_batches(column):
