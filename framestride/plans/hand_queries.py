@@ -196,7 +196,7 @@ def grasp_hysteresis(spark, sf_dir):
     return out.select("episode", "frame_idx", "grasp_state")
 
 
-def _turning(spark, sf_dir):
+def turning(spark, sf_dir):
     f = frames(spark, sf_dir)
     pose = G.from_parts(G.rotation_z(F.radians(F.col("value"))), [F.col("x"), F.col("y"), F.col("z")])
     ok = F.col("event_id") % 11 != 0
@@ -208,19 +208,19 @@ def _turning(spark, sf_dir):
 
 @query("rotation_ema")
 def rotation_ema(spark, sf_dir):
-    out = folds.smooth_rotations(_turning(spark, sf_dir), "R", 0.5)
+    out = folds.smooth_rotations(turning(spark, sf_dir), "R", 0.5)
     return out.select("episode", "frame_idx", F.transform("R", lambda v: F.round(v, 6)).alias("R"))
 
 
 @query("axis_ema")
 def axis_ema(spark, sf_dir):
-    out = folds.smooth_axes(_turning(spark, sf_dir), "R")
+    out = folds.smooth_axes(turning(spark, sf_dir), "R")
     return out.select("episode", "frame_idx", F.transform("R", lambda v: F.round(v, 6)).alias("R"))
 
 
 @query("command_smoothing")
 def command_smoothing(spark, sf_dir):
-    out = folds.smooth_commands(_turning(spark, sf_dir), "T")
+    out = folds.smooth_commands(turning(spark, sf_dir), "T")
     return out.select("episode", "frame_idx", F.transform("command", lambda v: F.round(v, 6)).alias("command"))
 
 

@@ -2,7 +2,8 @@
 
 State is kept per recording (and side) with ``transformWithStateInPandas`` and is bounded: previous
 pose and time, a few counters, or one latch per hand. Within a micro-batch the rows of a key are
-processed in frame order; a frame at or before the last one seen is dropped, as in the batch scans.
+processed in frame order; a frame at or before the last one seen is dropped, as in the batch scans. The source's trigger
+(``maxFilesPerTrigger`` and the like) bounds the rows of a micro-batch, and with it what a task holds of one recording.
 The state store needs the RocksDB provider (:func:`configure`). With ``expire_ms`` the state of a silent
 recording is dropped after that processing time; leave it out for ``availableNow`` runs, which would wait
 for the timers.
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from framestride.config import audit_config
+from framestride.functions.issues import explode_checks
+from framestride.operators import audit
 from framestride.operators.folds import Hysteresis, smooth_command
 from framestride.operators.latch import reference_step
 
@@ -42,7 +44,7 @@ class _Fold(StatefulProcessor):
         self.handle = handle
         self.cell = handle.getValueState("state", self.schema)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # One key's rows of one micro-batch; the trigger bounds their number.
         pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         state = self.cell.get() if self.cell.exists() else None
@@ -52,10 +54,10 @@ class _Fold(StatefulProcessor):
         if self.expire_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.expire_ms)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.expire_ms)
         yield out
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.cell.clear()
         return iter([])
 
@@ -76,52 +78,43 @@ def _run(
 # --- T01 ---------------------------------------------------------------------------------------------
 
 
-class _MotionAudit(_Fold):
-    schema = "frame_idx long, ts_s double, x double, y double, z double"
+class _Before(_Fold):
+    """Gives every row the row before it; the state is the last row of an entity."""
 
-    def __init__(self, period: float, cfg: dict):
-        self.period, self.cfg = period, cfg
+    schema = "pos long, ts_s double, T array<double>"
+    order = "pos"
 
     def fold(self, key, state, pdf):
-        episode, entity = key
-        names = ["frame_idx", "ts_s", "x", "y", "z"]
-        rows = pdf[names].drop_duplicates("frame_idx")
+        rows = pdf.drop_duplicates("pos")
         if state is not None:
-            rows = pd.concat([pd.DataFrame([state], columns=names), rows[rows["frame_idx"] > state[0]]])
-        change = rows.diff().iloc[1:]
-        dt, adjacent = change["ts_s"], change["frame_idx"] == 1
-        step = np.sqrt((change[["x", "y", "z"]] ** 2).sum(axis=1, skipna=False))
-        speed = (step / dt).where(dt != 0)
-        prefix = next((p for p in ("camera", "hand") if entity.startswith(p)), "object")
-        limits = {m: self.cfg["trajectory"][f"{prefix}_translation_{m}"] for m in ("jump_warn_m", "speed_warn_mps")}
-        clock = entity == "camera"
-        gap = self.period * self.cfg["time"]["gap_factor_warn"]
-        found = [
-            (clock & ~(dt > 0), "error", "temporal", "dt", dt),
-            (clock & (dt > gap), "warning", "temporal", "dt", dt),
-            (adjacent & (step > limits["jump_warn_m"]), "warning", "trajectory", f"{entity}_translation_step", step),
-            (adjacent & (speed > limits["speed_warn_mps"]), "warning", "trajectory", f"{entity}_speed", speed),
-        ]
-        issues = pd.concat([
-            rows.iloc[1:].loc[hit.to_numpy(), ["frame_idx"]].assign(
-                episode=episode, entity=entity, severity=severity, category=category, metric=metric, value_num=value[hit].to_numpy()
-            )
-            for hit, severity, category, metric, value in found
-        ])
-        last = rows.iloc[-1] if len(rows) else None
-        state = state if last is None else (int(last["frame_idx"]), *(float(last[c]) for c in names[1:]))
-        order = ["episode", "entity", "frame_idx", "severity", "category", "metric", "value_num"]
-        return state, issues.astype({"frame_idx": "int64"})[order]
+            rows = rows[rows["pos"] > state[0]]
+        if rows.empty:
+            return state, pdf.iloc[:0].assign(_b=None)
+        items = [(int(p), float(t), None if m is None else list(map(float, m))) for p, t, m in zip(rows["pos"], rows["ts_s"], rows["T"])]
+        before = [dict(zip(("pos", "ts_s", "T"), r)) if r is not None else None for r in [state, *items[:-1]]]
+        return items[-1], rows.assign(_b=before)
+
+
+def entity_motion(stream: DataFrame, expire_ms: int | None = None) -> DataFrame:
+    """Steps, speeds and turns as frames arrive (T01): only the row before is state, the rest is shared with the batch form.
+
+    Columns: ``episode, entity, kind, pos, ts_s, T``.
+    """
+    rows = stream.select("episode", "entity", "kind", "pos", "ts_s", "T")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    before = _run(rows, ["episode", "entity"], _Before(), f"{schema}, _b struct<pos:long,ts_s:double,T:array<double>>", expire_ms)
+    return audit.motion_columns(before.withColumn("dt", F.col("ts_s") - F.col("_b.ts_s")))
 
 
 def motion_audit(stream: DataFrame, period: float, cfg: dict | None = None, expire_ms: int | None = None) -> DataFrame:
-    """Temporal and motion issues as frames arrive, with a declared frame period.
+    """Temporal and motion issues as frames arrive (T01), by the checks of the batch audit.
 
-    Columns: ``episode, entity, frame_idx, ts_s, x, y, z``.
+    The median frame period, which a stream does not know, is declared; the camera's rows are the clock.
     """
-    kind = stream.schema["episode"].dataType.simpleString()
-    schema = f"episode {kind}, entity string, frame_idx long, severity string, category string, metric string, value_num double"
-    return _run(stream, ["episode", "entity"], _MotionAudit(period, audit_config(cfg)), schema, expire_ms)
+    motion = entity_motion(stream, expire_ms).withColumn("episode_median_dt", F.lit(float(period)))
+    clock = F.col("kind") == "camera"
+    checks = [F.when(clock, c) for c in audit.temporal_checks(cfg)] + audit.motion_checks(cfg)
+    return explode_checks(motion, checks, "pos")
 
 
 # --- T02 ---------------------------------------------------------------------------------------------
@@ -242,28 +235,98 @@ def command_smoothing(
     return _run(stream, ["episode", "side"], _Command(options), schema, expire_ms)
 
 
-# --- T05, T06 ----------------------------------------------------------------------------------------
+# --- T05 ---------------------------------------------------------------------------------------------
 
 
-def synchronise(video: DataFrame, tracking: DataFrame, tolerance: str = "50 milliseconds", delay: str = "10 seconds") -> DataFrame:
-    """Tracking rows within the tolerance of each video frame, as a stream-stream join.
+class _Nearest(StatefulProcessor):
+    """Two buffers per recording: frames that wait, and tracking rows that a frame may still need.
 
-    ``video``: ``episode, frame_idx, ts``; ``tracking``: ``episode, tracking_index, tracking_ts``, both
-    timestamps. Tracking rows later than the watermark are dropped. Reduce the output with
-    :func:`closest`, which keeps the earlier row on a tie.
+    A frame is decided once the watermark has passed its time plus the tolerance: no tracking row that could be closer
+    can still arrive. A timer at the earliest such moment decides frames of a recording that has gone quiet.
     """
-    v = video.withWatermark("ts", delay)
-    t = tracking.withColumnRenamed("episode", "_e").withWatermark("tracking_ts", delay)
-    near = F.expr(
-        f"episode = _e and tracking_ts >= ts - interval {tolerance} and tracking_ts <= ts + interval {tolerance}"
+
+    schema = "frames array<long>, times array<long>, tracks array<long>, track_times array<long>"
+    columns = ("episode", "frame_idx", "tracking_index", "delta_us", "within_tolerance")
+
+    def __init__(self, tolerance_us: int):
+        self.tolerance = tolerance_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cell = handle.getValueState("buffers", self.schema)
+
+    def _decide(self, key, timerValues, new: list[np.ndarray]) -> pd.DataFrame:
+        kept = self.cell.get() if self.cell.exists() else ((), (), (), ())
+        frames, times, tracks, track_times = (np.concatenate([np.asarray(a, np.int64), b]) for a, b in zip(kept, new))
+        by_time = np.lexsort((tracks, track_times))
+        tracks, track_times = tracks[by_time], track_times[by_time]
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        due = times + self.tolerance <= mark
+        out = self._matches(key[0], frames[due], times[due], tracks, track_times)
+        frames, times = frames[~due], times[~due]
+        needed = min([mark, *times.tolist()]) - self.tolerance
+        tracks, track_times = tracks[track_times >= needed], track_times[track_times >= needed]
+        # A timer of an earlier time that still stands finds nothing due and sets the next one.
+        if len(frames) or len(tracks):
+            self.cell.update(tuple(a.tolist() for a in (frames, times, tracks, track_times)))
+            # Without a waiting frame the tracking rows are let go once no frame can need them.
+            at = times.min() if len(frames) else track_times.max() + 1
+            self.handle.registerTimer(int(-(-(int(at) + self.tolerance) // 1000)))
+        else:
+            self.cell.clear()
+        return out
+
+    def _matches(self, episode, frames, times, tracks, track_times) -> pd.DataFrame:
+        right = np.searchsorted(track_times, times, "left")
+        padded = np.concatenate([[np.iinfo(np.int64).min // 2], track_times, [np.iinfo(np.int64).max // 2]])
+        before, after = times - padded[right], padded[right + 1] - times
+        at = np.where(before <= after, right - 1, right)
+        near = np.minimum(before, after) <= self.tolerance
+        at = np.clip(at, 0, max(len(tracks) - 1, 0))
+        index = pd.array(tracks[at] if len(tracks) else np.zeros(len(frames), np.int64), "Int64")
+        delta = pd.array((track_times[at] - times) if len(tracks) else np.zeros(len(frames), np.int64), "Int64")
+        index[~near], delta[~near] = pd.NA, pd.NA
+        return pd.DataFrame({"episode": episode, "frame_idx": frames, "tracking_index": index, "delta_us": delta, "within_tolerance": near})[list(self.columns)]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows))
+        video, track = pdf[pdf["frame_idx"].notna()], pdf[pdf["tracking_index"].notna()]
+        new = [video["frame_idx"], video["at_us"], track["tracking_index"], track["at_us"]]
+        yield self._decide(key, timerValues, [c.to_numpy(np.int64) for c in new])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._decide(key, timerValues, [np.zeros(0, np.int64)] * 4)
+
+    def close(self) -> None:
+        pass
+
+
+def synchronise(video: DataFrame, tracking: DataFrame, tolerance_us: int = 50_000, delay: str = "10 seconds") -> DataFrame:
+    """The nearest tracking row of each video frame, one row per frame.
+
+    ``video``: ``episode, frame_idx, ts``; ``tracking``: ``episode, tracking_index, tracking_ts``, both timestamps. The
+    earlier row wins a tie. A frame without a row in the tolerance comes with nulls. Rows of either stream that are later
+    than the watermark are dropped. Frames stay undecided until the watermark passes them: end a bounded stream with
+    :func:`closing` rows.
+    """
+    number = F.lit(None).cast("long")
+    v = video.select("episode", F.col("frame_idx").cast("long").alias("frame_idx"), number.alias("tracking_index"), "ts")
+    t = tracking.select("episode", number.alias("frame_idx"), F.col("tracking_index").cast("long").alias("tracking_index"), F.col("tracking_ts").alias("ts"))
+    both = v.withWatermark("ts", delay).unionByName(t.withWatermark("ts", delay)).withColumn("at_us", F.unix_micros("ts"))
+    kind = video.schema["episode"].dataType.simpleString()
+    schema = f"episode {kind}, frame_idx long, tracking_index long, delta_us long, within_tolerance boolean"
+    return both.groupBy("episode").transformWithStateInPandas(
+        statefulProcessor=_Nearest(tolerance_us), outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
-    return v.join(t, near).drop("_e").withColumn("delta_us", F.unix_micros("tracking_ts") - F.unix_micros("ts"))
 
 
-def closest(pairs: DataFrame) -> DataFrame:
-    """The closest tracking row of each video frame (T05, batch side of the sink)."""
-    best = F.min_by(F.struct("tracking_index", "tracking_ts", "delta_us"), F.struct(F.abs("delta_us"), "delta_us"))
-    return pairs.groupBy("episode", "frame_idx").agg(best.alias("b")).select("episode", "frame_idx", "b.*")
+def closing(rows: DataFrame, index: str, ts: str, after: str) -> DataFrame:
+    """A row without an index that moves the watermark of a bounded stream ``after`` its last time."""
+    last = rows.agg(F.max_by("episode", ts).alias("episode"), (F.max(ts) + F.expr(f"interval {after}")).alias(ts))
+    return last.withColumn(index, F.lit(None).cast(rows.schema[index].dataType)).select(*rows.columns)
+
+
+# --- T06 ---------------------------------------------------------------------------------------------
 
 
 def distinct_frames(stream: DataFrame, ts: str = "ts", delay: str = "10 seconds") -> DataFrame:
