@@ -108,14 +108,17 @@ class Codec:
         known = self.bytes
         return b"".join([known[i] for i in ids]).decode()
 
-    def read(self, ids: list[int]) -> tuple[str, str]:
-        """Role and text of a formatted turn."""
-        if ids[0] == self.first + INST:
-            return USER, unescape(self.decode(ids[1:-1]))
-        if ids[0] == self.first + ROLE:
-            cut = ids.index(self.first + ROLE_END)
-            return unescape(self.decode(ids[1:cut])), unescape(self.decode(ids[cut + 1 : -1]))
-        return ASSISTANT, unescape(self.decode(ids[:-1]))
+
+
+def read(shown: str) -> tuple[str, str]:
+    """Role and text of a formatted turn; no text holds a control string."""
+    if shown.startswith(CONTROLS[INST]):
+        return USER, unescape(shown[len(CONTROLS[INST]) : -len(CONTROLS[INST_END])])
+    shown = shown[: -len(CONTROLS[END])]
+    if shown.startswith(CONTROLS[ROLE]):
+        role, text = shown[len(CONTROLS[ROLE]) :].split(CONTROLS[ROLE_END], 1)
+        return unescape(role), unescape(text)
+    return ASSISTANT, unescape(shown)
 
 
 @cache
@@ -217,7 +220,7 @@ def tree(conversations: DataFrame, path: str | None = None) -> Tree:
     nodes = join_null_safe(turns.where("chain <=> conv_id"), placed, ["conv_id"])
     position = F.col("upto") - F.col("n")
     nodes = nodes.select(*KEYS, "tree", "chain", F.col("k").alias("depth"), (F.col("first") + position - F.col("begin")).alias("start"), position.alias("position"), "shared")
-    return Tree(_attached(rows, nodes, path), paths)
+    return Tree(stage(_attached(rows, nodes, path)), paths)
 
 
 def write(nodes: DataFrame, folder: str) -> None:
@@ -267,9 +270,10 @@ class _Digest:
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
     def add(self, known: Codec, ids: list[int], start: int, stop: int) -> None:
-        role, text = known.read(ids)
+        shown = known.decode(ids)
+        role, text = read(shown)
         self.turns += 1
-        self.chars += len(known.decode(ids))
+        self.chars += len(shown)
         self.all.update(f"{role}\n{text}\n".encode())
         if stop > start:
             part = unescape(known.decode(ids[start:stop]))

@@ -60,7 +60,7 @@ def test_ids_hold_a_turn(text):
     known = chat_tree.codec(chat_tree.vocabulary_path())
     for role in ("user", "assistant", "system", "", "[/ROLE]"):
         ids, start, stop = known.turn(role, text)
-        assert known.read(ids.tolist()) == (role, text)
+        assert chat_tree.read(known.decode(ids.tolist())) == (role, text)
         assert chat_tree.unescape(known.decode(ids[start:stop].tolist())) == (text if role == "assistant" else "")
         assert (ids >= known.first).sum() == {"user": 2, "assistant": 1}.get(role, 3)
 
