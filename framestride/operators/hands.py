@@ -210,3 +210,41 @@ def binarise_grasp(value: Column, site: str) -> Column:
     if site == "gripper":
         return (G.clamp(1 - value, 0, 1) > 0.5).cast("int")
     raise ValueError(f"unknown site: {site}")
+
+
+def keep_previous_axes(
+    df: DataFrame, rotation: str, fallback: str | None = None, seen: Column | None = None,
+    keys: Sequence[str] = ("episode", "side"), pos: str = "frame_idx",
+) -> DataFrame:
+    """Rotations by the previous-axis rule (F19): a degenerate frame repeats the one before, half turns are undone.
+
+    ``rotation`` is the 3x3 rotation of a row, null where it is degenerate. A degenerate row takes the latest
+    rotation put out before it; before the first one, the ``fallback`` rotation of the first seen row. Any
+    other row turns its x and y axes round if its x axis points against that of the row before, as put out.
+    Rows that are not ``seen`` give null and leave the state alone.
+
+    The rule refers to its own output, but only by a sign: it flips where the plain axes of neighbouring
+    valid rows disagree, and starts anew where they are at right angles. The sign of a row is thus the
+    parity of the disagreements since the last start, which two scans give; a long series is split.
+    """
+    axis = lambda m: [F.get(m, F.lit(i)) for i in (0, 3, 6)]
+    seen = F.coalesce(seen, F.lit(False)) if seen is not None else F.lit(True)
+    other = F.col(fallback) if fallback else F.lit(None).cast("array<double>")
+    rows = df.withColumn("_own", F.when(seen, F.col(rotation))).withColumn("_seen", seen)
+    first = F.struct(F.col(pos).alias("at"), F.col("_own").isNotNull().alias("valid"), other.alias("m"))
+    out = S.scan(rows, keys, pos, [
+        S.last_valid("_back", "_own", inclusive=False), S.last_valid("_now", "_own"),
+        S.total("_first", F.min(F.when(F.col("_seen"), first)), F.min),
+    ])
+    start = F.when(~F.col("_first.valid"), F.col("_first.m"))
+    out = out.withColumns({
+        "_back": F.coalesce("_back", F.when(F.col(pos) > F.col("_first.at"), start)),
+        "_now": F.coalesce("_now", start),
+    }).withColumn("_agree", F.when(F.col("_own").isNotNull(), G.dot(axis(F.col("_back")), axis(F.col("_own")))))
+    against = F.coalesce((F.col("_agree") < 0).cast("long"), F.lit(0).cast("long"))
+    out = S.scan(out.drop("_first", "_back"), keys, pos, [S.running_sum("_turns", against)])
+    anew = F.col("_own").isNotNull() & F.coalesce(F.col("_agree") == 0, F.lit(True))
+    out = S.scan(out, keys, pos, [S.last_valid("_base", F.when(anew, F.col("_turns")))])
+    odd = (F.col("_turns") - F.coalesce("_base", F.lit(0).cast("long"))) % 2 == 1
+    turned = F.transform("_now", lambda v, i: F.when(odd & (i % 3 < 2), -v).otherwise(v))
+    return out.withColumn(rotation, F.when(F.col("_seen"), turned)).select(*df.columns)

@@ -15,8 +15,9 @@ from framestride.functions import hands as H
 from framestride.functions.geometry import lit
 from framestride.functions.issues import check, explode_checks
 from framestride.operators import series as S
+from framestride.operators.bounds import fits
 from framestride.operators.skew import exact_quantiles
-from framestride.session import stage
+from framestride.session import chunk_rows, stage
 
 POINT = ("episode", "obj", "kpt")
 _PAIRS4 = [(i, j) for i in range(4) for j in range(i, 4)]
@@ -71,53 +72,174 @@ def triangulate(views: DataFrame, keys: Sequence[str] = POINT) -> DataFrame:
     return out.select(*keys, "views", *[(x[i] / x[3]).alias(c) for i, c in enumerate("xyz")], F.col("_e.cond").alias("cond"))
 
 
+_BEHIND = 1e3  # fixed value: the residual of a view behind its camera
+
+
+_FLAT = ["u", "v", "fx", "fy", "cx", "cy", *[f"w{i}" for i in range(12)]]
+
+
+def _normal_sums(views: np.ndarray, x: np.ndarray, scale: float) -> np.ndarray:
+    """Huber normal equations and cost of points in their views, one row of ten sums per view.
+
+    ``views`` has the columns ``_FLAT`` (pixel, intrinsics, world-to-camera pose), ``x`` (n, 3) the point that each
+    view looks at. A view with its point behind the camera costs two residuals of 1000 and has no gradient.
+    """
+    w = views[:, 6:].reshape(-1, 3, 4)
+    c = np.einsum("nij,nj->ni", w[:, :, :3], x) + w[:, :, 3]
+    ahead = c[:, 2] >= 1e-4
+    z = np.where(ahead, c[:, 2], 1.0)
+    out = np.zeros((len(x), 10))
+    for axis in (0, 1):
+        focal, middle = views[:, 2 + axis], views[:, 4 + axis]
+        residual = np.where(ahead, focal * c[:, axis] / z + middle - views[:, axis], _BEHIND)
+        slope = (focal / z)[:, None] * (w[:, axis, :3] - (c[:, axis] / z)[:, None] * w[:, 2, :3])
+        slope = np.where(ahead[:, None], slope, 0.0)
+        size = np.abs(residual)
+        weight = np.where(size <= scale, 1.0, scale / np.maximum(size, scale))
+        for n, (i, j) in enumerate(_PAIRS3):
+            out[:, n] += weight * slope[:, i] * slope[:, j]
+        out[:, 6:9] += (weight * residual)[:, None] * slope
+        out[:, 9] += np.where(size <= scale, size * size / 2, scale * (size - scale / 2))
+    return out
+
+
+class _Descent:
+    """Damped Gauss-Newton over many points at once: a trial is taken only if it lowers the cost."""
+
+    def __init__(self, x: np.ndarray):
+        n = len(x)
+        self.x, self.trial = x.copy(), x.copy()
+        self.sums, self.damping = np.full((n, 10), np.inf), np.full(n, 1e-3)
+        self.done = ~np.isfinite(x).all(1)
+
+    def take(self, sums: np.ndarray) -> None:
+        """Judge the trials by their sums and set the next ones."""
+        first = np.isinf(self.sums[:, 9])
+        better = ~self.done & (sums[:, 9] < self.sums[:, 9])
+        gain = np.where(first, np.inf, self.sums[:, 9] - sums[:, 9])
+        small = better & (gain <= 1e-15 * (1 + sums[:, 9]))
+        self.x[better], self.sums[better] = self.trial[better], sums[better]
+        eased = np.where(first, self.damping, np.maximum(self.damping / 10, 1e-12))
+        self.damping = np.where(better, eased, self.damping * 10)
+        h = np.zeros((len(self.x), 3, 3))
+        for n, (i, j) in enumerate(_PAIRS3):
+            h[:, i, j] = h[:, j, i] = np.where(self.done, 0.0, self.sums[:, n])
+        diagonal = np.einsum("nii->ni", h)
+        diagonal += np.maximum(diagonal * self.damping[:, None], 1e-12)
+        step = np.linalg.solve(h, np.where(self.done[:, None], 0.0, self.sums[:, 6:9])[:, :, None])[:, :, 0]
+        self.trial = self.x - step
+        self.done |= small | (np.abs(step).max(1) <= 1e-10 * (1 + np.abs(self.x).max(1))) | (self.damping > 1e12)
+
+
+def _descend(views: np.ndarray, of: np.ndarray, x: np.ndarray, scale: float, steps: int) -> np.ndarray:
+    """Refine points at once; ``of`` is the point of each view, in ascending order."""
+    descent = _Descent(x)
+    descent.done |= np.bincount(of, minlength=len(x)) == 0
+    for _ in range(steps):
+        if descent.done.all():
+            break
+        rows = ~descent.done[of]
+        sums = np.zeros((len(x), 10))
+        points, starts = np.unique(of[rows], return_index=True)
+        sums[points] = np.add.reduceat(_normal_sums(views[rows], descent.trial[of[rows]], scale), starts)
+        descent.take(sums)
+    return descent.x
+
+
 def refine_points(
-    views: DataFrame, points: DataFrame, scale: float = 1.0, steps: int = 6, keys: Sequence[str] = POINT
+    views: DataFrame, points: DataFrame, scale: float = 1.0, steps: int = 60, keys: Sequence[str] = POINT
 ) -> DataFrame:
     """Minimise the Huber reprojection error of each point.
 
-    Reweighted Gauss-Newton: each step joins the current points to their views, sums the 3x3 normal
-    equations per point and solves them. The number of steps is fixed, nothing is collected. A view
-    behind the camera has no gradient and drops out of the step. The result of each step is staged,
-    so the plan does not grow with the steps.
+    Damped Gauss-Newton with at most ``steps`` evaluations: a step counts only if the error falls, and a
+    view whose camera has the point behind it costs a constant, so no point escapes behind a camera. Points
+    with at most ``framestride.chunkRows`` views are refined in one pass over the views in order of their points, many
+    points at once. The views of larger points are cut into blocks that sum up their normal equations in
+    parallel; each evaluation of these points is one stage, and only their number passes through the driver.
+
+    ``keys`` name a point once in ``points``. Views with a pixel that is null or not finite, or without
+    intrinsics or pose, are left out; points without views keep their place, and points with a null
+    coordinate stay as they are.
     """
     keys = list(keys)
-    views = stage(views.where(F.col("vis") != 0).select(*keys, "frame_idx", "u", "v", "k", F.array(*G.inverse_affine("c2w")).alias("_w")))
-    current = points.select(*keys, "x", "y", "z")
+    k = G.elements("k", 9)
+    seen = views.where((F.col("vis") != 0) & (F.abs("u") < float("inf")) & (F.abs("v") < float("inf")))
+    seen = seen.where(F.col("k").isNotNull() & F.col("c2w").isNotNull()).withColumn("_w", F.array(*G.inverse_affine("c2w")))
+    flat = [F.col("u"), F.col("v"), k[0], k[4], k[2], k[5], *G.elements("_w", 12)]
+    seen = seen.select(*keys, "frame_idx", *[c.cast("double").alias(n) for n, c in zip(_FLAT, flat)])
+    start = points.select(*keys, *[F.col(c).cast("double").alias(c) for c in "xyz"])
+
+    limit = chunk_rows(views)
+    if fits(views, keys, limit):
+        return _refine_in_order(seen, start, scale, steps, keys)
+    large = stage(seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)).drop("_n")
+    if large.isEmpty():
+        return _refine_in_order(seen, start, scale, steps, keys)
+    small = _refine_in_order(seen.join(large, keys, "left_anti"), start.join(large, keys, "left_anti"), scale, steps, keys)
+    return small.unionByName(_refine_in_blocks(seen.join(large, keys), start.join(large, keys), scale, steps, keys, limit))
+
+
+def _refine_in_order(views: DataFrame, points: DataFrame, scale: float, steps: int, keys: list[str]) -> DataFrame:
+    """Refine points whose views fit into one task each, as many at a time as come in one batch."""
+    schema = points.schema
+
+    def finished(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        seen = rows["u"].notna().to_numpy()
+        of = np.cumsum(first) - 1
+        out = rows[first][schema.names].reset_index(drop=True)
+        x = _descend(rows.loc[seen, _FLAT].to_numpy(float), of[seen], out[["x", "y", "z"]].to_numpy(float), scale, steps)
+        return out.assign(x=x[:, 0], y=x[:, 1], z=x[:, 2])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            codes = np.column_stack([pd.factorize(rows[c], use_na_sentinel=False)[0] for c in keys])
+            first = np.concatenate([[True], (codes[1:] != codes[:-1]).any(1)])
+            last = np.flatnonzero(first)[-1]
+            if last:
+                yield finished(rows.iloc[:last], first[:last])
+            held = rows.iloc[last:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield finished(held, np.arange(len(held)) == 0)
+
+    joined = points.join(views, keys, "left").repartition(*keys).sortWithinPartitions(*keys)
+    return joined.mapInPandas(run, schema)
+
+
+def _refine_in_blocks(views: DataFrame, points: DataFrame, scale: float, steps: int, keys: list[str], limit: int) -> DataFrame:
+    """The descent of points with many views: sums per block of views, then one judgement per point and evaluation."""
+    kind = T.StructType.fromDDL("_x array<double>, _t array<double>, _s array<double>, _d double, _done boolean")
+    views = stage(views.withColumn("_block", F.floor(F.col("frame_idx") / limit)))
+    known = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
+    place = F.array("x", "y", "z")
+    current = stage(points.select(
+        *keys, place.alias("_x"), place.alias("_t"), F.array_repeat(lit(float("inf")), 10).alias("_s"), lit(1e-3).alias("_d"),
+        (~known).alias("_done"),
+    ))
+
+    def sums(rows: pd.DataFrame, trial: pd.Series) -> pd.Series:
+        return pd.Series(list(_normal_sums(rows.to_numpy(float), np.stack(trial.to_numpy()), scale)))
+
+    def judge(x: pd.Series, t: pd.Series, s: pd.Series, d: pd.Series, new: pd.Series) -> pd.DataFrame:
+        descent = _Descent(np.stack(x.to_numpy()))
+        descent.trial, descent.sums, descent.damping = np.stack(t.to_numpy()), np.stack(s.to_numpy()), d.to_numpy(float)
+        descent.take(np.stack(new.to_numpy()))
+        columns = (list(descent.x), list(descent.trial), list(descent.sums), descent.damping, descent.done)
+        return pd.DataFrame(dict(zip(kind.names, columns)))
+
+    of_view, of_point = F.pandas_udf(sums, "array<double>"), F.pandas_udf(judge, kind)
+    total = F.array(*[F.sum(F.get("_new", F.lit(i))) for i in range(10)]).alias("_new")
     for _ in range(steps):
-        rows = views.join(current, keys)
-        k, w = G.elements("k", 9), G.elements("_w", 16)
-        pc = F.array(*[G.dot(w[4 * i : 4 * i + 3], [F.col(c) for c in "xyz"]) + w[4 * i + 3] for i in range(3)])
-        rows = rows.withColumn("_c", pc).where(F.get("_c", F.lit(2)) >= lit(1e-4))
-        a, b, c = (F.get("_c", F.lit(i)) for i in range(3))
-        rows = rows.withColumns(
-            {
-                "_ru": k[0] * a / c + k[2] - F.col("u"),
-                "_rv": k[4] * b / c + k[5] - F.col("v"),
-                "_ju": F.array(*[k[0] * (w[j] / c - a * w[8 + j] / (c * c)) for j in range(3)]),
-                "_jv": F.array(*[k[4] * (w[4 + j] / c - b * w[8 + j] / (c * c)) for j in range(3)]),
-            }
-        )
-        weight = lambda r: F.when(F.abs(r) <= scale, lit(1)).otherwise(lit(scale) / F.abs(r))
-        parts = []
-        for r, j in (("_ru", "_ju"), ("_rv", "_jv")):
-            parts.append((weight(F.col(r)), F.col(r), [F.get(j, F.lit(i)) for i in range(3)]))
-        normal = [sum((q * d[i] * d[j] for q, _, d in parts[1:]), parts[0][0] * parts[0][2][i] * parts[0][2][j]) for i, j in _PAIRS3]
-        right = [sum((q * d[i] * r for q, r, d in parts[1:]), parts[0][0] * parts[0][2][i] * parts[0][1]) for i in range(3)]
-        sums = rows.groupBy(*keys).agg(
-            F.array(*[F.sum(s) for s in normal]).alias("_h"), F.array(*[F.sum(s) for s in right]).alias("_g")
-        )
-        h = {p: F.get("_h", F.lit(i)) for i, p in enumerate(_PAIRS3)}
-        full = [h[min(i, j), max(i, j)] for i in range(3) for j in range(3)]
-        g = [F.get("_g", F.lit(i)) for i in range(3)]
-        step = sums.withColumn("_d", F.array(*G.apply3(G.inverse3(full), g)))
-        moved = current.join(step.select(*keys, "_d"), keys, "left")
-        current = stage(
-            moved.select(
-                *keys, *[(F.col(n) - F.coalesce(F.get("_d", F.lit(i)), lit(0))).alias(n) for i, n in enumerate("xyz")]
-            )
-        )
-    return current
+        active = current.where("not _done")
+        if active.isEmpty():
+            break
+        each = views.join(active.select(*keys, "_t"), keys).withColumn("_new", of_view(F.struct(*_FLAT), "_t"))
+        block = each.groupBy(*keys, "_block").agg(total)
+        judged = active.join(block.groupBy(*keys).agg(total), keys)
+        judged = judged.withColumn("_j", of_point("_x", "_t", "_s", "_d", "_new")).select(*keys, "_j.*")
+        current = stage(judged.unionByName(current.where("_done")))
+    return current.select(*keys, *[F.get("_x", F.lit(i)).alias(c) for i, c in enumerate("xyz")])
 
 
 def sample_views(views: DataFrame, step: int, start: int = 0, end: int | None = None) -> DataFrame:
@@ -263,27 +385,26 @@ def object_frames(
 # --- stereo ------------------------------------------------------------------------------------------
 
 
-def triangulate_pairs(
-    pairs: DataFrame, k_left: Column, k_right: Column, left_to_right: Column, *, reprojection_px=4.0, epipolar_px=6.0,
-    min_depth=0.10, max_depth=2.0, min_ray_deg=0.5,
-) -> DataFrame:
-    """Two-view triangulation of ``lu, lv, ru, rv`` with all gates as columns.
-
-    Adds the point in the left camera (``x, y, z``), both reprojection errors, the epipolar error, the
-    ray angle and ``valid``. Rejected points keep their estimate.
-    """
-    kl, kr, m = G.elements(k_left, 9), G.elements(k_right, 9), G.elements(left_to_right, 16)
-    p1 = [kl[3 * i + j] if j < 3 else lit(0) for i in range(3) for j in range(4)]
-    p2 = [G.dot(kr[3 * i : 3 * i + 3], [m[j], m[4 + j], m[8 + j]]) for i in range(3) for j in range(4)]
-    row = lambda c, p, i: [c * p[8 + j] - p[4 * i + j] for j in range(4)]
-    uv = {c: F.col(c) for c in ("lu", "lv", "ru", "rv")}
-    rows = [row(uv["lu"], p1, 0), row(uv["lv"], p1, 1), row(uv["ru"], p2, 0), row(uv["rv"], p2, 1)]
+def _intersect(pairs: DataFrame, left: G.Elements, right: G.Elements) -> DataFrame:
+    """Add ``_x``, the point whose images under two 3x4 projections (12 numbers each) are nearest to the pixels."""
+    row = lambda c, p, i: [F.col(c) * p[8 + j] - p[4 * i + j] for j in range(4)]
+    rows = [row("lu", left, 0), row("lv", left, 1), row("ru", right, 0), row("rv", right, 1)]
     out = pairs.withColumn("_e", smallest_eigenvector(F.array(*_outer_sum(rows))))
     h = [F.get(F.col("_e.x"), F.lit(i)) for i in range(4)]
-    finite = F.abs(h[3]) > lit(1e-10)
-    out = out.withColumns({c: F.when(finite, h[i] / h[3]) for i, c in enumerate("xyz")}).drop("_e")
-    left = [F.col(c) for c in "xyz"]
-    right = G.apply_pose(m, left)
+    return out.withColumn("_x", F.when(F.abs(h[3]) > lit(1e-10), F.array(*[h[i] / h[3] for i in range(3)]))).drop("_e")
+
+
+def _project(k: G.Elements, pose: G.Elements) -> G.Elements:
+    """3x4 projection of intrinsics and a 4x4 pose, 12 numbers."""
+    return [G.dot(k[3 * i : 3 * i + 3], [pose[j], pose[4 + j], pose[8 + j]]) for i in range(3) for j in range(4)]
+
+
+def _gated(
+    rows: DataFrame, left: G.Elements, right: G.Elements, kl: G.Elements, kr: G.Elements, m: G.Elements, *, reprojection_px=4.0,
+    epipolar_px=6.0, min_depth=0.10, max_depth=2.0, min_ray_deg=0.5,
+) -> DataFrame:
+    """Add the errors and gates of a point given in both cameras; ``m`` maps left to right coordinates."""
+    uv = {c: F.col(c) for c in ("lu", "lv", "ru", "rv")}
 
     def pixel_error(p, k, u, v):
         q = G.apply3(k, p)
@@ -291,8 +412,9 @@ def triangulate_pairs(
 
     ray_l = G.apply3(G.inverse3(kl), [uv["lu"], uv["lv"], lit(1)])
     ray_r = G.apply3(G.transpose3(G.rotation(m)), G.apply3(G.inverse3(kr), [uv["ru"], uv["rv"], lit(1)]))
-    out = out.withColumns(
+    out = rows.withColumns(
         {
+            "left_z": left[2],
             "right_z": right[2],
             "left_error_px": pixel_error(left, kl, uv["lu"], uv["lv"]),
             "right_error_px": pixel_error(right, kr, uv["ru"], uv["rv"]),
@@ -307,7 +429,7 @@ def triangulate_pairs(
     angle = F.degrees(F.acos(G.clamp(G.dot(a, b) / (G.norm(a) * G.norm(b)), -1, 1)))
     out = out.withColumn("ray_deg", angle).drop("_l", "_r")
     ok = (
-        F.col("z").between(min_depth, max_depth)
+        F.col("left_z").between(min_depth, max_depth)
         & F.col("right_z").between(min_depth, max_depth)
         & (F.col("left_error_px") <= reprojection_px)
         & (F.col("right_error_px") <= reprojection_px)
@@ -317,6 +439,51 @@ def triangulate_pairs(
     return out.withColumn("valid", F.coalesce(ok, F.lit(False)))
 
 
+def triangulate_pairs(pairs: DataFrame, k_left: Column, k_right: Column, left_to_right: Column, **gates) -> DataFrame:
+    """Two-view triangulation of ``lu, lv, ru, rv`` with all gates as columns.
+
+    Adds the point in the left camera (``x, y, z``), both reprojection errors, the epipolar error, the
+    ray angle and ``valid``. Rejected points keep their estimate. ``gates`` are the limits of :func:`_gated`.
+    """
+    kl, kr, m = G.elements(k_left, 9), G.elements(k_right, 9), G.elements(left_to_right, 16)
+    p1 = [kl[3 * i + j] if j < 3 else lit(0) for i in range(3) for j in range(4)]
+    out = _intersect(pairs, p1, _project(kr, m))
+    out = out.withColumns({c: F.get("_x", F.lit(i)) for i, c in enumerate("xyz")}).drop("_x")
+    left = [F.col(c) for c in "xyz"]
+    return _gated(out, left, G.apply_pose(m, left), kl, kr, m, **gates).drop("left_z")
+
+
+def triangulate_in_head(
+    pairs: DataFrame, k_left: Column, k_right: Column, left_to_head: Column, right_to_head: Column, raw_to_image: Column, **gates
+) -> DataFrame:
+    """Two-view triangulation with the projections of two cameras mounted on a head (F17, second form).
+
+    ``left_to_head`` and ``right_to_head`` are the poses of the raw cameras, ``raw_to_image`` the change of
+    axes to the image cameras, columns of the rows (a session's calibration). Adds the point in head coordinates (``x, y, z``), in both image cameras
+    (``left_xyz``, ``right_xyz``), and the errors and gates of :func:`triangulate_pairs`. Null pixels or
+    poses give null points that are not valid.
+    """
+    out = pairs.withColumns({"_kl": k_left, "_kr": k_right, "_el": left_to_head, "_er": right_to_head, "_b": raw_to_image})
+    for step in (  # one column per step, so that no expression repeats the one before it
+        lambda e: {f"_i{e}": G.inverse_affine(f"_e{e}")},
+        lambda e: {f"_h{e}": G.compose(G.from_parts(G.elements("_b", 9), [lit(0)] * 3), f"_i{e}")},
+        lambda e: {f"_p{e}": _project(G.elements(f"_k{e}", 9), G.elements(f"_h{e}", 16)), f"_v{e}": G.inverse_affine(f"_h{e}")},
+    ):
+        out = out.withColumns({c: F.array(*v) for e in "lr" for c, v in step(e).items()})
+    out = out.withColumn("_m", F.array(*G.compose("_hr", "_vl")))
+    out = _intersect(out, G.elements("_pl", 12), G.elements("_pr", 12))
+    out = out.withColumns({c: F.get("_x", F.lit(i)) for i, c in enumerate("xyz")})
+    known = F.col("_x").isNotNull()
+    out = out.withColumns(
+        {
+            name: F.when(known, F.array(*G.apply_pose(G.elements(pose, 16), G.vec("_x"))))
+            for name, pose in (("left_xyz", "_hl"), ("right_xyz", "_hr"))
+        }
+    )
+    out = _gated(out, G.vec("left_xyz"), G.vec("right_xyz"), G.elements("_kl", 9), G.elements("_kr", 9), G.elements("_m", 16), **gates)
+    return out.drop(*[f"_{c}{e}" for c in "keihpv" for e in "lr"], "_b", "_m", "_x", "left_z", "right_z")
+
+
 def candidate_pairs(hands: DataFrame, confidence: float = 0.5) -> DataFrame:
     """Left and right detections of the same frame and side, both confident, both with 21 joints."""
     good = hands.where((F.col("score") >= confidence) & (F.size("uv") == 21))

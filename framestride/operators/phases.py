@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framestride.operators import islands as I
 from framestride.operators import series as S
-from framestride.session import chunk_rows
+from framestride.operators.bounds import bound, with_bound
 
 # Mode codes and names.
 STOP, FORWARD, ROTATE, TRANSITION, FINISHED = 0, 1, 2, 3, 4
@@ -188,24 +188,27 @@ def phase_windows(df: DataFrame) -> DataFrame:
 
 
 def frames_in_windows(frames: DataFrame, windows: DataFrame, group: str) -> DataFrame:
-    """Range join of frames to the windows of a mode group, distinct frames.
+    """Distinct frames that lie in a window of a mode group.
 
-    Both sides are cut into index ranges, so the join is an equality join on (episode, range)
-    followed by the range predicate; windows are disjoint and the frame is emitted once.
+    Windows are put at their starts into the order of the frames. A frame lies in a window exactly if
+    the furthest end among the windows that start at or before it reaches it, so a running maximum
+    decides each frame once: the work is linear in frames plus windows, however the windows overlap.
+    Windows given from end to start are turned round; rows without an episode or index are left out.
     """
-    size = chunk_rows(frames)
-    wanted = windows.where(F.col("mode").isin(*GROUPS[group])).select(
-        "episode",
-        F.least("start", "end").alias("_s"),
-        F.greatest("start", "end").alias("_e"),
+    end = F.greatest("start", "end")
+    events = frames.select("episode", F.col("frame_idx").cast("long").alias("frame_idx"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"))
+    starts = windows.where(F.col("mode").isin(*GROUPS[group])).select(
+        "episode", F.least("start", "end").cast("long").alias("frame_idx"), F.lit(0).alias("_kind"), end.cast("long").alias("_end")
     )
-    wanted = wanted.withColumn(
-        "_range", F.explode(F.sequence(F.floor(F.col("_s") / size).cast("long"), F.floor(F.col("_e") / size).cast("long")))
-    )
-    rows = frames.withColumn("_range", F.floor(F.col("frame_idx") / size).cast("long"))
-    inside = F.col("frame_idx").between(F.col("_s"), F.col("_e"))
-    hit = rows.join(wanted, ["episode", "_range"]).where(inside)
-    return hit.select("episode", "frame_idx").distinct()
+    rows = events.union(starts).where(F.col("episode").isNotNull() & F.col("frame_idx").isNotNull())
+    rows = rows.withColumn("episode", F.col("episode").alias("episode", metadata={}))
+    known = [bound(side, ["episode"]) for side in (frames, windows)]
+    if None not in known:
+        rows = with_bound(rows, "episode", sum(known))
+    before = S.lag("_before", F.when(F.col("_kind") == 1, F.col("frame_idx")))
+    out = S.scan(rows, ["episode"], ["frame_idx", "_kind"], [S.running_max("_reach", "_end"), before])
+    repeated = F.coalesce(F.col("_before") == F.col("frame_idx"), F.lit(False))
+    return out.where((F.col("_kind") == 1) & (F.col("_reach") >= F.col("frame_idx")) & ~repeated).select("episode", "frame_idx")
 
 
 def reference_window(df: DataFrame, most: int = 60, least: int = 30) -> DataFrame:

@@ -584,6 +584,36 @@ def gripper_frames(spark, sf_dir):
     )
 
 
+@query(
+    "previous_axis_frames",
+    f"""with recursive {FRAMES_SQL}, q as (select episode, frame_idx, event_id % 11 = 0 as absent, event_id % 5 = 0 as degenerate,
+        cos(radians(floor(value) * 40)) as c, sin(radians(floor(value) * 40)) as s from frames),
+      walk as (select episode, -1::bigint as frame_idx, null::double as c, null::double as s, null::double as sign, true as absent from q group by 1
+        union all
+        select q.episode, q.frame_idx,
+          case when q.absent then w.c when q.degenerate then coalesce(w.c, 0) else q.c end,
+          case when q.absent then w.s when q.degenerate then coalesce(w.s, 1) else q.s end,
+          case when q.absent then w.sign when q.degenerate then coalesce(w.sign, 1)
+            when w.sign * (w.c * q.c + w.s * q.s) < 0 then -1 else 1 end, q.absent
+        from walk w join q on q.episode = w.episode and q.frame_idx = w.frame_idx + 1)
+      select episode, frame_idx, case when not absent then round(sign * c, 6) + 0 end as xx, case when not absent then round(sign * s, 6) + 0 end as xy,
+        case when not absent then round(sign * -s, 6) + 0 end as yx, case when not absent then 1e0 end as zz from walk where frame_idx >= 0""",
+)
+def previous_axis_frames(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    turn = F.radians(F.floor("value") * 40)
+    c, s, zero = F.cos(turn), F.sin(turn), F.lit(0.0)
+    arm = F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(0.1)
+    index = [c * 0.05, s * 0.05, zero]
+    wrist = [index[0] / 2 + s * arm, index[1] / 2 - c * arm, zero]
+    own = H.gripper_rotation_or_null(wrist, [zero] * 3, index)
+    turned = F.array(*[F.lit(float(v)) for v in (0, -1, 0, 1, 0, 0, 0, 0, 1)])
+    rows = f.select("episode", "frame_idx", own.alias("R"), turned.alias("wrist"), (F.col("event_id") % 11 != 0).alias("seen"))
+    o = O.keep_previous_axes(rows, "R", "wrist", F.col("seen"), ["episode"])
+    at = lambda i, name: (F.round(F.get("R", F.lit(i)), 6) + 0.0).alias(name)
+    return o.select("episode", "frame_idx", at(0, "xx"), at(3, "xy"), at(1, "yx"), at(8, "zz"))
+
+
 @query("palm_frames")
 def palm_frames(spark, sf_dir):
     s = _skeleton(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from framestride.functions import geometry as G
@@ -71,7 +73,29 @@ def multi_view_triangulation(spark, sf_dir):
 )
 def robust_point_refinement(spark, sf_dir):
     start = keypoints(spark, sf_dir).withColumns({"x": F.col("x") + 0.01, "z": F.col("z") + 0.02})
-    o = O.refine_points(views(spark, sf_dir), start, steps=5)
+    o = O.refine_points(views(spark, sf_dir), start)
+    zero = lambda c: (F.round(c, 4) + F.lit(0.0)).alias(c)
+    return o.select("kpt", zero("x"), zero("y"), zero("z"))
+
+
+@query(
+    "refinement_with_outliers",
+    PART_SQL + " select kpt, round(x, 4) as x, round(y, 4) as y, round(z, 4) as z from p",
+)
+def refinement_with_outliers(spark, sf_dir):
+    """The exact views, outliers of 80 pixels to both sides, and a camera that has the point behind it.
+
+    The pulls of the two outliers cancel at the true point and the last camera only costs a constant, so the
+    true point stays the minimum.
+    """
+    v = views(spark, sf_dir)
+    first = v.where("frame_idx = 0")
+    shifted = [first.withColumns({"frame_idx": F.lit(n), "u": F.col("u") + du, "vis": F.lit(1)}) for n, du in ((6, 80), (7, -80))]
+    back = F.array(*lits((-1, 0, 0, 0, 0, 1, 0, 0, 0, 0, -1, 0, 0, 0, 0, 1)))
+    behind = first.withColumns({"frame_idx": F.lit(8), "vis": F.lit(1), "c2w": back})
+    rows = v.union(shifted[0].select(v.columns)).union(shifted[1].select(v.columns)).union(behind.select(v.columns))
+    start = keypoints(spark, sf_dir).withColumns({"x": F.col("x") + 0.01, "z": F.col("z") + 0.02})
+    o = O.refine_points(rows, start)
     zero = lambda c: (F.round(c, 4) + F.lit(0.0)).alias(c)
     return o.select("kpt", zero("x"), zero("y"), zero("z"))
 
@@ -155,6 +179,53 @@ def two_view_triangulation(spark, sf_dir):
     )
 
 
+# Two turned cameras on a head, a little further to the side in some recordings; raw axes look backwards and are flipped to image axes.
+def _mount(turn: float, tilt: float, at: tuple) -> tuple:
+    c, s, d, e = math.cos(turn), math.sin(turn), math.cos(tilt), math.sin(tilt)
+    return (c, s * e, s * d, at[0], 0.0, d, -e, at[1], -s, c * e, c * d, at[2], 0.0, 0.0, 0.0, 1.0)
+
+
+RIG = {"l": _mount(0.10, 0.0, (-0.032, 0.010, 0.020)), "r": _mount(-0.08, 0.02, (0.035, 0.012, 0.018))}
+FLIP = (1, 0, 0, 0, -1, 0, 0, 0, -1)
+
+
+def _in_camera(eye: str, axis: int) -> str:
+    """SQL of an image-camera coordinate of the head point (hx, hy, hz)."""
+    m, sign, shift = RIG[eye], FLIP[4 * axis], ("(episode % 3) * 0.001::double", "0", "0")
+    return "(" + " + ".join(f"{sign} * ({m[4 * i + axis]!r})::double * ({c} - ({m[4 * i + 3]!r})::double - {shift[i]})" for i, c in enumerate(("hx", "hy", "hz"))) + ")"
+
+
+@query(
+    "head_mounted_triangulation",
+    F0 + f""", h as (select *, x * 0.2e0 - 0.1e0 as hx, y * 0.1e0 - 0.05e0 as hy, -(0.4e0 + (event_id % 50) / 20e0) as hz from frames),
+      c as (select *, {_in_camera("l", 2)} as zl, {_in_camera("r", 2)} as zr, event_id % 7 = 0 as shaken from h)
+      select episode, frame_idx, case when not shaken then round(hx, 5) end as hx, case when not shaken then round(hy, 5) end as hy,
+        case when not shaken then round(hz, 5) end as hz, case when not shaken then round(zl, 5) end as depth_left,
+        case when not shaken then round(zr, 5) end as depth_right, not shaken and zl between 0.1 and 2 and zr between 0.1 and 2 as valid
+      from c""",
+)
+def head_mounted_triangulation(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    f = f.withColumns({
+        "hx": F.col("x") * 0.2 - 0.1, "hy": F.col("y") * 0.1 - 0.05, "hz": -(F.lit(0.4) + (F.col("event_id") % 50) / F.lit(20.0)),
+    })
+    pixels = {}
+    for eye in "lr":
+        a, b, c = (F.expr(_in_camera(eye, i)) for i in range(3))
+        pixels |= {f"{eye}u": 700 * a / c + 540, f"{eye}v": 700 * b / c + 405}
+    shaken = F.col("event_id") % 7 == 0
+    pixels["rv"] = pixels["rv"] + F.when(shaken, 25).otherwise(0)
+    pairs = f.select("episode", "frame_idx", shaken.alias("shaken"), *[c.alias(n) for n, c in pixels.items()])
+    k, basis = F.array(*lits(K_STEREO)), F.array(*lits(FLIP))
+    mount = {e: F.array(*[v + (F.col("episode") % 3) * 0.001 if i == 3 else v for i, v in enumerate(lits(RIG[e]))]) for e in "lr"}
+    o = O.triangulate_in_head(pairs, k, k, mount["l"], mount["r"], basis)
+    exact = lambda c, name: F.when(~F.col("shaken"), F.round(c, 5) + F.lit(0.0)).alias(name)
+    return o.select(
+        "episode", "frame_idx", exact("x", "hx"), exact("y", "hy"), exact("z", "hz"), exact(F.get("left_xyz", F.lit(2)), "depth_left"),
+        exact(F.get("right_xyz", F.lit(2)), "depth_right"), "valid",
+    )
+
+
 def eye_hands(spark, sf_dir):
     """A hand of 21 points per frame and eye; some frames have a second right-eye detection."""
     f = frames(spark, sf_dir)
