@@ -90,6 +90,11 @@ def gripper_frame(wrist, thumb_base, index_base, thumb_tip, index_tip) -> Column
     return G.bind(G.unit_or(G.sub(index_base, thumb_base), (1, 0, 0)), with_x)
 
 
+def _unit_or_null(v, eps: float) -> list[Column]:
+    n = G.norm(v)
+    return [F.when(n > lit(eps), x / n) for x in v]
+
+
 def gripper_rotation_or_null(wrist, thumb_base, index_base, eps: float = 1e-6, eps_arm: float = 1e-4) -> Column:
     """3x3 midpoint rotation, null when degenerate: the caller keeps the previous one."""
     x_raw = G.sub(index_base, thumb_base)
@@ -98,12 +103,12 @@ def gripper_rotation_or_null(wrist, thumb_base, index_base, eps: float = 1e-6, e
     def with_x(x):
         def with_y(raw):
             ok = (G.norm(x_raw) > lit(eps)) & (G.norm(arm) >= lit(eps_arm)) & (G.norm(raw) > lit(eps))
-            rot = G.bind(G.unit(raw), lambda y: F.array(*_columns_to_rotation(x, y, G.cross(x, y))))
+            rot = G.bind(_unit_or_null(raw, eps), lambda y: F.array(*_columns_to_rotation(x, y, G.cross(x, y))))
             return F.when(ok, rot)
 
         return G.bind(G.sub(arm, G.scale(x, G.dot(arm, x))), with_y)
 
-    return G.bind(G.unit(x_raw), with_x)
+    return G.bind(_unit_or_null(x_raw, eps), with_x)
 
 
 def normal_frame(position, normal, forward) -> Column:

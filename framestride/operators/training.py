@@ -19,6 +19,7 @@ from framestride.operators import latch as L
 from framestride.operators import series as S
 from framestride.operators.dataset import KEY, finished_by_mode
 from framestride.session import chunk_rows, stage
+from framestride.sources.records import CORRUPT, flat, robot_arm
 
 SIDES = ("left", "right")
 OBJECTS = "array<struct<obj:string,T:array<double>,is_dynamic:boolean>>"
@@ -70,7 +71,8 @@ def _statics(objects: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def training_table(
-    tables: dict[str, DataFrame], objects: DataFrame, anchors: DataFrame, disabled: Sequence[str] = (), rows: int | None = None
+    tables: dict[str, DataFrame], objects: DataFrame, anchors: DataFrame, disabled: Sequence[str] = (), rows: int | None = None,
+    threshold: float = 0.5,
 ) -> DataFrame:
     """The training records of all frames that have every record.
 
@@ -78,36 +80,38 @@ def training_table(
     ``phases`` (mode), ``slam``, and any further hand methods as ``hands_<method>``, which may be absent on a frame: null
     where the method was not run, empty where it saw nothing (J03). ``objects``: episode, obj, static T; ``anchors``:
     episode, anchor_key, the object that no hand moves. A side in ``disabled`` moves nothing. A hand whose pose is null is
-    not in the table's ``hands``, but its grasp counts.
+    not in the table's ``hands``, but its grasp counts. A hand is closed above the grasp ``threshold``. Instead of ``phases`` and
+    ``slam``, ``cameras`` may bring its own ``is_finished``.
     """
     longest = tables["cameras"].groupBy("episode").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if longest <= (rows or chunk_rows(tables["cameras"])):
-        out = _folded(_assembled(tables, _statics(objects, anchors), ["episode"]), disabled)
+        out = _folded(_assembled(tables, _statics(objects, anchors), ["episode"], threshold), disabled)
     else:
-        frames = _assembled(tables, _statics(objects, anchors), KEY).where("_static is null").drop("_static")
+        frames = _assembled(tables, _statics(objects, anchors), KEY, threshold).where("_static is null").drop("_static")
         out = _split(stage(frames), objects, anchors, disabled)
     moved = F.map_from_entries(F.transform("_moved", lambda o: F.struct(o["obj"], F.struct(o["T"].alias("T"), o["is_dynamic"].alias("is_dynamic")))))
     return out.withColumn("objects", moved).drop("_moved")
 
 
-def _assembled(tables: dict[str, DataFrame], statics: DataFrame, by: Sequence[str]) -> DataFrame:
+def _assembled(tables: dict[str, DataFrame], statics: DataFrame, by: Sequence[str], threshold: float) -> DataFrame:
     """Complete frames, and the objects of each recording as a frame -1."""
     needed = [t for t in tables if not t.startswith("hands_")]
     number = tables["cameras"].schema["frame_idx"].dataType
     first = statics.withColumn("frame_idx", F.lit(-1).cast(number))
     frames = presence({**tables, "_static": first}, by).where(complete(needed) | F.col("_static").isNotNull())
     seen = F.map_filter("hands.hands", lambda _, h: h["T"].isNotNull())
+    finished = F.col("cameras.is_finished") if "is_finished" in tables["cameras"].columns else finished_by_mode(F.col("phases.mode"))
     methods = [F.col(f"{t}.hands").alias(t) for t in tables if t not in needed]
     return frames.select(
         *KEY, *[F.col(f"cameras.{c}").alias(c) for c in ("ts", "w", "h", "fps", "k", "c2w")],
-        finished_by_mode(F.col("phases.mode")).alias("is_finished"), seen.alias("hands"), *methods,
-        *[_side(s).alias(f"_{s}") for s in SIDES], "_static",
+        finished.alias("is_finished"), seen.alias("hands"), *methods,
+        *[_side(s, threshold).alias(f"_{s}") for s in SIDES], "_static",
     )
 
 
-def _side(side: str) -> Column:
+def _side(side: str, threshold: float) -> Column:
     hand = F.try_element_at("hands.hands", F.lit(side))
-    return F.struct(F.coalesce(hand["grasp"] > 0.5, F.lit(False)).alias("grasp"), hand["T"].alias("T"))
+    return F.struct(F.coalesce(hand["grasp"] > F.lit(threshold), F.lit(False)).alias("grasp"), hand["T"].alias("T"))
 
 
 def _folded(frames: DataFrame, disabled: Sequence[str]) -> DataFrame:
@@ -230,3 +234,42 @@ def _split(frames: DataFrame, objects: DataFrame, anchors: DataFrame, disabled:
     out = frames.join(moved, ["episode", "pos"], "left").join(anchors.select("episode", "anchor_key"), "episode", "left")
     kept = [c for c in frames.columns if c not in ("_left", "_right", "pos")]
     return out.select(*kept, "anchor_key", F.coalesce("_moved", F.expr(f"cast(array() as {OBJECTS})")).alias("_moved"))
+
+
+# --- robot sessions ------------------------------------------------------------------------------------
+
+
+def robot_table(
+    states: DataFrame, images: DataFrame, meta: DataFrame, objects: DataFrame, anchors: DataFrame, threshold: float = 0.5,
+    tail: int = 30, disabled: Sequence[str] = (),
+) -> DataFrame:
+    """The training records of robot sessions.
+
+    ``states``: records of kind ``robot``; ``images``: episode and frame_idx of every image; ``meta``:
+    :func:`framestride.sources.records.session_meta`. A frame needs its state and its image, and a session its metadata: others
+    are left out, like unreadable states. The left arm takes part only in sessions with ``dual_arm``; an arm that does not is
+    open and absent. A gripper closed by more than half counts as a grasp of 1, any other or none as 0. ``joints`` of an
+    arm stay with its hand. The camera stands at the origin. The last ``tail`` images of a session are finished, whatever
+    their state says. Repeated frames count once.
+    """
+    images = images.select(*KEY).dropDuplicates(KEY)
+    placed = S.scan(images, ["episode"], "frame_idx", [S.position("_t"), S.total("_n", F.count(F.lit(1)))])
+    if CORRUPT in states.columns:
+        states = states.where(F.col(CORRUPT).isNull())
+    facts = meta.select("episode", "w", "h", "fps", flat(F.col("k")).alias("k"), "dual_arm")
+    frames = states.join(placed, list(KEY)).join(facts, "episode")
+    last = (F.col("_t") >= F.col("_n") - tail) & F.lit(tail > 0)
+    finished = F.when(last, 1.0).otherwise(F.coalesce(F.col("is_finished").cast("double"), F.lit(0.0)))
+    origin = F.array(*[F.lit(float(i % 5 == 0)) for i in range(16)])
+    cameras = frames.select(*KEY, "ts", "w", "h", "fps", "k", origin.alias("c2w"), finished.alias("is_finished"))
+    hands = []
+    for side in SIDES:
+        arm = robot_arm(side)
+        joints = F.coalesce(arm["joints"], F.col("joints")) if side == "right" else arm["joints"]
+        closed = F.when(1 - arm["gripper_q"] > 0.5, 1.0).otherwise(0.0)
+        hand = F.struct(flat(arm["T_ee_in_cam"]).alias("T"), closed.alias("grasp"), joints.alias("joints"))
+        active = F.lit(True) if side == "right" else F.col("dual_arm")
+        hands.append(F.when(active & arm.isNotNull(), F.struct(F.lit(side).alias("side"), hand.alias("hand"))))
+    entries = F.map_from_entries(F.array_compact(F.array(*hands)))
+    tables = {"cameras": cameras, "hands": frames.select(*KEY, entries.alias("hands"))}
+    return training_table(tables, objects, anchors, disabled, threshold=threshold)

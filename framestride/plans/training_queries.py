@@ -8,6 +8,7 @@ from framestride.operators import training as T
 from framestride.plans.object_queries import latch_inputs
 from framestride.plans.registry import query
 from framestride.plans.surrogate import FRAMES_SQL, frames
+from framestride.sources import records as J
 
 NEEDED = ["cameras", "hands", "phases", "slam"]
 
@@ -74,13 +75,18 @@ _START = ", ".join(
     + ["0e0 as a2", "1e0 / 10 as x2", "1e0 / 70 as y2", "0e0 as z2", "0e0 as a3", "2e0 / 10 as x3", "2e0 / 70 as y3", "0e0 as z3"]
 )
 
-LATCH_SQL = f"""with recursive {_HANDS_SQL},
+def latch_sql(hand: str) -> str:
+    """The latch of both hands as a recursion over the frames of the table ``hand`` that the SQL defines."""
+    return f"""with recursive {hand},
 run as (
   select episode, cast(0 as bigint) as t, {", ".join(c for c in _STATE)} from (select distinct episode, {_START} from hand)
   union all
   select episode, t, {", ".join(_STATE)} from {_side("r", _side("l", f"(select hand.*, {', '.join('run.' + c for c in _STATE)} from run join hand on hand.episode = run.episode and hand.t = run.t + 1)"))})"""
 
 
+LATCH_SQL = latch_sql(_HANDS_SQL)
+
+
 @query(
     "training_table",
     LATCH_SQL + """, placed as (
@@ -111,3 +117,73 @@ def training_counters(spark, sf_dir):
     tables, _, _ = inputs(spark, sf_dir)
     listed = frames(spark, sf_dir).select("episode", "frame_idx")
     return T.counters(T.presence({"listed": listed, **{t: tables[t] for t in NEEDED}}), NEEDED)
+
+
+# --- robot sessions ------------------------------------------------------------------------------------
+
+_ROBOT_SQL = FRAMES_SQL + """,
+image as (select *, row_number() over (partition by episode order by frame_idx) as place, count(*) over (partition by episode) as listed
+  from frames where event_id % 17 <> 0),
+hand as (
+  select f.episode, f.frame_idx, f.event_id, value, case when event_id % 5 = 4 or place > listed - 4 then 1e0 else 0e0 end as is_finished,
+         row_number() over (partition by f.episode order by f.frame_idx) as t, f.episode % 2 = 0 as dual,
+         f.episode % 2 = 0 and event_id % 7 < 4 as l_g, f.episode % 2 = 0 and event_id % 9 <> 0 as l_ok, grasp as r_g, event_id % 11 <> 0 as r_ok,
+         radians(value) as ha, x / 3 as l_x, x / 2 as r_x, (event_id % 13) / 60e0 as hy
+  from image f where event_id % 29 <> 0 and f.episode % 10 <> 3)"""
+
+
+def robot_inputs(spark, sf_dir):
+    """Sessions with two arms (even) or one (odd, or one in two layouts), some without metadata, states or images."""
+    f = frames(spark, sf_dir)
+    i, dual = F.col("event_id"), F.col("episode") % 2 == 0
+    hands, objects, anchors = latch_inputs(spark, sf_dir)
+    nested = F.when(F.col("T").isNotNull(), F.array(*[F.slice("T", 4 * j + 1, 4) for j in range(4)]))
+    arm = F.struct(nested.alias("T_ee_in_cam"), F.when(F.col("grasp"), 0.25).otherwise(0.75).alias("gripper_q"))
+    arms = hands.groupBy("episode", F.col("pos").alias("frame_idx")).agg(F.map_from_entries(F.collect_list(F.struct("side", arm))).alias("both"))
+    rows = f.join(arms, ["episode", "frame_idx"]).where(i % 29 != 0)
+    right = F.col("both")["right"]
+    with_joints = F.transform_values("both", lambda _, a: F.struct(a["T_ee_in_cam"].alias("T_ee_in_cam"), a["gripper_q"].alias("gripper_q"), F.array("value").alias("joints")))
+    common = [F.col("ts_us").cast("double").alias("ts"), (i % 5 == 4).alias("is_finished")]
+    named = F.struct(*common, with_joints.alias("arms"))
+    plain = F.struct(*common, right["T_ee_in_cam"].alias("T_ee_in_cam"), right["gripper_q"].alias("gripper_q"), F.array("value").alias("joints"))
+    # Single-arm sessions come in the layout without arms, or name a left arm that takes no part.
+    text = F.when(dual | (i % 2 == 0), F.to_json(named)).otherwise(F.to_json(plain))
+    states = J.parse_records(rows.select("episode", "frame_idx", text.alias("value")), "robot")
+    facts = f.where("frame_idx = 0 and episode % 10 <> 3").select("episode", F.to_json(F.struct(F.lit(1280).alias("w"), dual.alias("dual_arm"))).alias("value"))
+    meta = J.session_meta(J.parse_records(facts, "session"))
+    return states, f.where(i % 17 != 0), meta, objects, anchors
+
+
+@query(
+    "robot_training_table",
+    latch_sql(_ROBOT_SQL) + """, placed as (
+      select episode, t, 'obj1' as obj, 0 as n, 0e0 as a, 0e0 as x, 0e0 as y, 0e0 as z, l_n, r_n from run
+      union all select episode, t, 'obj2', 2, a2, x2, y2, z2, l_n, r_n from run
+      union all select episode, t, 'obj3', 3, a3, x3, y3, z3, l_n, r_n from run)
+    select episode, frame_idx, 1280 as w, 480 as h, is_finished, cast(l_ok as integer) + cast(r_ok as integer) as n_hands,
+      case when r_ok then case when r_g then 1e0 else 0e0 end end as right_grasp, case when r_ok then round(value, 5) end as right_joint,
+      case when l_ok then round(value, 5) end as left_joint, obj,
+      n > 0 and (l_n = n or r_n = n) as is_dynamic, round(x, 5) + 0e0 as x, round(y, 5) + 0e0 as y, round(z, 5) + 0e0 as z,
+      round(cos(a), 5) + 0e0 as c, round(sin(a), 5) + 0e0 as s
+    from placed join hand using (episode, t)""",
+)
+def robot_training_table(spark, sf_dir):
+    rows = T.robot_table(*robot_inputs(spark, sf_dir), tail=4)
+    at = lambda k: F.round(F.col("o.T")[k], 5) + F.lit(0.0)
+    hand = lambda side: F.try_element_at("hands", F.lit(side))
+    joint = lambda side: F.round(F.get(hand(side)["joints"], F.lit(0)), 5)
+    rows = rows.select(
+        "episode", "frame_idx", "w", "h", "is_finished", F.size("hands").alias("n_hands"), hand("right")["grasp"].alias("right_grasp"),
+        joint("right").alias("right_joint"), joint("left").alias("left_joint"), F.explode("objects").alias("obj", "o"),
+    )
+    return rows.select("*", "o.is_dynamic", at(3).alias("x"), at(7).alias("y"), at(11).alias("z"), at(0).alias("c"), at(4).alias("s")).drop("o")
+
+
+@query(
+    "robot_session_meta",
+    f"""with {FRAMES_SQL} select episode, 1280 as w, 480 as h, 30e0 as fps, episode % 2 = 0 as dual_arm, 'unknown' as source_type, 1e0 as focal, 'cam0' as cameras
+      from frames where frame_idx = 0 and episode % 10 <> 3""",
+)
+def robot_session_meta(spark, sf_dir):
+    meta = robot_inputs(spark, sf_dir)[2]
+    return meta.select("episode", "w", "h", "fps", "dual_arm", "source_type", F.get(F.get("k", F.lit(0)), F.lit(0)).alias("focal"), F.array_join(F.map_keys("cameras"), ",").alias("cameras"))

@@ -27,6 +27,7 @@ SCHEMAS = {
     "hands": f"idx int, ts bigint, hand_r {_HAND}, hand_l {_HAND}",
     "slam": "idx int, ts bigint, t_world array<double>, rpy_deg array<double>, delta_t_world array<double>, delta_rpy_deg array<double>, linear_speed_mps double, angular_speed_rps double, yaw_unwrapped_deg double",
     "phases": "idx int, ts bigint, mode int, stop int, mode_str string, v double, w double",
+    "session": "w int, h int, fps double, k array<array<double>>, dual_arm boolean, source_type string, cameras map<string,struct<k:array<array<double>>,w:int,h:int>>",
     "robot": "ts double, is_finished boolean, arms map<string,struct<T_ee_in_cam:array<array<double>>,gripper_q:double,joints:array<double>>>, T_ee_in_cam array<array<double>>, gripper_q double, joints array<double>",
     "tracks": "tracks array<array<array<double>>>, visibility array<array<double>>",
 }
@@ -87,17 +88,38 @@ def training_table(records: DataFrame) -> DataFrame:
     )
 
 
-def robot_arms(records: DataFrame, sides=("left", "right")) -> DataFrame:
-    """State of each arm; a record without ``arms`` describes the right arm only."""
-    side = F.col("side")
+def robot_arm(side: str) -> Column:
+    """State of one arm; a record without ``arms`` describes the right arm only."""
+    arm = F.try_element_at("arms", F.lit(side))
+    if side != "right":
+        return arm
     no_arms = F.col("arms").isNull() | (F.size("arms") == 0)
-    top = F.when(no_arms & (side == "right"), F.struct("T_ee_in_cam", "gripper_q", "joints"))
-    arm = F.coalesce(F.try_element_at("arms", side), top)
-    rows = records.withColumn("side", F.explode(F.array(*[F.lit(s) for s in sides]))).withColumn("_a", arm)
+    return F.coalesce(arm, F.when(no_arms, F.struct("T_ee_in_cam", "gripper_q", "joints")))
+
+
+def robot_arms(records: DataFrame, sides=("left", "right")) -> DataFrame:
+    """One row per arm that a record describes."""
+    arms = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), robot_arm(s).alias("arm")) for s in sides]))
     keep = [c for c in records.columns if c not in ("arms", "T_ee_in_cam", "gripper_q", "joints", CORRUPT)]
-    return rows.where("_a is not null").select(
-        *keep, "side", flat(F.col("_a.T_ee_in_cam")).alias("T"), F.col("_a.gripper_q").alias("gripper_q"), F.col("_a.joints").alias("joints")
-    )
+    rows = records.withColumn("_a", arms).where("_a.arm is not null")
+    arm = F.col("_a.arm")
+    return rows.select(*keep, F.col("_a.side").alias("side"), flat(arm["T_ee_in_cam"]).alias("T"), arm["gripper_q"].alias("gripper_q"), arm["joints"].alias("joints"))
+
+
+def session_meta(records: DataFrame) -> DataFrame:
+    """One row per robot session with defaults filled in; ``cameras`` always names ``cam0``.
+
+    A camera without own intrinsics or size takes those of the session. An unreadable record is left out.
+    """
+    eye = F.array(*[F.array(*[F.lit(float(i == j)) for j in range(3)]) for i in range(3)])
+    # Size, rate and intrinsics of a session that does not state them.
+    own = {"w": F.lit(640), "h": F.lit(480), "fps": F.lit(30.0), "k": eye, "dual_arm": F.lit(False), "source_type": F.lit("unknown")}
+    rows = records.where(F.col(CORRUPT).isNull()).withColumns({c: F.coalesce(c, default) for c, default in own.items()})
+    camera = lambda c: F.struct(*[F.coalesce(c[n], F.col(n)).alias(n) for n in ("k", "w", "h")])
+    named = F.transform_values(F.coalesce("cameras", F.expr("map()").cast(rows.schema["cameras"].dataType)), lambda _, c: camera(c))
+    first = F.create_map(F.lit("cam0"), F.struct("k", "w", "h"))
+    whole = F.when(F.map_contains_key("_c", "cam0"), F.col("_c")).otherwise(F.map_concat("_c", first))
+    return rows.withColumn("_c", named).select("episode", *own, whole.alias("cameras"))
 
 
 def object_tracks(records: DataFrame) -> DataFrame:
