@@ -116,3 +116,53 @@ def test_no_frames(spark):
     nothing = {k: t.limit(0) for k, t in tables.items()}
     assert T.training_table(nothing, objects, anchors).count() == 0
     assert T.training_table(tables, objects.limit(0), anchors.limit(0)).select(F.size("objects")).distinct().collect() == [(0,)]
+
+
+def test_robot_sessions_split_and_edge_records(spark, small_chunks):
+    import json
+
+    from framestride.operators import training as T
+    from framestride.sources import records as J
+
+    eye = [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0], [0, 0, 0, 1.0]]
+
+    def pose(x):
+        return [[1.0, 0, 0, x], *eye[1:]]
+
+    lines = []
+    for i in range(12):
+        closed = 0.1 if 3 <= i < 8 else 0.9
+        lines.append(("two", i, json.dumps({"ts": i, "arms": {s: {"T_ee_in_cam": pose(0.01 * i), "gripper_q": closed, "joints": [i, i + 1]} for s in ("left", "right")}})))
+        lines.append(("one", i, json.dumps({"ts": i, "T_ee_in_cam": pose(0.01 * i), "gripper_q": closed, "joints": [i]})))
+        lines.append(("left only", i, json.dumps({"ts": i, "arms": {"left": {"T_ee_in_cam": pose(0.0), "gripper_q": 0.1}}})))
+        lines.append(("no meta", i, json.dumps({"ts": i, "T_ee_in_cam": pose(0.0), "gripper_q": closed})))
+    lines += [("one", 12, "{broken"), ("one", 13, json.dumps({"ts": 13})), ("two", 12, None)]
+    text = spark.createDataFrame(lines, "episode string, frame_idx long, value string")
+    states = J.parse_records(text, "robot")
+    images = text.select("episode", "frame_idx").union(text.select("episode", "frame_idx")).where("not (episode = 'two' and frame_idx = 1)")
+    facts = [("two", '{"dual_arm": true, "cameras": {"wrist": {"w": 10}}}'), ("one", '{"w": 99}'), ("left only", "{}"), ("bad", "{oops")]
+    meta = J.session_meta(J.parse_records(spark.createDataFrame(facts, "episode string, value string"), "session"))
+    known = {r.episode: r for r in meta.collect()}
+    assert set(known) == {"two", "one", "left only"}
+    assert known["two"].cameras["wrist"].w == 10 and known["two"].cameras["wrist"].h == 480 and known["two"].cameras["cam0"].w == 640
+    assert (known["one"].w, known["one"].h, known["one"].fps, known["one"].dual_arm) == (99, 480, 30.0, False)
+    objects = spark.createDataFrame([(e, o, [1.0, 0.0, 0.0, x, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]) for e in ("two", "one", "left only") for o, x in (("base", 0.03), ("cup", 0.1))], "episode string, obj string, T array<double>")
+    anchors = spark.createDataFrame([(e, "base") for e in ("two", "one", "left only")], "episode string, anchor_key string")
+
+    def rows():
+        out = T.robot_table(states, images, meta, objects, anchors, tail=2).collect()
+        return {(r.episode, r.frame_idx): r for r in out}, out
+
+    split, listed = rows()
+    spark.conf.set("framestride.chunkRows", "1000")
+    whole, _ = rows()
+    assert split == whole and len(listed) == len(split)
+    assert {e for e, _ in split} == {"two", "one", "left only"}
+    assert ("two", 1) not in split and ("one", 12) not in split and split["one", 13].hands == {} and split["left only", 5].hands == {}
+    assert set(split["two", 4].hands) == {"left", "right"} and split["one", 4].hands["right"].joints == [4.0]
+    assert split["one", 4].hands["right"].grasp == 1.0 and split["one", 2].hands["right"].grasp == 0.0
+    cup = {i: split["one", i].objects["cup"] for i in range(12)}
+    assert [i for i in cup if cup[i].is_dynamic] == [3, 4, 5, 6, 7]
+    assert abs(cup[7].T[3] - (0.1 + 0.04)) < 1e-12 and abs(cup[11].T[3] - 0.14) < 1e-12
+    assert not any(r.objects["base"].is_dynamic or r.objects["cup"].is_dynamic for (e, _), r in split.items() if e == "left only")
+    assert [split["left only", i].is_finished for i in (9, 10, 11)] == [0.0, 1.0, 1.0]
