@@ -107,3 +107,76 @@ def test_network_finds_the_largest_response_of_whole_texts():
             r = np.array([b + sum(padded[i + j] @ f[j] for j in range(w)) for i in range(len(x))])
             best.append(np.maximum(r.max(0), 0) if len(x) else np.zeros(toxicity.FILTERS))
         assert z == pytest.approx(network.intercept + np.concatenate(best) @ network.out, abs=1e-4)
+
+
+def test_language_steps_equal_a_plain_loop(monkeypatch):
+    monkeypatch.setattr(language, "EPOCHS", 2)
+    rng = np.random.default_rng(8)
+    examples = []
+    for k in range(10):  # fewer than twelve: all are learned from
+        at = np.sort(rng.choice(40, 6, replace=False))
+        examples.append(("abc"[k % 3], at, rng.random(6) + 0.1))
+    model = language.fit(examples, np.ones(language.BUCKETS))
+
+    z, n = {}, {}
+
+    def weight(f, c):
+        zs, penalty = z.get((f, c), 0.0), 0.0 if f == "one" else language.L1
+        if abs(zs) <= penalty:
+            return 0.0
+        return (penalty * (1 if zs > 0 else -1) - zs) / ((language.BETA + n.get((f, c), 0.0) ** 0.5) / language.ALPHA + language.L2)
+
+    order = np.random.default_rng(5).permutation(len(examples))
+    for _ in range(2):
+        for i in order:
+            name, at, x = examples[i]
+            row = [*zip(at.tolist(), x.tolist()), ("one", 1.0)]
+            w = {(f, c): weight(f, c) for f, _ in row for c in range(3)}
+            e = [np.exp(sum(v * w[f, c] for f, v in row)) for c in range(3)]
+            for c in range(3):
+                error = e[c] / sum(e) - (c == "abc".index(name))
+                for f, v in row:
+                    g, old = v * error, n.get((f, c), 0.0)
+                    sigma = ((old + g * g) ** 0.5 - old**0.5) / language.ALPHA
+                    z[f, c] = z.get((f, c), 0.0) + g - sigma * w[f, c]
+                    n[f, c] = old + g * g
+    want = np.array([[weight(f, c) for c in range(3)] for f in range(40)])
+    np.testing.assert_allclose(model.weights[:40], want, rtol=1e-4, atol=1e-6)
+    np.testing.assert_allclose(model.bias, [weight("one", c) for c in range(3)], rtol=1e-4, atol=1e-6)
+    assert not model.weights[40:].any() and (want != 0).any()
+
+
+def test_network_gradients_equal_finite_differences(monkeypatch):
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    rng = np.random.default_rng(2)
+    count = min(8, toxicity.BATCH)
+    texts = [rng.integers(0, 50, (int(rng.integers(1, 9)), 2)) for _ in range(count)]
+    labels = np.arange(count) % 2
+    net = toxicity.Network()
+    net.embedding = net.embedding.astype(np.float64)
+    net.filters = [f.astype(np.float64) for f in net.filters]
+    net.bias = [b.astype(np.float64) + 0.05 for b in net.bias]
+    net.out = net.out.astype(np.float64)
+    ids, bounds = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
+
+    def loss():
+        p = 1 / (1 + np.exp(-net.logits(ids, bounds)))
+        return -(weight * np.log(np.where(labels == 1, p, 1 - p))).mean() + toxicity.DECAY / 2 * (net.out**2).sum()
+
+    params = [*net.filters, *net.bias, net.out]
+    before, slopes = [p.copy() for p in params], []
+    for k, p in enumerate(params):
+        for spot in rng.choice(p.size, 12):
+            old = p.flat[spot]
+            p.flat[spot] = old + 1e-5
+            up = loss()
+            p.flat[spot] = old - 1e-5
+            slopes.append((k, spot, (up - loss()) / 2e-5))
+            p.flat[spot] = old
+    net.fit(texts, labels)  # one batch: the step of each number gives back its gradient
+    for k, spot, slope in slopes:
+        d = (before[k].flat[spot] - params[k].flat[spot]) / toxicity.RATE
+        gradient = d * np.sqrt(1e-3 / (1 - d * d))
+        assert abs(gradient - slope) <= 1e-5 + 1e-3 * abs(slope), (k, spot, gradient, slope)
+    assert sum(abs(s) > 1e-4 for _, _, s in slopes) > 20
