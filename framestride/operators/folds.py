@@ -1,11 +1,13 @@
 """Sequential recursions over a series.
 
-Three ways, from most to least parallel:
+Four ways, from most to least parallel:
 
 * hysteresis (:func:`hysteresis`): the state is the last event, and events follow from counts in runs, so
   scans give it. A series of any length runs in parallel.
 * exponential averages (:func:`symmetric_ema`): each chunk is reduced to the affine map of its entry
   value, composed in the same way.
+* recursions that forget their start (:func:`speculative_fold`): each chunk starts from a warm-up over the end of the
+  chunk before it; the chunks' exits show which starts were wrong, and only those chunks run again.
 * other recursions (:func:`stream_fold`): one pass over the sorted rows of a series, batch by batch,
   with a state of fixed size. A series is never held in memory, but one task works through it.
 """
@@ -16,7 +18,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +52,136 @@ def stream_fold(
     return ordered.groupBy(*keys).applyInPandas(run, schema)
 
 
+#: Rounds of repair before the series that still have a wrong start go through one task each.
+_ROUNDS = 4
+#: Largest difference of two states that count as one.
+_SAME = 1e-11
+
+
+def _matching(df: DataFrame, other: DataFrame, names: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join in which null keys are equal."""
+    right = other.select(*[F.col(n).alias(f"_o{i}") for i, n in enumerate(names)])
+    return df.join(right, [F.col(n).eqNullSafe(F.col(f"_o{i}")) for i, n in enumerate(names)], how)
+
+
+def speculative_fold(
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    column: str,
+    name: str,
+    run: Callable[[Sequence, np.ndarray | None], tuple[list, np.ndarray | None, bool]],
+    match: Callable[[np.ndarray, np.ndarray], np.ndarray | None],
+    warm: int,
+    schema: T.StructType,
+) -> DataFrame:
+    """A recursion over ``column`` that forgets its start, chunk by chunk in parallel.
+
+    ``run(values, state)`` returns the outputs, the state after them and whether the recursion restarted on the way, so
+    that its exit does not depend on its entry. ``match(state, guess)`` gives the factors that turn the guess into the
+    state, or None where they differ; the exit of a chunk that did not restart takes the same factors.
+
+    The guess for a chunk is the state after the last ``warm`` rows of the chunk before it. One walk over one row per chunk
+    then compares each guess with the exit before it. Chunks with a wrong guess run again from that exit, for at most
+    ``_ROUNDS`` rounds; series that have not settled by then are folded in order, so the result never depends on the guess.
+    """
+    keys = list(keys)
+    group = [*keys, S.CHUNK]
+    rows = chunk_rows(df)
+    chunked = S.chunk_by_index(stage(df), pos, rows)
+    slim = chunked.select(*group, pos, column)
+    types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    head = ", ".join(f"{g} {types[g]}" for g in group)
+    state = "guess array<double>, exit array<double>, restarted boolean"
+
+    def array(value):
+        return None if value is None else np.asarray(value, float)
+
+    def plain(value):
+        return None if value is None else value.ravel().tolist()
+
+    near_end = F.pmod(F.col(pos), F.lit(rows)) >= rows - warm
+    ends = slim.groupBy(*group).agg(
+        F.sort_array(F.collect_list(F.when(near_end, F.struct(F.col(pos).alias("at"), F.col(column).alias("value"))))).alias("end")
+    )
+    before = F.lag(F.transform("end", lambda r: r["value"])).over(Window.partitionBy(*keys).orderBy(S.CHUNK))
+    starts = ends.select(*group, before.alias("end"))
+
+    def exits(key: tuple, pdf: pd.DataFrame, guess: np.ndarray | None) -> pd.DataFrame:
+        _, last, restarted = run(pdf.sort_values(pos)[column].tolist(), guess)
+        return pd.DataFrame([[*key, plain(guess), plain(last), restarted]], columns=[*group, "guess", "exit", "restarted"])
+
+    def first(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        end = start["end"].iloc[0]
+        return exits(key, pdf, None if end is None else run(list(end), None)[1])
+
+    def again(key: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        return exits(key, pdf, array(start["entry"].iloc[0]))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = None
+        for pdf in batches:
+            entries, wrong = [], []
+            for guess, last, restarted in zip(pdf["guess"], pdf["exit"], pdf["restarted"]):
+                guess, last = array(guess), array(last)
+                entries.append(plain(now))
+                if now is None or guess is None:
+                    factors = 1.0 if now is guess else None
+                else:
+                    factors = match(now, guess)
+                wrong.append(factors is None)
+                now = last if last is None or restarted or factors is None else factors * last
+            yield pdf.assign(entry=entries, wrong=wrong)
+
+    def walked(summary: DataFrame) -> DataFrame:
+        return stage(stream_fold(summary, keys, [S.CHUNK], walk, f"{head}, {state}, entry array<double>, wrong boolean"))
+
+    table = walked(slim.groupBy(*group).cogroup(starts.groupBy(*group)).applyInPandas(first, f"{head}, {state}"))
+    for _ in range(_ROUNDS):
+        wrong = table.where("wrong")
+        if wrong.isEmpty():
+            break
+        part = _matching(slim, wrong, group, "left_semi")
+        repaired = part.groupBy(*group).cogroup(wrong.select(*group, "entry").groupBy(*group)).applyInPandas(again, f"{head}, {state}")
+        right = table.where(~F.col("wrong")).select(*group, "guess", "exit", "restarted")
+        table = walked(right.unionByName(repaired))
+
+    def finish(pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        return pdf.assign(**{name: run(pdf[column].tolist(), array(start["entry"].iloc[0]))[0]})[schema.names]
+
+    def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = None
+        for pdf in batches:
+            out, now, _ = run(pdf[column].tolist(), now)
+            yield pdf.assign(**{name: out})[schema.names]
+
+    entries = table.select(*group, "entry")
+    late = table.where("wrong").select(*keys).distinct()
+    if late.isEmpty():
+        return chunked.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(finish, schema)
+    settled = _matching(chunked, late, keys, "left_anti").groupBy(*group)
+    done = settled.cogroup(_matching(entries, late, keys, "left_anti").groupBy(*group)).applyInPandas(finish, schema)
+    return done.unionByName(stream_fold(_matching(chunked, late, keys, "left_semi"), keys, [pos], in_order, schema))
+
+
+def _fold(df, keys, pos, column, name, run, match, warm, schema) -> DataFrame:
+    """One task per series where it fits a chunk, else chunks in parallel."""
+    if not fits(df, keys, chunk_rows(df)):
+        return speculative_fold(df, keys, pos, column, name, run, match, warm, schema)
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        return pdf.assign(**{name: run(pdf[column].tolist(), None)[0]})[schema.names]
+
+    return df.groupBy(*keys).applyInPandas(whole, schema)
+
+
+def _forgets(share: float) -> int:
+    """Steps after which a state that keeps ``share`` of the one before has forgotten its start."""
+    return 1 if share <= 0 else 1 << 20 if share >= 1 else int(np.ceil(np.log(_SAME / 100) / np.log(share)))
+
+
 # --- grasp hysteresis ------------------------------------------------------------------------------
 
 
@@ -285,26 +417,30 @@ def smooth_axes(
 ) -> DataFrame:
     """Average the x and y axes with consistent signs, then rebuild the frame; gaps reset."""
     schema = _with_columns(df, f"{rotation} array<double>")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
-        weights = np.array([[alpha_x], [alpha_y]])
-        for pdf in batches:
-            out = []
-            for m in pdf[rotation]:
-                if m is None:
-                    state = None
-                    out.append(None)
-                    continue
-                axes = np.asarray(m, float).reshape(3, 3)[:, :2].T
-                axes = axes / (np.linalg.norm(axes, axis=1, keepdims=True) + 1e-6)
-                state = axes if state is None else _blend(axes, state, weights)
-                z = _unit(np.cross(*state))
-                out.append(np.column_stack([state[0], np.cross(z, state[0]), z]).ravel())
-            pdf[rotation] = out
-            yield pdf[schema.names]
-
-    return stream_fold(df, keys, [pos], fold, schema)
+    weights = np.array([[alpha_x], [alpha_y]])
+
+    def run(values, state):
+        out, restarted = [], False
+        state = None if state is None else state.reshape(2, 3)
+        for m in values:
+            if m is None:
+                state, restarted = None, True
+                out.append(None)
+                continue
+            axes = np.asarray(m, float).reshape(3, 3)[:, :2].T
+            axes = axes / (np.linalg.norm(axes, axis=1, keepdims=True) + 1e-6)
+            state = axes if state is None else _blend(axes, state, weights)
+            z = _unit(np.cross(*state))
+            out.append(np.column_stack([state[0], np.cross(z, state[0]), z]).ravel())
+        return out, None if state is None else state.ravel(), restarted
+
+    def match(state, guess):
+        """The recursion of an axis that starts with the opposite sign is the same with the opposite sign."""
+        state, guess = state.reshape(2, 3), guess.reshape(2, 3)
+        signs = np.where((state * guess).sum(1, keepdims=True) < 0, -1.0, 1.0)
+        return np.repeat(signs, 3) if np.abs(state - signs * guess).max() <= _SAME else None
+
+    return _fold(df, keys, pos, rotation, rotation, run, match, _forgets(1 - min(alpha_x, alpha_y)), schema)
 
 
 def _rotation_vector(r: np.ndarray) -> np.ndarray:
@@ -355,17 +491,20 @@ def smooth_commands(
     """Smoothed pose commands of each series."""
     schema = _with_columns(df, f"{name} array<double>")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        for pdf in batches:
-            out = []
-            for m in pdf[pose]:
-                if m is None:
-                    out.append(None)
-                    continue
-                target = np.asarray(m, float).reshape(4, 4)
-                last = smooth_command(last, target, alpha_pos, alpha_rot, max_pos_step, max_rot_step)
-                out.append(last.ravel())
-            yield pdf.assign(**{name: out})[schema.names]
-
-    return stream_fold(df, keys, [pos], fold, schema)
+    def run(values, state):
+        out = []
+        last = None if state is None else state.reshape(4, 4)
+        for m in values:
+            if m is None:
+                out.append(None)
+                continue
+            target = np.asarray(m, float).reshape(4, 4)
+            last = smooth_command(last, target, alpha_pos, alpha_rot, max_pos_step, max_rot_step)
+            out.append(last.ravel())
+        return out, None if last is None else last.ravel(), False
+
+    def match(state, guess):
+        return np.ones(16) if np.abs(state - guess).max() <= _SAME else None
+
+    # Clamped steps come nearer by a fixed length, so the warm-up is a multiple of what the shares alone need.
+    return _fold(df, keys, pos, pose, name, run, match, 4 * _forgets(max(alpha_pos, alpha_rot)), schema)
