@@ -3,7 +3,8 @@
 Words are those of :mod:`framestride.llm.text`. A phrase is found where its words stand consecutively, wherever the line
 breaks or punctuation between them. After an identifier tag the rest of the line is parsed as a licence expression:
 WITH binds tightest, then AND, then OR; every identifier becomes a label, and the expression is permissive if that
-follows from its identifiers (both sides of AND, one side of OR; WITH keeps the licence's own value).
+follows from its identifiers (both sides of AND, one side of OR; WITH keeps the licence's own value). An identifier is
+a known licence, one of the author's own (LicenseRef-...) or what follows WITH; other words end the expression.
 
 Score: 1 for an identifier tag with a valid expression, 0.9 for a base phrase, 0.7 for another notice, 0.3 for a tag
 whose expression cannot be read, else 0.
@@ -58,6 +59,12 @@ PERMISSIVE = {
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _TAGGED = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff\n]+license[^0-9a-z\x80-\U0010ffff\n]+identifier[ \t]*:?[ \t]*([^\n\r]*)", re.I)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+#: Forms of licence identifiers beside the permissive ones.
+_IDENTIFIER = re.compile(
+    r"(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+|[al]?gpl-[123](?:\.[01])?(?:-only|-or-later)?|gfdl-1\.[123](?:-only|-or-later)?"
+    r"|cc-by(?:-nc)?(?:-sa|-nd)?-[1-4]\.[05]|(?:mpl|epl|eupl|cddl|osl|afl|apsl|lppl|ofl|ecl|artistic|apache|cpl|zpl|bsl|php|psf|python)-[0-9](?:\.[0-9])*[a-z]?"
+    r"|bsd-[1-4]-clause(?:-[a-z-]+)?|mit-[a-z0-9-]+|(?:ms-pl|ms-rl|ncsa|x11|curl|ruby|vim|openssl|sleepycat|beerware|libpng|icu|ijg|w3c|unicode-dfs-2016|unicode-3\.0|blueoak-1\.0\.0|elastic-2\.0|busl-1\.1|sspl-1\.0|hpnd|intel|naist-2003|nist-pd|odbl-1\.0|pddl-1\.0|upl-1\.0|watcom-1\.0|none|noassertion)"
+)
 _BINDING = {"or": 1, "and": 2, "with": 3}
 
 ROWS = (
@@ -110,7 +117,11 @@ def parse(text: str) -> tuple[list[str], bool] | None:
                 break
             else:
                 name = token.rstrip(".")
-                operands.append(([name], name.removesuffix("+") in PERMISSIVE))
+                plain = name.removesuffix("+")
+                excepted = bool(operators) and operators[-1] == "with"
+                if not (excepted or plain in PERMISSIVE or _IDENTIFIER.fullmatch(plain)):
+                    break
+                operands.append(([name], plain in PERMISSIVE))
                 expect_name = False
         elif token == ")":
             if not depth:

@@ -148,6 +148,11 @@ def test_pages_defined_results(spark):
         ("MIT)", (["mit"], True)),
         ("(MIT", None),
         ("AND MIT", None),
+        ("see below", None),
+        ("MIT and see below", (["mit"], True)),
+        ("MIT OR LicenseRef-mine", (["mit", "licenseref-mine"], True)),
+        ("GPL-3.0+.", (["gpl-3.0+"], False)),
+        ("CC-BY-NC-SA-4.0 OR MPL-2.0", (["cc-by-nc-sa-4.0", "mpl-2.0"], False)),
         ("", None),
     ],
 )
