@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framestride.functions import geometry as G
+from framestride.operators import evaluation as E
 from framestride.plans.registry import query
 from framestride.plans.surrogate import FRAMES_SQL, frames, table
 from framestride.sources import recordings as R
@@ -240,3 +241,79 @@ def stereo_calibration_chain(spark, sf_dir):
     p, h = G.elements("P", 12), G.vec("head")
     row = lambda i: G.dot(p[4 * i : 4 * i + 3], h) + p[4 * i + 3]
     return f.select("episode", "frame_idx", (F.round(gap, 6) + F.lit(0.0)).alias("gap"), F.round(row(0) / row(2) - 320, 9).alias("u"))
+
+
+@query(
+    "hand_record_scan",
+    F0 + """ select episode, frame_idx, side, case side when 'right' then 0.75e0 else 0.25e0 end as confidence, round(x, 9) as wrist_x,
+      round(y, 9) as thumb_y, round(z, 9) as orientation_z, case side when 'right' then round(x + y, 9) end as distance, round(z, 9) as bend
+      from frames, unnest(['right', 'left']) t(side) where event_id % 13 <> 0 and (side = 'right' and event_id % 3 <> 0 or side = 'left' and event_id % 4 <> 0)""",
+)
+def hand_record_scan(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    i = F.col("event_id")
+    row = lambda *v: F.array(*[F.col(c) if isinstance(c, str) else F.lit(c) for c in v])
+
+    def hand(confidence, distance):
+        return F.struct(
+            F.lit(confidence).alias("confidence"), F.array(row(1.0, 0.0, 0.0, "x"), row(0.0, 1.0, 0.0, 0.0)).alias("wrist_pose"),
+            row(0.0, "y", 0.0).alias("thumb_translation_raw_world"), row(0.0, 0.0, "z").alias("midpoint_orientation_opt_world"),
+            distance.alias("distance_midpoint2wrist_opt_world"), F.create_map(F.lit("thumb"), F.col("z")).alias("joint_angles"),
+        )
+
+    right = F.when(i % 3 != 0, hand(0.75, F.col("x") + F.col("y"))).alias("hand_r")
+    left = F.when(i % 4 != 0, hand(0.25, F.lit(None).cast("double"))).alias("hand_l")
+    text = F.to_json(F.struct(F.col("frame_idx").alias("idx"), right, left))
+    lines = f.select("episode", "frame_idx", F.when(i % 13 == 0, F.substring(text, 1, 9)).otherwise(text).alias("value"))
+    o = J.hand_rows(J.parse_records(lines, "hands"))
+    at = lambda c, k: F.round(F.get(c, F.lit(k)), 9)
+    return o.select(
+        "episode", "frame_idx", "side", "confidence", at("wrist_pose", 3).alias("wrist_x"), at("thumb_translation_raw_world", 1).alias("thumb_y"),
+        at("midpoint_orientation_opt_world", 2).alias("orientation_z"), F.round("distance_midpoint2wrist_opt_world", 9).alias("distance"),
+        F.round(F.try_element_at("joint_angles", F.lit("thumb")), 9).alias("bend"),
+    )
+
+
+@query(
+    "frame_record_kinds",
+    F0 + """ select episode, frame_idx, 640 as w, round(x, 9) as c2w_x, round(z, 9) as speed, case when event_id % 7 <> 0 then round(yaw_deg, 9) end as yaw,
+      cast(event_id % 4 as integer) as mode, case when event_id % 4 = 0 then 'MOVE' else 'STAY' end as mode_str from frames""",
+)
+def frame_record_kinds(spark, sf_dir):
+    """Camera, motion and phase records of each frame."""
+    f = frames(spark, sf_dir)
+    mode = (F.col("event_id") % 4).cast("int")
+    pose = F.array(F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.col("x")), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+    texts = {
+        "camera": F.struct(F.lit(640).alias("w"), pose.alias("c2w")),
+        "slam": F.struct(F.col("z").alias("linear_speed_mps"), F.col("yaw_deg").alias("yaw_unwrapped_deg")),
+        "phases": F.struct(mode.alias("mode"), F.when(mode == 0, "MOVE").otherwise("STAY").alias("mode_str")),
+    }
+    rows = f.select("episode", "frame_idx", *[F.to_json(t).alias(f"_{k}") for k, t in texts.items()])
+    for kind in texts:
+        rows = J.parse_records(rows, kind, f"_{kind}").drop("idx", "ts", J.CORRUPT).withColumnsRenamed({"w": f"{kind}_w", "h": f"{kind}_h"})
+    at = F.round(F.get(J.flat(F.col("c2w")), F.lit(3)), 9)
+    return rows.select(
+        "episode", "frame_idx", F.col("camera_w").alias("w"), at.alias("c2w_x"), F.round("linear_speed_mps", 9).alias("speed"),
+        F.round("yaw_unwrapped_deg", 9).alias("yaw"), "mode", "mode_str",
+    )
+
+
+@query(
+    "experiment_snapshots",
+    """with o as (select o_custkey as e, o_orderkey as k, row_number() over (partition by o_custkey order by o_orderkey desc) as r from orders)
+       select e as experiment_id, case when k % 5 = 0 or k % 11 = 0 then 'EVAL_ERROR' when k % 7 = 0 then 'NAN' else 'SUCCESS' end as status,
+         case when k % 5 <> 0 and k % 11 <> 0 and k % 7 <> 0 then round(k % 10 / 1e1 + 0.2e0 - 0.06e0, 9) end as score from o where r = 1""",
+)
+def experiment_snapshots(spark, sf_dir):
+    """Status and score from the texts of evaluation snapshots: broken, incomplete, not finite and good ones."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    good = F.format_string('{"pos_err_w_m": %.1f, "rot_err_w_deg": 20, "grasp_f1_w": 0.6, "per_step": [1, 2]}', k % 10 / 10)
+    text = (
+        F.when(k % 5 == 0, '{"pos_err_w_m": 0.5, "rot_').when(k % 11 == 0, '{"pos_err_w_m": 0.5, "rot_err_w_deg": 20}')
+        .when(k % 7 == 0, '{"pos_err_w_m": NaN, "rot_err_w_deg": 20, "grasp_f1_w": 0.6}').otherwise(good)
+    )
+    lines = o.select(F.col("o_custkey").alias("experiment_id"), F.format_string("eval_ep_%012d.json", k).alias("file_name"), text.alias("value"))
+    out = E.experiment_results(lines.select("experiment_id").distinct(), J.parse_snapshots(lines))
+    return out.select("experiment_id", "status", F.round("score", 9).alias("score"))

@@ -14,7 +14,15 @@ from framestride.operators import series as S
 
 CORRUPT = "_corrupt_record"
 # Layouts of the per-frame records.
-_HAND = "struct<confidence:double,grasp_state:int,kpts_3d:array<array<double>>,kpts_2d:array<array<double>>,wrist_pose:array<array<double>>,palm_pose:array<array<double>>,wrist_pose_raw_world:array<array<double>>,wrist_pose_opt_world:array<array<double>>,midpoint_pose_raw_world:array<array<double>>,midpoint_pose_opt_world:array<array<double>>,wrist_lin_vel_opt_world:array<double>,wrist_ang_vel_opt_world:array<double>,midpoint_lin_vel_opt_world:array<double>,midpoint_ang_vel_opt_world:array<double>,joint_angles:map<string,double>>"
+_VECTOR, _MATRIX = "array<double>", "array<array<double>>"
+_HAND_TYPES = {"confidence": "double", "grasp_state": "int", "joint_angles": "map<string,double>"}
+_HAND_TYPES |= {n: _MATRIX for n in ("d2c", "c2w", "kpts_3d", "kpts_2d", "wrist_pose", "palm_pose")}
+for _v in ("raw_world", "opt_world"):
+    _HAND_TYPES |= {f"{n}_pose_{_v}": _MATRIX for n in ("wrist", "midpoint")}
+    _HAND_TYPES |= {f"{n}_{k}_vel_{_v}": _VECTOR for n in ("wrist", "midpoint") for k in ("lin", "ang")}
+    _HAND_TYPES |= {f"{n}_translation_{_v}": _VECTOR for n in ("index", "thumb", "midpoint")}
+    _HAND_TYPES |= {f"midpoint_orientation_{_v}": _VECTOR, f"distance_midpoint2wrist_{_v}": "double"}
+_HAND = f"struct<{','.join(f'{n}:{t}' for n, t in _HAND_TYPES.items())}>"
 SCHEMAS = {
     "training": (
         "metadata struct<idx:int,ts:double,w:int,h:int,fps:double,k:array<array<double>>,c2w:array<array<double>>,anchor_key:string,"
@@ -88,6 +96,20 @@ def training_table(records: DataFrame) -> DataFrame:
     )
 
 
+def hand_rows(records: DataFrame) -> DataFrame:
+    """One row per hand that a record of kind ``hands`` describes, with all its fields; matrices are flat.
+
+    Unreadable records and absent hands give no row. Keypoints keep their nesting.
+    """
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("hand")) for s, c in (("right", "hand_r"), ("left", "hand_l"))])
+    keep = [c for c in records.columns if c not in ("hand_r", "hand_l", CORRUPT)]
+    rows = records.where(F.col(CORRUPT).isNull()).withColumn("_h", F.explode(sides)).where("_h.hand is not null")
+    field = lambda n: F.col(f"_h.hand.{n}")
+    nested = ("kpts_3d", "kpts_2d")
+    fields = [(flat(field(n)) if t == _MATRIX and n not in nested else field(n)).alias(n) for n, t in _HAND_TYPES.items()]
+    return rows.select(*keep, F.col("_h.side").alias("side"), *fields)
+
+
 def robot_arm(side: str) -> Column:
     """State of one arm; a record without ``arms`` describes the right arm only."""
     arm = F.try_element_at("arms", F.lit(side))
@@ -275,6 +297,27 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("header", "true").csv(path)
 
 
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation snapshots ``<path>/<experiment>/eval_snapshots/eval_ep_*.json``, one row per file."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "eval_ep_*.json")
+    place = r"([^/]+)/eval_snapshots/([^/]+)$"
+    lines = reader.text(path, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), place, 1).alias("experiment_id"),
+        F.regexp_extract(F.col("_metadata.file_path"), place, 2).alias("file_name"), "value",
+    )
+    return parse_snapshots(lines.where("experiment_id <> ''"))
+
+
+def parse_snapshots(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Metrics of snapshot texts as strings, null where the key is missing; ``ok`` is false for unreadable texts."""
+    rest = [c for c in lines.columns if c != column]
+    names = ("pos_err_w_m", "rot_err_w_deg", "grasp_f1_w")
+    rows = lines.withColumn("_m", F.from_json(column, "map<string,string>", {"mode": "PERMISSIVE"}))
+    # Numbers that are not finite come quoted out of the parser.
+    text = lambda n: F.regexp_replace(F.try_element_at("_m", F.lit(n)), '^"(NaN|-?Infinity)"$', "$1")
+    return rows.select(*rest, F.col("_m").isNotNull().alias("ok"), *[text(n).alias(n) for n in names])
+
+
 def read_images(spark: SparkSession, path: str, decode, pattern: str = "*.png") -> DataFrame:
     """Luma rows of image files through a caller's decoder ``bytes -> (h, w) uint8 array``.
 

@@ -57,3 +57,33 @@ def test_repeat_files(spark, tmp_path):
     sinks.write_repeats(rows, ["err"], str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r/rows")).count() == 3
     assert spark.read.parquet(str(tmp_path / "r/summary")).count() == 2
+
+
+def test_snapshot_files(spark, tmp_path):
+    from framestride.operators.evaluation import experiment_results
+
+    good = '{"pos_err_w_m": 0.5, "rot_err_w_deg": 20,\n "grasp_f1_w": 0.6}'
+    files = {
+        ("a", "eval_ep_001.json"): "{", ("a", "eval_ep_002.json"): good, ("b", "eval_ep_009.json"): good, ("b", "eval_ep_010.json"): "{\"pos",
+        ("c", "eval_ep_001.json"): '{"pos_err_w_m": NaN, "rot_err_w_deg": 1, "grasp_f1_w": 1}', ("d", "other.json"): good,
+    }
+    for (run, name), text in files.items():
+        (tmp_path / run / "eval_snapshots").mkdir(parents=True, exist_ok=True)
+        (tmp_path / run / "eval_snapshots" / name).write_text(text)
+    runs = spark.createDataFrame([(r,) for r in "abcd"], "experiment_id string")
+    got = {r["experiment_id"]: (r["status"], r["score"]) for r in experiment_results(runs, records.read_snapshots(spark, str(tmp_path))).collect()}
+    assert got["a"][0] == "SUCCESS" and abs(got["a"][1] - 0.64) < 1e-12
+    assert {k: v[0] for k, v in got.items()} == {"a": "SUCCESS", "b": "EVAL_ERROR", "c": "NAN", "d": "EVAL_MISSING"}
+
+
+def test_hand_files(spark, tmp_path):
+    import json
+
+    fields = {n: [1.0, 2.0] if t == "array<double>" else [[1.0, 2.0], [3.0, 4.0]] if "array" in t else {"k": 1.0} if "map" in t else 1 for n, t in records._HAND_TYPES.items()}
+    assert len(fields) == 31
+    for frame, text in {"00000": json.dumps({"idx": 0, "ts": 5, "hand_r": fields, "hand_l": None}, indent=1), "00001": "{"}.items():
+        (tmp_path / "run" / "preprocess" / "all_data" / frame).mkdir(parents=True)
+        (tmp_path / "run" / "preprocess" / "all_data" / frame / "hands.json").write_text(text)
+    rows = records.hand_rows(records.read_records(spark, str(tmp_path), "hands", "hands.json")).collect()
+    assert [(r["episode"], r["frame_idx"], r["side"]) for r in rows] == [("run", 0, "right")]
+    assert all(rows[0][n] is not None for n in fields) and rows[0]["wrist_pose"] == [1.0, 2.0, 3.0, 4.0]
